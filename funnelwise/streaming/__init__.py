@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analyses this library reproduces are batch reports over stored tables
+(no stream, watermark or state appears in them), so no streaming operator
+is provided.  Every operator is a plain DataFrame function; callers with a
+stream can apply them per micro-batch with ``foreachBatch``.
+"""
