@@ -1,0 +1,25 @@
+"""Column helpers, time windows and skew-safe sequence helpers."""
+
+from funnelwise.functions.columns import (
+    GUARD_LABEL,
+    channel_group,
+    count_distinct_if,
+    distinct_count,
+    first_match,
+    flag,
+    period_label,
+    safe_ratio,
+    ts_literal,
+    week_mode0,
+    week_start_sunday,
+    yearweek_mode0,
+)
+from funnelwise.functions.ranges import TimeRange, before, between, everything, half_open, open_range
+from funnelwise.functions.sequence import chunked_row_number, group_first
+
+__all__ = [
+    "GUARD_LABEL", "TimeRange", "before", "between", "channel_group", "chunked_row_number",
+    "count_distinct_if", "distinct_count", "everything", "first_match", "flag", "group_first",
+    "half_open", "open_range", "period_label", "safe_ratio", "ts_literal", "week_mode0",
+    "week_start_sunday", "yearweek_mode0",
+]
