@@ -18,9 +18,18 @@ from __future__ import annotations
 from funnelwise.plans.prelude import PRELUDE
 
 
-def _q(body: str, *ctes: str) -> str:
-    extra = "".join(f",\n{c.strip()}" for c in ctes)
-    return PRELUDE.rstrip() + extra + "\n" + body.strip() + "\n"
+def _q(body: str, *ctes: str) -> tuple[str, tuple[str, ...]]:
+    return body, ctes
+
+
+def assemble(body: str, ctes: tuple[str, ...], prelude: bool = True) -> str:
+    """The statement with its temporary tables as CTEs, after the prelude or alone."""
+    parts = [c.strip() for c in ctes]
+    if prelude:
+        head = PRELUDE.rstrip() + "".join(f",\n{c}" for c in parts)
+    else:
+        head = ("WITH " + ",\n".join(parts)) if parts else ""
+    return head + "\n" + body.strip() + "\n"
 
 
 def ratio(a: str, b: str) -> str:
@@ -247,7 +256,7 @@ users_first_to_second AS (
 SESSIONS_ORDERS_JOIN = "website_sessions ws LEFT JOIN web_orders o ON ws.website_session_id = o.website_session_id"
 
 
-ORACLE: dict[str, str] = {
+PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     # ---- Part I
     "traffic_top_sources": _q(f"""
 SELECT utm_source, utm_campaign, http_referer, COUNT(DISTINCT website_session_id) AS sessions
@@ -606,3 +615,11 @@ SELECT {YR.format(c='ws.created_at')} AS yr, {QTR.format(c='ws.created_at')} AS
 FROM {SESSIONS_ORDERS_JOIN}
 GROUP BY 1, 2 ORDER BY 1, 2"""),
 }
+
+
+# Texts run by the driver: derive the shop tables from ``events`` first.
+ORACLE: dict[str, str] = {name: assemble(body, ctes) for name, (body, ctes) in PARTS.items()}
+
+# The same statements over existing tables named website_sessions,
+# website_pageviews, web_orders, order_items, order_item_refunds.
+STANDALONE: dict[str, str] = {name: assemble(body, ctes, prelude=False) for name, (body, ctes) in PARTS.items()}

@@ -1,0 +1,131 @@
+"""Random shop tables for property tests, shared by Spark and DuckDB.
+
+Unlike the events-derived fixture, these tables contain sessions with
+several orders, repeated product and cart views in one session, users with
+several "new" sessions, pageviews in any url order and sessions without
+pageviews, so the Spark rewrites meet every case the literal SQL handles.
+"""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pandas as pd
+
+from funnelwise.sources.schema import SCHEMAS, ShopTables, conform
+
+URLS = ["/home", "/lander-1", "/products", "/the-original-mr-fuzzy", "/the-forever-love-bear", "/cart",
+        "/shipping", "/billing", "/billing-2", "/thank-you-for-your-order"]
+SOURCES = [("gsearch", "nonbrand"), ("gsearch", "brand"), ("bsearch", "nonbrand"), ("bsearch", "brand"),
+           ("socialbook", "nonbrand"), ("socialbook", "pilot"), (None, None)]
+REFERERS = ["https://www.gsearch.com", "https://www.bsearch.com", "https://www.socialbook.com", None,
+            "https://www.other.example"]
+
+
+def random_shop(seed: int, n_users: int = 250) -> dict[str, pd.DataFrame]:
+    rng = np.random.default_rng(seed)
+    start = pd.Timestamp("2012-03-19").value // 1000
+    end = pd.Timestamp("2015-01-31").value // 1000
+    sess = []
+    for user in range(1, n_users + 1):
+        k = int(rng.integers(1, 5))
+        times = np.sort(rng.integers(start, end, size=k))
+        for i, t in enumerate(times):
+            src, camp = SOURCES[int(rng.integers(len(SOURCES)))]
+            ref = REFERERS[int(rng.integers(len(REFERERS)))]
+            new = i == 0 or rng.random() < 0.1
+            sess.append((int(t), user, 0 if new else 1, src, camp,
+                         "desktop" if rng.random() < 0.7 else "mobile", ref))
+    sess.sort()
+    sessions = pd.DataFrame(sess, columns=["t", "user_id", "is_repeat_session", "utm_source", "utm_campaign",
+                                           "device_type", "http_referer"])
+    sessions["website_session_id"] = np.arange(1, len(sessions) + 1, dtype="int64")
+    sessions["created_at"] = pd.to_datetime(sessions["t"], unit="us")
+
+    pvs, orders = [], []
+    for sid, t in zip(sessions["website_session_id"], sessions["t"]):
+        n = int(rng.choice([0, 1, 1, 2, 3, 4, 5, 6, 8, 10]))
+        offs = np.sort(rng.integers(0, 3_600_000_000, size=n))
+        for off in offs:
+            pvs.append((int(t + off), int(sid), URLS[int(rng.integers(len(URLS)))]))
+        n_orders = int(rng.choice([0, 0, 0, 1, 1, 2]))
+        for _ in range(n_orders):
+            items = int(rng.integers(1, 3))
+            price = round(float(rng.integers(2000, 9000)) / 100, 2)
+            orders.append((int(t + 3_600_000_000 + rng.integers(0, 1_000_000)), int(sid),
+                           int(rng.integers(1, 4)), items, price * items, 19.49 * items))
+    pvs.sort()
+    pageviews = pd.DataFrame(pvs, columns=["t", "website_session_id", "pageview_url"])
+    pageviews["website_pageview_id"] = np.arange(1, len(pageviews) + 1, dtype="int64")
+    pageviews["created_at"] = pd.to_datetime(pageviews["t"], unit="us")
+
+    orders.sort()
+    o = pd.DataFrame(orders, columns=["t", "website_session_id", "primary_product_id", "items_purchased",
+                                      "price_usd", "cogs_usd"])
+    o["order_id"] = np.arange(1, len(o) + 1, dtype="int64")
+    o["created_at"] = pd.to_datetime(o["t"], unit="us")
+
+    items = []
+    for oid, t, prod, n in zip(o["order_id"], o["created_at"], o["primary_product_id"], o["items_purchased"]):
+        items.append((int(oid) * 10 + 1, t, int(prod)))
+        if n == 2:
+            items.append((int(oid) * 10 + 2, t, int(rng.integers(1, 5))))
+    order_items = pd.DataFrame(items, columns=["order_item_id", "created_at", "product_id"])
+    refunds = order_items.loc[rng.random(len(order_items)) < 0.15, ["order_item_id"]].reset_index(drop=True)
+    return {
+        "website_sessions": sessions,
+        "website_pageviews": pageviews,
+        "web_orders": o,
+        "order_items": order_items,
+        "order_item_refunds": refunds,
+    }
+
+
+def to_spark(spark, frames: dict[str, pd.DataFrame]) -> ShopTables:
+    dfs = {}
+    for name, schema in SCHEMAS.items():
+        pdf = frames[name][[f.name for f in schema.fields]].copy()
+        for f in schema.fields:
+            if f.dataType.typeName() == "decimal":
+                pdf[f.name] = pdf[f.name].astype("float64")
+        loose = ", ".join(
+            f"{f.name} {'double' if f.dataType.typeName() == 'decimal' else f.dataType.simpleString()}"
+            for f in schema.fields)
+        dfs[name] = conform(spark.createDataFrame(pdf, schema=loose), schema)
+    return ShopTables(sessions=dfs["website_sessions"], pageviews=dfs["website_pageviews"],
+                      orders=dfs["web_orders"], order_items=dfs["order_items"], refunds=dfs["order_item_refunds"])
+
+
+def to_duckdb(frames: dict[str, pd.DataFrame]) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name, schema in SCHEMAS.items():
+        pdf = frames[name][[f.name for f in schema.fields]]
+        con.register(f"_raw_{name}", pdf)
+        cols = []
+        for f in schema.fields:
+            t = f.dataType.typeName()
+            sql_t = {"long": "BIGINT", "integer": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+                     "decimal": "DECIMAL(8,2)"}[t]
+            cols.append(f"CAST({f.name} AS {sql_t}) AS {f.name}")
+        con.execute(f"CREATE TABLE {name} AS SELECT {', '.join(cols)} FROM _raw_{name}")
+    return con
+
+
+def norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else float(f"{v:.12g}")
+    if hasattr(v, "isoformat"):
+        return v.isoformat(sep=" ") if "datetime" in type(v).__name__ else v.isoformat()
+    if type(v).__name__ == "Decimal":
+        return f"{v:.2f}"
+    return v
+
+
+def multiset(cols, rows) -> Counter:
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    return Counter(tuple(norm(r[i]) for i in order) for r in rows)
