@@ -30,8 +30,16 @@ def page_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange, whe
     ``steps`` maps flag column name to url, in funnel order.
     """
     s = sessions.filter(window.on("created_at") & where).select(SESSION_ID)
-    joined = s.join(pageviews.select(SESSION_ID, "pageview_url", F.col("created_at").alias("_pv_at")),
-                    SESSION_ID, "left")
+    pv = pageviews.select(SESSION_ID, "pageview_url", F.col("created_at").alias("_pv_at"))
+    # LEFT JOIN as inner join plus the sessions without pageviews: AQE can
+    # split a hot session on either side of an inner join, and the anti join
+    # only probes distinct session ids (combined map-side).
+    matched = pv.join(s, SESSION_ID, "inner")
+    with_pages = pv.select(SESSION_ID).join(s, SESSION_ID, "left_semi").distinct()
+    empty = (s.join(with_pages, SESSION_ID, "left_anti")
+             .select(SESSION_ID, F.lit(None).cast("string").alias("pageview_url"),
+                     F.lit(None).cast("timestamp_ntz").alias("_pv_at")))
+    joined = matched.unionByName(empty)
     url = F.col("pageview_url")
     return (joined.select(SESSION_ID, "pageview_url", "_pv_at",
                           *[flag(url == u).alias(name) for name, u in steps.items()])
@@ -43,9 +51,12 @@ def session_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange,
     """One row per session of the segment: ``<step>_made_it`` = any pageview of the step."""
     s = sessions.filter(window.on("created_at") & where).select(SESSION_ID)
     url = F.col("pageview_url")
-    return (s.join(pageviews.select(SESSION_ID, "pageview_url"), SESSION_ID, "left")
-            .groupBy(SESSION_ID)
-            .agg(*[F.max(flag(url == u)).alias(f"{name}_made_it") for name, u in steps.items()]))
+    made_it = [f"{name}_made_it" for name in steps]
+    flags = (pageviews.select(SESSION_ID, "pageview_url").join(s, SESSION_ID, "left_semi")
+             .groupBy(SESSION_ID)
+             .agg(*[F.max(flag(url == u)).alias(f"{name}_made_it") for name, u in steps.items()]))
+    # A session without pageviews has one all-NULL outer row: every flag 0.
+    return s.join(flags, SESSION_ID, "left").fillna(0, subset=made_it)
 
 
 def step_counts(flags: DataFrame, steps: list[str], by: list[str] = (), prefix: str = "to_") -> DataFrame:

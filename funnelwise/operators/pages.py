@@ -46,16 +46,27 @@ def entry_page_counts(pageviews: DataFrame, window: TimeRange) -> DataFrame:
             .agg(F.count(SESSION_ID).alias("sessions_hitting_page")))
 
 
+def per_session(pageviews: DataFrame, keys: DataFrame, *aggs) -> DataFrame:
+    """Aggregates over the pageviews of the sessions in ``keys`` (one row per session).
+
+    Pageviews are first reduced to those sessions by a semi join (a broadcast
+    when ``keys`` is measured small; otherwise a shuffle join whose pageview
+    side AQE can split when one session is huge), then aggregated with
+    map-side combine, so a hot session is never one task's whole input.
+    """
+    return (pageviews.join(keys.select(SESSION_ID), SESSION_ID, "left_semi")
+            .groupBy(SESSION_ID).agg(*aggs))
+
+
 def with_page_counts(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
     """Adds ``count_of_pages_viewed``: all pageviews of the session, in or out of any window.
 
-    A left join followed by an aggregate on the join key: the aggregate reuses
-    the join's partitioning, and AQE turns the join into a broadcast when the
-    landing side is measured small, so pageviews are then not shuffled at all.
+    Equal to ``landing LEFT JOIN pageviews GROUP BY landing columns`` when
+    ``landing`` has one row per session: counts per session, joined 1:1.
     """
-    keys = [c for c in landing.columns]
-    return (landing.join(pageviews.select(SESSION_ID, PAGEVIEW_ID), SESSION_ID, "left")
-            .groupBy(*keys).agg(F.count(PAGEVIEW_ID).alias("count_of_pages_viewed")))
+    counts = per_session(pageviews, landing, F.count(PAGEVIEW_ID).alias("count_of_pages_viewed"))
+    return (landing.join(counts, SESSION_ID, "left")
+            .fillna(0, subset=["count_of_pages_viewed"]))
 
 
 def bounced_sessions(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
@@ -120,8 +131,8 @@ def session_first_page_and_count(sessions: DataFrame, pageviews: DataFrame, wind
     """
     s = sessions.filter(window.on("created_at") & where).select(SESSION_ID)
     first = F.min(F.struct(F.col(PAGEVIEW_ID), F.col("pageview_url"), F.col("created_at")))
-    return (s.join(pageviews, SESSION_ID, "left").groupBy(SESSION_ID)
-            .agg(first.alias("_f"), F.count(PAGEVIEW_ID).alias("count_pageviews"))
+    agg = per_session(pageviews, s, first.alias("_f"), F.count(PAGEVIEW_ID).alias("count_pageviews"))
+    return (s.join(agg, SESSION_ID, "left").fillna(0, subset=["count_pageviews"])
             .select(SESSION_ID,
                     F.col("_f.website_pageview_id").alias("first_pageview_id"),
                     "count_pageviews",
@@ -165,7 +176,8 @@ def billing_conversion(pageviews: DataFrame, orders: DataFrame, from_id: Column,
     pv = (pageviews.filter((F.col(PAGEVIEW_ID) >= from_id) & window.on("created_at")
                            & F.col("pageview_url").isin(*urls))
           .select(SESSION_ID, F.col("pageview_url").alias("billing_version_seen")).distinct())
-    per = orders.groupBy(SESSION_ID).agg(F.count("order_id").alias("n_orders"))
+    per = (orders.join(pv.select(SESSION_ID), SESSION_ID, "left_semi")
+           .groupBy(SESSION_ID).agg(F.count("order_id").alias("n_orders")))
     return (pv.join(per, SESSION_ID, "left").groupBy("billing_version_seen")
             .agg(F.count(SESSION_ID).alias("sessions"),
                  F.coalesce(F.sum("n_orders"), F.lit(0).cast("long")).alias("orders"))

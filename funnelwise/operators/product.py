@@ -130,7 +130,10 @@ def cross_sell(pageviews: DataFrame, orders: DataFrame, carts: DataFrame) -> Dat
                    .groupBy("cart_session_id")
                    .agg(F.sum("_cp").alias("_c"),
                         F.count(F.when(F.col("_last") > F.col("_anchor"), F.lit(1))).alias("_a")))
-    per_order = (orders.groupBy(F.col(SESSION_ID).alias("cart_session_id"))
+    per_order = (orders.select(F.col(SESSION_ID).alias("cart_session_id"), "order_id", "items_purchased",
+                               "price_usd")
+                 .join(per_period.select("cart_session_id"), "cart_session_id", "left_semi")
+                 .groupBy("cart_session_id")
                  .agg(F.count("order_id").alias("_m"), F.sum("items_purchased").alias("_items"),
                       F.sum("price_usd").alias("_price")))
     rows = (per_period.join(per_session, "cart_session_id", "inner")

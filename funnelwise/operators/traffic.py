@@ -46,10 +46,14 @@ def session_orders(sessions: DataFrame, orders: DataFrame, window: TimeRange = e
     of orders become sums of ``n_orders``; ``revenue`` and ``items`` stay
     NULL for sessions without orders, as SUM over the outer join's NULLs.
     """
-    per = orders_per_session(orders, products)
+    s = sessions_in(sessions, window, where)
+    # Orders of other sessions are dropped before they are shuffled: the
+    # semi join becomes a broadcast when the window's sessions are measured
+    # small, and its (possibly hot) order side is the one AQE can split.
+    in_window = orders.join(s.select(SESSION_ID), SESSION_ID, "left_semi")
+    per = orders_per_session(in_window, products)
     zero_cols = ["n_orders"] + [f"n_orders_p{p}" for p in products]
-    joined = sessions_in(sessions, window, where).join(per, SESSION_ID, "left")
-    return joined.fillna(0, subset=zero_cols)
+    return s.join(per, SESSION_ID, "left").fillna(0, subset=zero_cols)
 
 
 def n_sessions() -> Column:
