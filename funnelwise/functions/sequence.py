@@ -2,48 +2,76 @@
 
 A plain ``row_number()`` over ``partitionBy(group)`` sends every row of a
 group to one task: a group holding a third of the data becomes one task
-holding a third of the data.  ``chunked_row_number`` gives the same numbers
-while no window partition ever exceeds ``chunk`` rows.
+holding a third of the data.  Here rows are cut into chunks
+``order_col div chunk`` (at most ``chunk`` rows of a group per chunk);
+numbers are counted inside each chunk and shifted by the rows of the group
+in earlier chunks, which come from a per-chunk count table ``chunk`` times
+smaller than the input.  Every shuffle key of the input includes the chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DEFAULT_CHUNK = 1 << 20
+CHUNK = "_chunk"
+OFFSET = "_offset"
 
 
-def chunked_row_number(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    order_col: str,
-    out_col: str = "n",
-    chunk: int = DEFAULT_CHUNK,
-) -> DataFrame:
-    """``row_number() OVER (PARTITION BY group_cols ORDER BY order_col)``.
+def with_chunk(df: DataFrame, order_col: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    return df.withColumn(CHUNK, F.floor(F.col(order_col) / F.lit(chunk)).cast("long"))
+
 
-    ``order_col`` must be a non-null integer that is unique inside a group
-    (an id).  Rows are cut into chunks ``order_col div chunk``; a chunk of a
-    group has at most ``chunk`` rows.  Numbers are counted inside each chunk,
-    and the chunk's offset (rows of the group in earlier chunks) comes from
-    a per-chunk count table, which is ``chunk`` times smaller than the input.
-    Every shuffle key includes the chunk, so a hot group is spread over
-    ``rows / chunk`` keys.
+def chunk_offsets(chunked: DataFrame, group_cols: Sequence[str],
+                  chunk_aggs: Mapping[str, Column] | None = None,
+                  group_values: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per (group, chunk) with ``_offset``: rows of the group in earlier chunks.
+
+    ``chunk_aggs`` are aggregates per chunk (map-side combined);
+    ``group_values`` are window expressions over the chunk rows of the group
+    (use ``group_window(group_cols)``), e.g. the group's minimum id.  The
+    windows here run over the small chunk table, never over input rows.
     """
     keys = list(group_cols)
-    chunked = df.withColumn("_chunk", F.floor(F.col(order_col) / F.lit(chunk)).cast("long"))
-    counts = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
-    prior = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys, "_chunk", F.coalesce(F.sum("_cnt").over(prior), F.lit(0)).alias("_offset")
-    )
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(order_col)
-    numbered = chunked.join(offsets, [*keys, "_chunk"], "inner").withColumn(
-        out_col, (F.col("_offset") + F.row_number().over(inner)).cast("long")
+    aggs = [F.count(F.lit(1)).alias("_cnt")] + [c.alias(n) for n, c in (chunk_aggs or {}).items()]
+    per_chunk = chunked.groupBy(*keys, CHUNK).agg(*aggs)
+    prior = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    return per_chunk.select(
+        "*",
+        F.coalesce(F.sum("_cnt").over(prior), F.lit(0).cast("long")).alias(OFFSET),
+        *[c.alias(n) for n, c in (group_values or {}).items()],
     )
-    return numbered.drop("_chunk", "_offset")
+
+
+def group_window(group_cols: Sequence[str]) -> Window:
+    return Window.partitionBy(*group_cols)
+
+
+def number_in_chunks(chunked: DataFrame, offsets: DataFrame, group_cols: Sequence[str], order_col: str,
+                     out_col: str = "n", carry: Sequence[str] = ()) -> DataFrame:
+    """Attach ``out_col`` (1-based position in the group by ``order_col``) and ``carry`` columns.
+
+    One shuffle of the input, keyed by (group, chunk); the window reuses
+    that partitioning and sorts at most ``chunk`` rows per key.
+    """
+    keys = [*group_cols, CHUNK]
+    table = offsets.select(*keys, OFFSET, *carry)
+    inner = Window.partitionBy(*keys).orderBy(order_col)
+    return (chunked.join(table, keys, "inner")
+            .withColumn(out_col, (F.col(OFFSET) + F.row_number().over(inner)).cast("long"))
+            .drop(CHUNK, OFFSET))
+
+
+def chunked_row_number(df: DataFrame, group_cols: Sequence[str], order_col: str, out_col: str = "n",
+                       chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """``row_number() OVER (PARTITION BY group_cols ORDER BY order_col)``.
+
+    ``order_col`` must be a non-null integer, unique inside a group.
+    """
+    chunked = with_chunk(df, order_col, chunk)
+    return number_in_chunks(chunked, chunk_offsets(chunked, group_cols), group_cols, order_col, out_col)
 
 
 def group_first(
@@ -61,8 +89,3 @@ def group_first(
         F.col("_first._o").alias(order_col),
         *[F.col(f"_first.{c}").alias(c) for c in value_cols],
     )
-
-
-def first_at(value: str | Column, order: str | Column) -> Column:
-    """Aggregate: the ``value`` of the row with the smallest ``order``."""
-    return F.min_by(value, order)

@@ -6,18 +6,24 @@ A pure function of ``events``; the same rules are written in DuckDB SQL in
 Time is stretched so January 2024 covers 2012-03 .. 2015-03, the period the
 analyses' date literals refer to.
 
-Scale notes: session ids and start times come from an aggregate per
-(user, bucket); the page number inside a session uses
-``chunked_row_number``, so a user with a third of all events is still spread
-over many tasks.  The only windows left run over per-chunk counts and over
-derived users, who have at most three sessions each by construction.
+Scale notes: events are read twice and shuffled once.  A per-(session,
+chunk) aggregate (map-side combined) yields the numbering offsets and, by
+windows over that small table, each session's id, start and first k.  The
+one full shuffle joins events to it on (session, chunk), where no key has
+more than ``chunk`` rows, so a user with a third of all events is still
+spread over many tasks; the page number is counted inside each chunk.  The
+only other window runs over derived users, who have at most three sessions
+each by construction.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from funnelwise.functions.sequence import DEFAULT_CHUNK, chunked_row_number
+from funnelwise.functions.sequence import (DEFAULT_CHUNK, OFFSET, chunk_offsets, group_window,
+                                          number_in_chunks, with_chunk)
 from funnelwise.sources.schema import (
     ORDER_ITEM_REFUNDS,
     ORDER_ITEMS,
@@ -92,8 +98,14 @@ def _page_url(stage: Column, sid: Column, s_at: Column) -> Column:
     )
 
 
-def derive_shop_tables(events: DataFrame, chunk: int = DEFAULT_CHUNK) -> ShopTables:
-    """Build sessions, pageviews, orders, items and refunds from ``events``."""
+def derive_shop_tables(events: DataFrame, chunk: int = DEFAULT_CHUNK,
+                       stage: Callable[[str, DataFrame], DataFrame] | None = None) -> ShopTables:
+    """Build sessions, pageviews, orders, items and refunds from ``events``.
+
+    ``stage(name, df)`` may store an intermediate result and return it read
+    back (``tables_for`` writes it to the shared checkpoint folder), so the
+    tables derived from it do not recompute the numbering.
+    """
     ev = events.select(
         "event_id",
         "ts",
@@ -102,24 +114,32 @@ def derive_shop_tables(events: DataFrame, chunk: int = DEFAULT_CHUNK) -> ShopTab
         F.floor(F.datediff(F.to_date("ts"), F.to_date(F.lit(EPOCH_SOURCE[:10])))
                 / F.lit(SESSION_BUCKET_DAYS)).cast("long").alias("b"),
     )
-
-    # One row per session: its id, start and the k of its first event.
-    heads = ev.groupBy("user_id", "b").agg(
-        (F.min("event_id") + 1).alias("sid"),
-        F.min("ts").alias("first_ts"),
-        F.min_by("k", "event_id").alias("k1"),
+    group = ["user_id", "b"]
+    chunked = with_chunk(ev, "event_id", chunk)
+
+    # One row per (session, chunk): offsets for the numbering, plus the
+    # session's id, start and first k, taken over its (few) chunk rows.
+    whole = group_window(group)
+    offsets = chunk_offsets(
+        chunked, group,
+        chunk_aggs={"_cmin": F.min("event_id"), "_cts": F.min("ts"), "_ck": F.min_by("k", "event_id")},
+        group_values={"sid": F.min("_cmin").over(whole) + 1,
+                      "first_ts": F.min("_cts").over(whole),
+                      "k1": F.min_by("_ck", "_cmin").over(whole)},
     ).withColumn(
         "s_at",
         _plus_micros(_ts(EPOCH_TARGET), F.lit(TIME_STRETCH) * _micros_between(_ts(EPOCH_SOURCE), F.col("first_ts"))),
     )
+    heads = offsets.filter(F.col(OFFSET) == 0).select(*group, "sid", "first_ts", "k1", "s_at")
 
-    numbered = chunked_row_number(ev, ["user_id", "b"], "event_id", "n", chunk)
-    rows = numbered.join(heads, ["user_id", "b"], "inner").withColumn(
+    rows = number_in_chunks(chunked, offsets, group, "event_id", "n",
+                            carry=["sid", "first_ts", "k1", "s_at"]).withColumn(
         "stage", F.when((F.col("sid") % 4 == 0) & (F.col("n") >= 5), F.col("n") - 1).otherwise(F.col("n"))
     )
 
     sid = F.col("sid")
     new_user = F.col("user_id") * USERS_PER_SOURCE_USER + F.floor(F.col("b") / USER_COHORT_BUCKETS).cast("long")
+    # Derived users own at most USER_COHORT_BUCKETS sessions: a tiny window.
     by_user = Window.partitionBy("new_user_id")
     sessions = (
         heads.withColumn("new_user_id", new_user)
@@ -145,6 +165,8 @@ def derive_shop_tables(events: DataFrame, chunk: int = DEFAULT_CHUNK) -> ShopTab
         "s_at",
         "k1",
     )
+    if stage is not None:
+        pv_rows = stage("pageview_rows", pv_rows)
     pageviews = pv_rows.select(*WEBSITE_PAGEVIEWS.fieldNames())
 
     items = F.when((F.col("created_at") >= _ts(f"{CROSS_SELL_LAUNCH} 00:00:00")) & (F.col("website_session_id") % 3 == 1), 2).otherwise(1)

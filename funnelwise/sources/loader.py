@@ -80,10 +80,17 @@ def tables_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Sh
         if cached is not None:
             return cached
         events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-        tables = derive_shop_tables(events)
-        if materialize:
+        if not materialize:
+            tables = derive_shop_tables(events)
+        else:
             target = f"{checkpoint_dir(spark).rstrip('/')}/funnelwise-shop-{uuid.uuid4().hex}"
-            write_shop_tables(tables, target)
+
+            def stage(name, df):
+                path = f"{target}/_stage/{name}"
+                df.write.parquet(path)
+                return spark.read.parquet(path)
+
+            write_shop_tables(derive_shop_tables(events, stage=stage), target)
             tables = read_shop_tables(spark, target)
         _CACHE[key] = tables
         return tables
