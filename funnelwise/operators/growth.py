@@ -6,31 +6,25 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from funnelwise.functions.columns import safe_ratio
 from funnelwise.functions.ranges import TimeRange, everything
-from funnelwise.operators.traffic import n_orders, n_sessions, session_orders
-
-
-def _quarterly(sessions: DataFrame, orders: DataFrame, window: TimeRange, *aggs: Column) -> DataFrame:
-    so = session_orders(sessions, orders, window)
-    return so.groupBy(F.year("created_at").alias("yr"), F.quarter("created_at").alias("qtr")).agg(*aggs)
+from funnelwise.operators.traffic import n_orders, n_sessions, session_orders, trend, with_ratios
 
 
 def quarterly_volume(sessions: DataFrame, orders: DataFrame, window: TimeRange = everything()) -> DataFrame:
-    return (_quarterly(sessions, orders, window, n_sessions().alias("sessions"), n_orders().alias("orders"))
-            .orderBy("yr", "qtr"))
+    so = session_orders(sessions, orders, window)
+    return trend(so, "quarter", {"sessions": n_sessions(), "orders": n_orders()}).orderBy("yr", "qtr")
 
 
 def quarterly_efficiency(sessions: DataFrame, orders: DataFrame, window: TimeRange = everything()) -> DataFrame:
-    q = _quarterly(sessions, orders, window, n_sessions().alias("_s"), n_orders().alias("_o"),
-                   F.sum("revenue").alias("_r"))
-    return q.select("yr", "qtr", safe_ratio("_o", "_s").alias("session_to_order_conv_rate"),
-                    safe_ratio("_r", "_o").alias("revenue_per_order"),
-                    safe_ratio("_r", "_s").alias("revenue_per_session")).orderBy("yr", "qtr")
+    so = session_orders(sessions, orders, window)
+    q = trend(so, "quarter", {"_s": n_sessions(), "_o": n_orders(), "_r": F.sum("revenue")})
+    return with_ratios(q, ["yr", "qtr", ("session_to_order_conv_rate", "_o", "_s"),
+                           ("revenue_per_order", "_r", "_o"), ("revenue_per_session", "_r", "_s")]
+                       ).orderBy("yr", "qtr")
 
 
 def quarterly_channel_orders(sessions: DataFrame, orders: DataFrame, channels: Mapping[str, Column],
                              window: TimeRange = everything()) -> DataFrame:
     """Orders per quarter for each named session condition."""
-    return (_quarterly(sessions, orders, window, *[n_orders(c).alias(name) for name, c in channels.items()])
-            .orderBy("yr", "qtr"))
+    so = session_orders(sessions, orders, window)
+    return trend(so, "quarter", {name: n_orders(c) for name, c in channels.items()}).orderBy("yr", "qtr")

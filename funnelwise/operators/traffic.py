@@ -125,61 +125,88 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
+GRAINS = ("year_week", "yearweek", "month", "quarter")
+
+
+def trend(rows: DataFrame, grain: str, measures: Mapping[str, Column], label: str = "week_start_date",
+          ts: str = "created_at") -> DataFrame:
+    """Measures per time bucket of ``ts``.
+
+    ``year_week``: MySQL ``GROUP BY YEAR(ts), WEEK(ts)`` (Sunday weeks split
+    at New Year), labelled by the first date with rows; ``yearweek``: MySQL
+    ``YEARWEEK(ts)`` (whole Sunday weeks), same label; ``month`` and
+    ``quarter`` output ``yr`` with ``mo`` / ``qtr``.
+    """
+    if grain == "year_week":
+        return year_week_trend(rows, measures, label, ts)
+    if grain == "yearweek":
+        return yearweek_trend(rows, measures, label, ts)
+    if grain == "month":
+        keys = [F.year(ts).alias("yr"), F.month(ts).alias("mo")]
+    elif grain == "quarter":
+        keys = [F.year(ts).alias("yr"), F.quarter(ts).alias("qtr")]
+    else:
+        raise ValueError(f"grain must be one of {GRAINS}")
+    return rows.groupBy(*keys).agg(*[m.alias(n) for n, m in measures.items()])
+
+
+def conditional_counts(conditions: Mapping[str, Column]) -> dict[str, Column]:
+    """Pivot by conditional aggregation: one ``count_if`` per named condition."""
+    return {name: count_if(cond) for name, cond in conditions.items()}
+
+
+def with_ratios(df: DataFrame, columns: Sequence[str | tuple[str, str, str]]) -> DataFrame:
+    """Select ``columns``; a triple ``(name, numerator, denominator)`` is a safe ratio."""
+    out = [c if isinstance(c, str) else safe_ratio(c[1], c[2]).alias(c[0]) for c in columns]
+    return df.select(*out)
+
+
 def weekly_sessions(sessions: DataFrame, window: TimeRange, where: Column | None,
                     label: str = "week_started_at") -> DataFrame:
-    return year_week_trend(sessions_in(sessions, window, where), {"sessions": n_sessions()}, label)
+    return trend(sessions_in(sessions, window, where), "year_week", {"sessions": n_sessions()}, label)
 
 
 def weekly_device_sessions(sessions: DataFrame, window: TimeRange, where: Column | None) -> DataFrame:
     device = F.col("device_type")
-    return year_week_trend(
-        sessions_in(sessions, window, where),
-        {"desktop_sessions": count_if(device == "desktop"), "mobile_sessions": count_if(device == "mobile")},
-        "week_start_date",
-    )
+    return trend(sessions_in(sessions, window, where), "year_week", conditional_counts(
+        {"desktop_sessions": device == "desktop", "mobile_sessions": device == "mobile"}))
 
 
 def weekly_channel_sessions(sessions: DataFrame, window: TimeRange, where: Column | None,
                             sources: Sequence[str] = ("gsearch", "bsearch")) -> DataFrame:
     src = F.col("utm_source")
-    return yearweek_trend(sessions_in(sessions, window, where),
-                          {f"{s}_sessions": count_if(src == s) for s in sources})
+    return trend(sessions_in(sessions, window, where), "yearweek",
+                 conditional_counts({f"{s}_sessions": src == s for s in sources}))
 
 
 def channel_mobile_share(sessions: DataFrame, window: TimeRange, where: Column | None) -> DataFrame:
-    mobile = F.col("device_type") == "mobile"
-    return (sessions_in(sessions, window, where).groupBy("utm_source")
-            .agg(n_sessions().alias("sessions"), count_if(mobile).alias("mobile_sessions"))
-            .withColumn("pct_mobile", safe_ratio("mobile_sessions", "sessions")))
+    counts = (sessions_in(sessions, window, where).groupBy("utm_source")
+              .agg(n_sessions().alias("sessions"), count_if(F.col("device_type") == "mobile").alias("mobile_sessions")))
+    return with_ratios(counts, ["utm_source", "sessions", "mobile_sessions",
+                                ("pct_mobile", "mobile_sessions", "sessions")])
 
 
 def weekly_source_device_mix(sessions: DataFrame, window: TimeRange, where: Column | None) -> DataFrame:
     src, dev = F.col("utm_source"), F.col("device_type")
-    weekly = yearweek_trend(sessions_in(sessions, window, where), {
-        "g_dtop_sessions": count_if((src == "gsearch") & (dev == "desktop")),
-        "b_dtop_sessions": count_if((src == "bsearch") & (dev == "desktop")),
-        "g_mob_sessions": count_if((src == "gsearch") & (dev == "mobile")),
-        "b_mob_sessions": count_if((src == "bsearch") & (dev == "mobile")),
-    })
-    return weekly.select(
+    weekly = trend(sessions_in(sessions, window, where), "yearweek", conditional_counts({
+        "g_dtop_sessions": (src == "gsearch") & (dev == "desktop"),
+        "b_dtop_sessions": (src == "bsearch") & (dev == "desktop"),
+        "g_mob_sessions": (src == "gsearch") & (dev == "mobile"),
+        "b_mob_sessions": (src == "bsearch") & (dev == "mobile"),
+    }))
+    return with_ratios(weekly, [
         "week_start_date", "g_dtop_sessions", "b_dtop_sessions",
-        safe_ratio("b_dtop_sessions", "g_dtop_sessions").alias("b_pct_of_g_dtop"),
-        "g_mob_sessions", "b_mob_sessions",
-        safe_ratio("b_mob_sessions", "g_mob_sessions").alias("b_pct_of_g_mob"),
-    )
+        ("b_pct_of_g_dtop", "b_dtop_sessions", "g_dtop_sessions"),
+        "g_mob_sessions", "b_mob_sessions", ("b_pct_of_g_mob", "b_mob_sessions", "g_mob_sessions")])
 
 
 def monthly_channel_mix(sessions: DataFrame, window: TimeRange, channel: Column) -> DataFrame:
     """Sessions per channel per month, with brand / direct / organic relative to paid nonbrand."""
     ch = F.col("channel_group")
-    monthly = (sessions_in(sessions, window).withColumn("channel_group", channel)
-               .groupBy(F.year("created_at").alias("yr"), F.month("created_at").alias("mo"))
-               .agg(count_if(ch == "paid_nonbrand").alias("nonbrand"),
-                    count_if(ch == "paid_brand").alias("brand"),
-                    count_if(ch == "direct_type_in").alias("direct"),
-                    count_if(ch == "organic_search").alias("organic")))
-    return monthly.select(
-        "yr", "mo", "nonbrand", "brand", safe_ratio("brand", "nonbrand").alias("brand_pct_of_nonbrand"),
-        "direct", safe_ratio("direct", "nonbrand").alias("direct_pct_of_nonbrand"),
-        "organic", safe_ratio("organic", "nonbrand").alias("organic_pct_of_nonbrand"),
-    )
+    monthly = trend(sessions_in(sessions, window).withColumn("channel_group", channel), "month",
+                    conditional_counts({"nonbrand": ch == "paid_nonbrand", "brand": ch == "paid_brand",
+                                        "direct": ch == "direct_type_in", "organic": ch == "organic_search"}))
+    return with_ratios(monthly, [
+        "yr", "mo", "nonbrand", "brand", ("brand_pct_of_nonbrand", "brand", "nonbrand"),
+        "direct", ("direct_pct_of_nonbrand", "direct", "nonbrand"),
+        "organic", ("organic_pct_of_nonbrand", "organic", "nonbrand")])
