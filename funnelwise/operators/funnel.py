@@ -16,6 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import flag, safe_ratio
+from funnelwise.functions.joins import aggregate_for_keys
 from funnelwise.functions.ranges import TimeRange
 
 SESSION_ID = "website_session_id"
@@ -52,9 +53,8 @@ def session_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange,
     s = sessions.filter(window.on("created_at") & where).select(SESSION_ID)
     url = F.col("pageview_url")
     made_it = [f"{name}_made_it" for name in steps]
-    flags = (pageviews.select(SESSION_ID, "pageview_url").join(s, SESSION_ID, "left_semi")
-             .groupBy(SESSION_ID)
-             .agg(*[F.max(flag(url == u)).alias(f"{name}_made_it") for name, u in steps.items()]))
+    flags = aggregate_for_keys(pageviews, s, SESSION_ID,
+                               *[F.max(flag(url == u)).alias(f"{name}_made_it") for name, u in steps.items()])
     # A session without pageviews has one all-NULL outer row: every flag 0.
     return s.join(flags, SESSION_ID, "left").fillna(0, subset=made_it)
 
@@ -116,10 +116,9 @@ def product_session_flags(pageviews: DataFrame, views: DataFrame, labels: Mappin
     anchors = (views.withColumn("product_seen", label.otherwise(guard))
                .groupBy(SESSION_ID, "product_seen").agg(F.min(PAGEVIEW_ID).alias("_anchor")))
     url = F.col("pageview_url")
-    last_step = (pageviews.filter(url.isin(*steps.values()))
-                 .join(anchors.select(SESSION_ID).distinct(), SESSION_ID, "left_semi")
-                 .groupBy(SESSION_ID)
-                 .agg(*[F.max(F.when(url == u, F.col(PAGEVIEW_ID))).alias(f"_last_{n}") for n, u in steps.items()]))
+    last_step = aggregate_for_keys(
+        pageviews.filter(url.isin(*steps.values())), anchors, SESSION_ID,
+        *[F.max(F.when(url == u, F.col(PAGEVIEW_ID))).alias(f"_last_{n}") for n, u in steps.items()])
     joined = anchors.join(last_step, SESSION_ID, "left")
     return joined.select(
         SESSION_ID, "product_seen",

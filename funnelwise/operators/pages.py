@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import safe_ratio, week_start_sunday
+from funnelwise.functions.joins import aggregate_for_keys
 from funnelwise.functions.ranges import TimeRange, everything
 
 SESSION_ID = "website_session_id"
@@ -49,13 +50,11 @@ def entry_page_counts(pageviews: DataFrame, window: TimeRange) -> DataFrame:
 def per_session(pageviews: DataFrame, keys: DataFrame, *aggs) -> DataFrame:
     """Aggregates over the pageviews of the sessions in ``keys`` (one row per session).
 
-    Pageviews are first reduced to those sessions by a semi join (a broadcast
-    when ``keys`` is measured small; otherwise a shuffle join whose pageview
-    side AQE can split when one session is huge), then aggregated with
-    map-side combine, so a hot session is never one task's whole input.
+    ``aggregate_for_keys``: a checked broadcast semi join when the key set is
+    small, else aggregate first; either way a hot session is combined
+    map-side and never is one task's whole input.
     """
-    return (pageviews.join(keys.select(SESSION_ID), SESSION_ID, "left_semi")
-            .groupBy(SESSION_ID).agg(*aggs))
+    return aggregate_for_keys(pageviews, keys, SESSION_ID, *aggs)
 
 
 def with_page_counts(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
@@ -176,8 +175,7 @@ def billing_conversion(pageviews: DataFrame, orders: DataFrame, from_id: Column,
     pv = (pageviews.filter((F.col(PAGEVIEW_ID) >= from_id) & window.on("created_at")
                            & F.col("pageview_url").isin(*urls))
           .select(SESSION_ID, F.col("pageview_url").alias("billing_version_seen")).distinct())
-    per = (orders.join(pv.select(SESSION_ID), SESSION_ID, "left_semi")
-           .groupBy(SESSION_ID).agg(F.count("order_id").alias("n_orders")))
+    per = aggregate_for_keys(orders, pv, SESSION_ID, F.count("order_id").alias("n_orders"))
     return (pv.join(per, SESSION_ID, "left").groupBy("billing_version_seen")
             .agg(F.count(SESSION_ID).alias("sessions"),
                  F.coalesce(F.sum("n_orders"), F.lit(0).cast("long")).alias("orders"))

@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import period_label, safe_ratio
+from funnelwise.functions.joins import aggregate_for_keys
 from funnelwise.functions.ranges import TimeRange
 from funnelwise.operators.traffic import n_orders, n_sessions, session_orders
 
@@ -123,19 +124,18 @@ def cross_sell(pageviews: DataFrame, orders: DataFrame, carts: DataFrame) -> Dat
     """
     per_period = carts.groupBy("time_period", "cart_session_id").agg(
         F.count(F.lit(1)).alias("_cp"), F.min("cart_pageview_id").alias("_anchor"))
-    last_pv = (pageviews.select(F.col(SESSION_ID).alias("cart_session_id"), PAGEVIEW_ID)
-               .join(per_period.select("cart_session_id").distinct(), "cart_session_id", "left_semi")
-               .groupBy("cart_session_id").agg(F.max(PAGEVIEW_ID).alias("_last")))
+    last_pv = aggregate_for_keys(
+        pageviews.select(F.col(SESSION_ID).alias("cart_session_id"), PAGEVIEW_ID), per_period,
+        "cart_session_id", F.max(PAGEVIEW_ID).alias("_last"))
     per_session = (per_period.join(last_pv, "cart_session_id", "left")
                    .groupBy("cart_session_id")
                    .agg(F.sum("_cp").alias("_c"),
                         F.count(F.when(F.col("_last") > F.col("_anchor"), F.lit(1))).alias("_a")))
-    per_order = (orders.select(F.col(SESSION_ID).alias("cart_session_id"), "order_id", "items_purchased",
-                               "price_usd")
-                 .join(per_period.select("cart_session_id"), "cart_session_id", "left_semi")
-                 .groupBy("cart_session_id")
-                 .agg(F.count("order_id").alias("_m"), F.sum("items_purchased").alias("_items"),
-                      F.sum("price_usd").alias("_price")))
+    per_order = aggregate_for_keys(
+        orders.select(F.col(SESSION_ID).alias("cart_session_id"), "order_id", "items_purchased", "price_usd"),
+        per_period, "cart_session_id",
+        F.count("order_id").alias("_m"), F.sum("items_purchased").alias("_items"),
+        F.sum("price_usd").alias("_price"))
     rows = (per_period.join(per_session, "cart_session_id", "inner")
             .join(per_order, "cart_session_id", "left")
             .fillna(0, subset=["_m"]))

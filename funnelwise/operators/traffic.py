@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import safe_ratio, week_mode0, week_start_sunday
+from funnelwise.functions.joins import aggregate_for_keys
 from funnelwise.functions.ranges import TimeRange, everything
 
 SESSION_ID = "website_session_id"
@@ -26,16 +27,20 @@ def sessions_in(sessions: DataFrame, window: TimeRange = everything(), where: Co
     return out.filter(where) if where is not None else out
 
 
-def orders_per_session(orders: DataFrame, products: Sequence[int] = ()) -> DataFrame:
-    """One row per session with orders: count, revenue, items, counts per product."""
+def order_measures(products: Sequence[int] = ()) -> list[Column]:
+    """Per-session order aggregates: count, revenue, items, counts per product."""
     aggs = [
         F.count("order_id").alias("n_orders"),
         F.sum("price_usd").alias("revenue"),
         F.sum("items_purchased").alias("items"),
     ]
-    aggs += [F.count(F.when(F.col("primary_product_id") == p, F.col("order_id"))).alias(f"n_orders_p{p}")
-             for p in products]
-    return orders.groupBy(SESSION_ID).agg(*aggs)
+    return aggs + [F.count(F.when(F.col("primary_product_id") == p, F.col("order_id"))).alias(f"n_orders_p{p}")
+                   for p in products]
+
+
+def orders_per_session(orders: DataFrame, products: Sequence[int] = ()) -> DataFrame:
+    """One row per session with orders: count, revenue, items, counts per product."""
+    return orders.groupBy(SESSION_ID).agg(*order_measures(products))
 
 
 def session_orders(sessions: DataFrame, orders: DataFrame, window: TimeRange = everything(),
@@ -47,11 +52,9 @@ def session_orders(sessions: DataFrame, orders: DataFrame, window: TimeRange = e
     NULL for sessions without orders, as SUM over the outer join's NULLs.
     """
     s = sessions_in(sessions, window, where)
-    # Orders of other sessions are dropped before they are shuffled: the
-    # semi join becomes a broadcast when the window's sessions are measured
-    # small, and its (possibly hot) order side is the one AQE can split.
-    in_window = orders.join(s.select(SESSION_ID), SESSION_ID, "left_semi")
-    per = orders_per_session(in_window, products)
+    # Only the orders of these sessions are folded: a checked broadcast semi
+    # join for a small window, else fold all orders first (map-side combine).
+    per = aggregate_for_keys(orders, s, SESSION_ID, *order_measures(products))
     zero_cols = ["n_orders"] + [f"n_orders_p{p}" for p in products]
     return s.join(per, SESSION_ID, "left").fillna(0, subset=zero_cols)
 
