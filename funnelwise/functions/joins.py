@@ -49,11 +49,31 @@ def has_at_most(df: DataFrame, n: int) -> bool:
 
 
 def aggregate_for_keys(rows: DataFrame, keys: DataFrame, key: str | Sequence[str], *aggs: Column,
-                       max_keys: int | None = None) -> DataFrame:
-    """``rows`` restricted to the keys of ``keys``, aggregated per key (one row per key present)."""
+                       by: Sequence[str | Column] = (), max_keys: int | None = None) -> DataFrame:
+    """``rows`` restricted to the keys of ``keys``, aggregated per key (and ``by``).
+
+    One output row per key present in both (per key and ``by`` value).
+    """
     cols = [key] if isinstance(key, str) else list(key)
     k = keys.select(*cols)
     limit = key_limit(rows) if max_keys is None else max_keys
+    group = [*cols, *by]
     if has_at_most(k, limit):
-        return rows.join(F.broadcast(k), cols, "left_semi").groupBy(*cols).agg(*aggs)
-    return rows.groupBy(*cols).agg(*aggs).join(k.distinct(), cols, "left_semi")
+        return rows.join(F.broadcast(k), cols, "left_semi").groupBy(*group).agg(*aggs)
+    return rows.groupBy(*group).agg(*aggs).join(k.distinct(), cols, "left_semi")
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | Sequence[str], how: str = "inner",
+               max_keys: int | None = None) -> DataFrame:
+    """``rows JOIN keyed`` where ``keyed`` holds few rows per key (anchors, limits).
+
+    ``keyed`` is broadcast when a bounded count proves it small, so ``rows``
+    is joined where it lies, without a shuffle.  Otherwise a shuffled join:
+    both inputs are fresh shuffle stages, so AQE can split a hot key of an
+    inner join on either side.
+    """
+    cols = [key] if isinstance(key, str) else list(key)
+    limit = key_limit(rows) if max_keys is None else max_keys
+    if has_at_most(keyed, limit):
+        return rows.join(F.broadcast(keyed), cols, how)
+    return rows.join(keyed, cols, how)

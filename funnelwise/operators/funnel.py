@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import flag, safe_ratio
-from funnelwise.functions.joins import aggregate_for_keys
+from funnelwise.functions.joins import aggregate_for_keys, join_keyed
 from funnelwise.functions.ranges import TimeRange
 
 SESSION_ID = "website_session_id"
@@ -35,7 +35,7 @@ def page_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange, whe
     # LEFT JOIN as inner join plus the sessions without pageviews: AQE can
     # split a hot session on either side of an inner join, and the anti join
     # only probes distinct session ids (combined map-side).
-    matched = pv.join(s, SESSION_ID, "inner")
+    matched = join_keyed(pv, s, SESSION_ID, "inner")
     with_pages = pv.select(SESSION_ID).join(s, SESSION_ID, "left_semi").distinct()
     empty = (s.join(with_pages, SESSION_ID, "left_anti")
              .select(SESSION_ID, F.lit(None).cast("string").alias("pageview_url"),
@@ -87,15 +87,21 @@ def urls_after(pageviews: DataFrame, views: DataFrame) -> DataFrame:
     """Distinct urls seen after any of ``views`` in the same session, plus NULL
     when some view is the last pageview of its session (an unmatched outer row).
 
-    A url follows some view of the session exactly when it follows the
-    session's earliest view, so pageviews are joined to one anchor per
-    session (N:1), never to every view.
+    A url follows some view of the session exactly when its latest view in the
+    session is after the session's earliest view; a view is unmatched exactly
+    when the session's latest view is a view.  Everything is decided on
+    per-session aggregates (combined map-side), never on pairs of pageviews.
     """
     anchors = _later_anchor(views, [])
-    pv = pageviews.select(SESSION_ID, PAGEVIEW_ID, "pageview_url").join(anchors, SESSION_ID, "inner")
-    later = pv.filter(F.col(PAGEVIEW_ID) > F.col("_anchor")).select("pageview_url")
-    last_id = pv.groupBy(SESSION_ID).agg(F.max(PAGEVIEW_ID).alias("_last"))
-    unmatched = (views.join(last_id, SESSION_ID, "inner").filter(F.col(PAGEVIEW_ID) >= F.col("_last"))
+    pv = pageviews.select(SESSION_ID, PAGEVIEW_ID, "pageview_url")
+    url_last = aggregate_for_keys(pv, anchors, SESSION_ID, F.max(PAGEVIEW_ID).alias("_url_last"),
+                                  by=["pageview_url"])
+    later = (url_last.join(anchors, SESSION_ID, "inner")
+             .filter(F.col("_url_last") > F.col("_anchor")).select("pageview_url"))
+    session_last = aggregate_for_keys(pv, anchors, SESSION_ID, F.max(PAGEVIEW_ID).alias("_last"))
+    view_last = views.groupBy(SESSION_ID).agg(F.max(PAGEVIEW_ID).alias("_view_last"))
+    unmatched = (view_last.join(session_last, SESSION_ID, "inner")
+                 .filter(F.col("_view_last") >= F.col("_last"))
                  .select(F.lit(None).cast("string").alias("pageview_url")))
     return later.unionByName(unmatched).distinct()
 

@@ -112,7 +112,7 @@ def test_first_pageviews(pageviews: DataFrame, sessions: DataFrame, session_wind
     s = sessions.filter(session_window.on("created_at") & session_where).select(SESSION_ID)
     pv = pageviews.filter(F.col(PAGEVIEW_ID) > after_id)
     first = F.min(F.struct(F.col(PAGEVIEW_ID), F.col("pageview_url")))
-    return pv.join(s, SESSION_ID, "inner").groupBy(SESSION_ID).agg(first.alias("_f")).select(
+    return aggregate_for_keys(pv, s, SESSION_ID, first.alias("_f")).select(
         SESSION_ID, F.col("_f.website_pageview_id").alias("min_pageview_id"),
         F.col("_f.pageview_url").alias("landing_page"))
 

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import period_label, safe_ratio
-from funnelwise.functions.joins import aggregate_for_keys
+from funnelwise.functions.joins import aggregate_for_keys, join_keyed
 from funnelwise.functions.ranges import TimeRange
 from funnelwise.operators.traffic import n_orders, n_sessions, session_orders
 
@@ -61,7 +61,7 @@ def next_pageview(pageviews: DataFrame, views: DataFrame, keep_unmatched: bool =
     anchors = views.groupBy("time_period", SESSION_ID).agg(F.min(PAGEVIEW_ID).alias("_anchor"))
     pv = pageviews.select(SESSION_ID, PAGEVIEW_ID, "pageview_url")
     nxt = F.min(F.struct(F.col(PAGEVIEW_ID), F.col("pageview_url")))
-    following = (pv.join(anchors, SESSION_ID, "inner")
+    following = (join_keyed(pv, anchors, SESSION_ID, "inner")
                  .filter(F.col(PAGEVIEW_ID) > F.col("_anchor"))
                  .groupBy("time_period", SESSION_ID).agg(nxt.alias("_n")))
     how = "left" if keep_unmatched else "inner"

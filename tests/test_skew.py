@@ -61,19 +61,60 @@ def test_derivation_exact_with_hot_user(spark, events_path):
 
 
 def shuffled_raw_rows(plan: str) -> list[str]:
-    """Session-keyed exchanges whose child is not a partial aggregate (raw rows shuffled by session)."""
+    """Session-keyed exchanges that move raw pageview / order rows.
+
+    Walks down from each exchange on ``website_session_id`` to the first
+    aggregate, scan or exchange.  Fine: an aggregate (rows already combined
+    per key, map-side or final) or a scan of ``website_sessions`` (one row per
+    session, no hot key).  Raw: a scan of any other table.
+    """
     lines = plan.splitlines()
     bad = []
     for i, line in enumerate(lines):
-        if "Exchange hashpartitioning(website_session_id" in line and i + 1 < len(lines):
-            child = lines[i + 1]
-            # partial aggregates (hash or sort based) and distinct's map side combine rows per key
-            combined = "Aggregate" in child and ("partial_" in child or "functions=[]" in child)
-            if not combined:
-                bad.append(line.strip() + "  <-  " + child.strip())
+        if "Exchange hashpartitioning(website_session_id" not in line:
+            continue
+        for below in lines[i + 1:]:
+            if "Aggregate" in below:
+                break
+            if "Exchange" in below or "Scan" in below:
+                if "Scan" in below and "website_sessions" in below:
+                    break
+                bad.append(line.strip()[:80] + "  <-  " + below.strip()[:160])
+                break
     return bad
 
 
+# Results defined as pairs of a session's rows (billing views x orders): raw by definition.
+PAIR_RESULTS = {"billing_sessions_detail"}
+
+
+@pytest.mark.parametrize("threshold", ["10485760b", "-1"], ids=["broadcast", "no-broadcast"])
+def test_no_statement_shuffles_raw_rows_by_session(spark, threshold):
+    from funnelwise.plans.queries import STATEMENTS
+    from funnelwise.sources.loader import tables_for
+    t = tables_for(spark, "/root/testdata/sf0.001")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.maxMetadataStringLength")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        found = {}
+        for name, fn in STATEMENTS.items():
+            bad = shuffled_raw_rows(fn(t)._jdf.queryExecution().executedPlan().toString())
+            if bad and name not in PAIR_RESULTS:
+                found[name] = bad
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    if threshold == "-1":
+        # Without broadcasts these shuffle pageviews into an inner join (with
+        # the session's anchors, or the segment's sessions), which AQE splits
+        # on a hot session.
+        found = {k: v for k, v in found.items()
+                 if k not in {"next_pageview_id", "next_pageview_url", "product_pathing_pre_post",
+                              "cart_sessions_seeing_another_page", "funnel_page_flags"}}
+    assert found == {}
+
+
 @pytest.mark.parametrize("threshold", ["10485760b", "-1"], ids=["broadcast", "no-broadcast"])
 def test_hot_session_is_combined_before_any_shuffle(spark, events_path, threshold):
     events = spark.read.parquet(events_path)
