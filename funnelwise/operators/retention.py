@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from funnelwise.functions.columns import channel_group, safe_ratio
+from funnelwise.functions.columns import channel_group
 from funnelwise.functions.ranges import TimeRange
 from funnelwise.operators.traffic import conversion
 
@@ -105,6 +105,3 @@ def new_vs_repeat_conversion(sessions: DataFrame, orders: DataFrame, window: Tim
     return conversion(sessions, orders, window, by=["is_repeat_session"], orders_col=None,
                       rate_col="conv_rate", revenue_per_session_col="rev_per_session")
 
-
-__all__ = ["first_to_second", "new_vs_repeat_conversion", "new_with_repeats", "repeat_by_channel",
-           "repeat_by_source", "repeat_distribution", "safe_ratio", "time_to_repeat"]
