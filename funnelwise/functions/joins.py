@@ -12,8 +12,8 @@ Two plans are right, depending on the size of the key set:
 A shuffled semi join followed by an aggregate on the same key would put a hot
 session into one task, and AQE cannot split it there (the key side is an
 aggregate already partitioned by the key, not a fresh shuffle).  So the
-choice is made here, by counting at most ``limit + 1`` keys: the broadcast
-side has a checked size bound.
+choice is made here, by counting the keys: the broadcast side has a checked
+size bound.
 """
 
 from __future__ import annotations
@@ -44,8 +44,14 @@ def key_limit(df: DataFrame, bytes_per_key: int = BYTES_PER_KEY) -> int:
 
 
 def has_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows; reads no more than ``n + 1`` of them."""
-    return n >= 0 and df.limit(n + 1).count() <= n
+    """True when ``df`` has at most ``n`` rows.
+
+    A plain distributed count: each task sends one partial count.  (A
+    ``limit(n + 1).count()`` would gather up to ``n`` rows from every
+    partition into a single task, which on a large key set is the very
+    bottleneck this check exists to avoid.)
+    """
+    return n >= 0 and df.count() <= n
 
 
 def aggregate_for_keys(rows: DataFrame, keys: DataFrame, key: str | Sequence[str], *aggs: Column,
@@ -67,7 +73,7 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | Sequence[str], how:
                max_keys: int | None = None) -> DataFrame:
     """``rows JOIN keyed`` where ``keyed`` holds few rows per key (anchors, limits).
 
-    ``keyed`` is broadcast when a bounded count proves it small, so ``rows``
+    ``keyed`` is broadcast when its count proves it small, so ``rows``
     is joined where it lies, without a shuffle.  Otherwise a shuffled join:
     both inputs are fresh shuffle stages, so AQE can split a hot key of an
     inner join on either side.
