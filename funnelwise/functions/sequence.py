@@ -46,9 +46,21 @@ def chunk_offsets(chunked: DataFrame, group_cols: Sequence[str],
 
 
 def group_window(group_cols: Sequence[str]) -> Window:
+    """All chunk rows of a group (use on the chunk table only)."""
     return Window.partitionBy(*group_cols)
 
 
+def prior_chunks(group_cols: Sequence[str]) -> Window:
+    """Chunk rows of the group before the current chunk (use on the chunk table only)."""
+    return Window.partitionBy(*group_cols).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def before_in_chunk(group_cols: Sequence[str], order_col: str) -> Window:
+    """Rows of the same (group, chunk) before the current row: at most ``chunk`` rows."""
+    return (Window.partitionBy(*group_cols, CHUNK).orderBy(order_col)
+            .rowsBetween(Window.unboundedPreceding, -1))
+
+
 def number_in_chunks(chunked: DataFrame, offsets: DataFrame, group_cols: Sequence[str], order_col: str,
                      out_col: str = "n", carry: Sequence[str] = ()) -> DataFrame:
     """Attach ``out_col`` (1-based position in the group by ``order_col``) and ``carry`` columns.

@@ -16,7 +16,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import flag, safe_ratio
-from funnelwise.functions.joins import aggregate_for_keys, join_keyed
+from funnelwise.functions.joins import aggregate_for_keys, has_at_most, join_keyed, key_limit
+from funnelwise.functions.sequence import (DEFAULT_CHUNK, CHUNK, before_in_chunk, chunk_offsets,
+                                          group_window, prior_chunks, with_chunk)
 from funnelwise.functions.ranges import TimeRange
 
 SESSION_ID = "website_session_id"
@@ -130,3 +132,67 @@ def product_session_flags(pageviews: DataFrame, views: DataFrame, labels: Mappin
         SESSION_ID, "product_seen",
         *[F.coalesce(flag(F.col(f"_last_{n}") > F.col("_anchor")), F.lit(0)).alias(f"{n}_made_it")
           for n in steps])
+
+
+def product_page_flag_counts(pageviews: DataFrame, window: TimeRange, products: list[str],
+                             steps: Mapping[str, str], chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """The product-funnel page listing as a multiset: distinct rows and their count.
+
+    The listing pairs every product view in ``window`` (url in ``products``)
+    with every later pageview of its session (one all-zero row when none
+    follows) and flags the later page's step.  Its rows only vary by
+    (session, product seen, step flags), so the same multiset is returned as
+    those distinct rows with ``n_rows``, without forming the pairs:
+
+    * for each pageview v, ``before_u(v)`` = product views of url u in the
+      window earlier in the session (a prefix count: per-chunk counts with
+      offsets, then a running count inside the chunk, so no window holds
+      more than ``chunk`` rows of a session);
+    * pairs (u, flags) of a session = sum of ``before_u(v)`` over its pages
+      v with those flags;
+    * a product view that is the session's last pageview adds one all-zero
+      row (the outer join's unmatched row).
+    """
+    marks = {i: flag((F.col("pageview_url") == u) & window.on("created_at")) for i, u in enumerate(products)}
+    pv = pageviews.select(SESSION_ID, PAGEVIEW_ID, "pageview_url", "created_at").withColumns(
+        {f"_p{i}": m for i, m in marks.items()})
+    any_view = sum(F.col(f"_p{i}") for i in marks)
+    product_sessions = pv.filter(any_view > 0).select(SESSION_ID).distinct()
+    if has_at_most(product_sessions, key_limit(pv)):
+        pv = pv.join(F.broadcast(product_sessions), SESSION_ID, "left_semi")
+
+    keys = [SESSION_ID]
+    chunked = with_chunk(pv, PAGEVIEW_ID, chunk)
+    whole, prior = group_window(keys), prior_chunks(keys)
+    chunk_aggs = {f"_c{i}": F.sum(f"_p{i}") for i in marks}
+    chunk_aggs["_cmax"] = F.max(PAGEVIEW_ID)
+    group_values = {f"_o{i}": F.coalesce(F.sum(f"_c{i}").over(prior), F.lit(0).cast("long")) for i in marks}
+    group_values["_last"] = F.max("_cmax").over(whole)
+    group_values["_views"] = sum(F.sum(f"_c{i}").over(whole) for i in marks)
+    offsets = chunk_offsets(chunked, keys, chunk_aggs, group_values).filter(F.col("_views") > 0)
+
+    inner = before_in_chunk(keys, PAGEVIEW_ID)
+    rows = chunked.join(offsets.select(*keys, CHUNK, "_last", *[f"_o{i}" for i in marks]), [*keys, CHUNK], "inner")
+    rows = rows.withColumns({
+        f"_b{i}": F.col(f"_o{i}") + F.coalesce(F.sum(f"_p{i}").over(inner), F.lit(0).cast("long"))
+        for i in marks})
+    url = F.col("pageview_url")
+    flags = [flag(url == u).alias(f"{name}_page") for name, u in steps.items()]
+    flag_cols = [f"{name}_page" for name in steps]
+    is_last = F.col(PAGEVIEW_ID) == F.col("_last")
+    per_flags = rows.groupBy(SESSION_ID, *flags).agg(
+        *[F.sum(f"_b{i}").alias(f"_n{i}") for i in marks],
+        *[F.sum(F.when(is_last, F.col(f"_p{i}")).otherwise(0)).alias(f"_u{i}") for i in marks])
+    parts = []
+    for i, u in enumerate(products):
+        parts.append(per_flags.select(SESSION_ID, F.lit(u).alias("product_page_seen"), *flag_cols,
+                                      F.col(f"_n{i}").cast("long").alias("n_rows")))
+        parts.append(per_flags.select(SESSION_ID, F.lit(u).alias("product_page_seen"),
+                                      *[F.lit(0).alias(c) for c in flag_cols],
+                                      F.col(f"_u{i}").cast("long").alias("n_rows")))
+    listing = parts[0]
+    for part in parts[1:]:
+        listing = listing.unionByName(part)
+    return (listing.filter(F.col("n_rows") > 0)
+            .groupBy(SESSION_ID, "product_page_seen", *flag_cols)
+            .agg(F.sum("n_rows").alias("n_rows")))

@@ -487,6 +487,10 @@ SELECT DISTINCT p.pageview_url
 FROM sessions_seeing_product_pages sp LEFT JOIN website_pageviews p
   ON p.website_session_id = sp.website_session_id AND p.website_pageview_id > sp.website_pageview_id""",
                                   PRODUCT_VIEWS),
+    "product_funnel_page_flags": _q("""
+SELECT website_session_id, product_page_seen, cart_page, shipping_page, billing_page, thankyou_page,
+       COUNT(*) AS n_rows
+FROM product_pageview_level GROUP BY 1, 2, 3, 4, 5, 6""", PRODUCT_VIEWS, PRODUCT_PAGE_LEVEL),
     "product_funnel_session_flags": _q("SELECT * FROM session_product_level_made_it_flags",
                                        PRODUCT_VIEWS, PRODUCT_PAGE_LEVEL, PRODUCT_FLAGS),
     "product_funnel_counts": _q(f"""

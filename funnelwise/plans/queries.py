@@ -198,6 +198,9 @@ STATEMENTS: dict[str, Callable[[ShopTables], DataFrame]] = {
         _next_pages(t), {"to_mrfuzzy": MRFUZZY, "to_lovebear": LOVEBEAR}),
     "sessions_seeing_product_pages": _product_views,
     "urls_after_product_page": lambda t: funnel.urls_after(t.pageviews, _product_views(t)),
+    "product_funnel_page_flags": lambda t: funnel.product_page_flag_counts(
+        t.pageviews, open_range("2013-01-06", "2013-04-10"), [MRFUZZY, LOVEBEAR],
+        {"cart": CART, "shipping": SHIPPING, "billing": BILLING2, "thankyou": THANKYOU}),
     "product_funnel_session_flags": _product_flags,
     "product_funnel_counts": lambda t: funnel.step_counts(_product_flags(t), list(PRODUCT_STEPS),
                                                           by=["product_seen"]),

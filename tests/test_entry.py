@@ -19,7 +19,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) == 64
+    assert len(E.queries()) == 65
 
 
 @pytest.fixture(scope="module")

@@ -31,3 +31,17 @@ def test_statement_matches_literal_sql(shop, name):
     assert sorted(df.columns) == sorted(d_cols)
     assert len(s_rows) == len(d_rows)
     assert multiset(df.columns, s_rows) == multiset(d_cols, d_rows)
+
+
+@pytest.mark.parametrize("chunk", [2, 5])
+def test_page_flag_counts_with_tiny_chunks(shop, chunk):
+    from funnelwise.functions.ranges import open_range
+    from funnelwise.operators import funnel
+    from funnelwise.plans import queries as q
+    tables, con = shop
+    df = funnel.product_page_flag_counts(
+        tables.pageviews, open_range("2013-01-06", "2013-04-10"), [q.MRFUZZY, q.LOVEBEAR],
+        {"cart": q.CART, "shipping": q.SHIPPING, "billing": q.BILLING2, "thankyou": q.THANKYOU}, chunk=chunk)
+    cur = con.execute(STANDALONE["product_funnel_page_flags"])
+    d_cols = [d[0] for d in cur.description]
+    assert multiset(df.columns, [tuple(r) for r in df.collect()]) == multiset(d_cols, cur.fetchall())
