@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import safe_ratio, week_start_sunday
-from funnelwise.functions.joins import aggregate_for_keys
+from funnelwise.functions.joins import aggregate_for_keys, join_keyed
 from funnelwise.functions.ranges import TimeRange
 
 SESSION_ID = "website_session_id"
@@ -157,11 +157,22 @@ def weekly_bounce_and_lander(detail: DataFrame, home: str = "/home", lander: str
 
 def billing_sessions(pageviews: DataFrame, orders: DataFrame, from_id: Column, window: TimeRange,
                      urls: Sequence[str]) -> DataFrame:
-    """Billing pageviews of the test (id >= ``from_id``) with the session's orders."""
-    pv = pageviews.filter((F.col(PAGEVIEW_ID) >= from_id) & window.on("created_at")
-                          & F.col("pageview_url").isin(*urls))
-    return pv.join(orders.select(SESSION_ID, "order_id"), SESSION_ID, "left").select(
-        SESSION_ID, F.col("pageview_url").alias("billing_version_seen"), "order_id")
+    """Billing pageviews of the test (id >= ``from_id``) with the session's orders.
+
+    The literal listing pairs each billing view with each order of its
+    session (NULL order when none), repeating a row per view of one version.
+    Here each (session, version, order) appears once with ``n_rows`` = the
+    session's views of that version: the same multiset, linear in views.
+    """
+    views = (pageviews.filter((F.col(PAGEVIEW_ID) >= from_id) & window.on("created_at")
+                              & F.col("pageview_url").isin(*urls))
+             .groupBy(SESSION_ID, F.col("pageview_url").alias("billing_version_seen"))
+             .agg(F.count(F.lit(1)).alias("n_rows")))
+    ordered = join_keyed(orders.select(SESSION_ID, "order_id"), views, SESSION_ID, "inner")
+    unordered = views.join(orders.select(SESSION_ID).distinct(), SESSION_ID, "left_anti").withColumn(
+        "order_id", F.lit(None).cast("long"))
+    cols = [SESSION_ID, "billing_version_seen", "order_id", "n_rows"]
+    return ordered.select(*cols).unionByName(unordered.select(*cols))
 
 
 def billing_conversion(pageviews: DataFrame, orders: DataFrame, from_id: Column, window: TimeRange,

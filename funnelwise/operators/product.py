@@ -101,10 +101,17 @@ def cart_clickthroughs(pageviews: DataFrame, carts: DataFrame) -> DataFrame:
 
 
 def cart_orders(carts: DataFrame, orders: DataFrame) -> DataFrame:
-    """Each cart view with each order of its session (inner join on session)."""
+    """Orders of cart sessions, per period, as distinct rows with ``n_rows``.
+
+    The literal table pairs each cart view with each order of its session
+    (views x orders rows per session, identical for views of one period).
+    Here each (period, session, order) appears once with ``n_rows`` = the
+    session's cart views in that period: the same multiset, linear in orders.
+    """
+    views = carts.groupBy("time_period", "cart_session_id").agg(F.count(F.lit(1)).alias("n_rows"))
     o = orders.select(F.col(SESSION_ID).alias("cart_session_id"), "order_id", "items_purchased", "price_usd")
-    return carts.join(o, "cart_session_id", "inner").select(
-        "time_period", "cart_session_id", "order_id", "items_purchased", "price_usd")
+    return join_keyed(o, views, "cart_session_id", "inner").select(
+        "time_period", "cart_session_id", "order_id", "items_purchased", "price_usd", "n_rows")
 
 
 def cross_sell(pageviews: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFrame:
