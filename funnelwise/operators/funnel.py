@@ -183,16 +183,16 @@ def product_page_flag_counts(pageviews: DataFrame, window: TimeRange, products:
     per_flags = rows.groupBy(SESSION_ID, *flags).agg(
         *[F.sum(f"_b{i}").alias(f"_n{i}") for i in marks],
         *[F.sum(F.when(is_last, F.col(f"_p{i}")).otherwise(0)).alias(f"_u{i}") for i in marks])
-    parts = []
+    # Unpivot in one pass: per product, the pairs with these flags and the
+    # unmatched (all-zero) rows of its views that end the session.
+    zero = [F.lit(0).alias(c) for c in flag_cols]
+    entries = []
     for i, u in enumerate(products):
-        parts.append(per_flags.select(SESSION_ID, F.lit(u).alias("product_page_seen"), *flag_cols,
-                                      F.col(f"_n{i}").cast("long").alias("n_rows")))
-        parts.append(per_flags.select(SESSION_ID, F.lit(u).alias("product_page_seen"),
-                                      *[F.lit(0).alias(c) for c in flag_cols],
-                                      F.col(f"_u{i}").cast("long").alias("n_rows")))
-    listing = parts[0]
-    for part in parts[1:]:
-        listing = listing.unionByName(part)
+        entries.append(F.struct(F.lit(u).alias("product_page_seen"), *[F.col(c) for c in flag_cols],
+                                F.col(f"_n{i}").cast("long").alias("n_rows")))
+        entries.append(F.struct(F.lit(u).alias("product_page_seen"), *zero,
+                                F.col(f"_u{i}").cast("long").alias("n_rows")))
+    listing = per_flags.select(SESSION_ID, F.explode(F.array(*entries)).alias("_e")).select(SESSION_ID, "_e.*")
     return (listing.filter(F.col("n_rows") > 0)
             .groupBy(SESSION_ID, "product_page_seen", *flag_cols)
             .agg(F.sum("n_rows").alias("n_rows")))
