@@ -4,7 +4,6 @@ from funnelwise.functions.columns import (
     GUARD_LABEL,
     channel_group,
     count_distinct_if,
-    distinct_count,
     first_match,
     flag,
     period_label,
@@ -15,11 +14,12 @@ from funnelwise.functions.columns import (
     yearweek_mode0,
 )
 from funnelwise.functions.ranges import TimeRange, before, between, everything, half_open, open_range
-from funnelwise.functions.sequence import chunked_row_number, group_first
+from funnelwise.functions.joins import aggregate_for_keys, join_keyed
+from funnelwise.functions.sequence import chunked_row_number
 
 __all__ = [
-    "GUARD_LABEL", "TimeRange", "before", "between", "channel_group", "chunked_row_number",
-    "count_distinct_if", "distinct_count", "everything", "first_match", "flag", "group_first",
-    "half_open", "open_range", "period_label", "safe_ratio", "ts_literal", "week_mode0",
+    "GUARD_LABEL", "TimeRange", "aggregate_for_keys", "before", "between", "channel_group", "chunked_row_number",
+    "count_distinct_if", "everything", "first_match", "flag",
+    "half_open", "join_keyed", "open_range", "period_label", "safe_ratio", "ts_literal", "week_mode0",
     "week_start_sunday", "yearweek_mode0",
 ]

@@ -84,20 +84,3 @@ def chunked_row_number(df: DataFrame, group_cols: Sequence[str], order_col: str,
     """
     chunked = with_chunk(df, order_col, chunk)
     return number_in_chunks(chunked, chunk_offsets(chunked, group_cols), group_cols, order_col, out_col)
-
-
-def group_first(
-    df: DataFrame, group_cols: Sequence[str], order_col: str, value_cols: Sequence[str]
-) -> DataFrame:
-    """One row per group: the minimum of ``order_col`` and the values of its row.
-
-    An aggregate with map-side combine, so a hot group is reduced inside
-    every input task before the shuffle.
-    """
-    packed = F.min(F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in value_cols]))
-    agg = df.groupBy(*group_cols).agg(packed.alias("_first"))
-    return agg.select(
-        *group_cols,
-        F.col("_first._o").alias(order_col),
-        *[F.col(f"_first.{c}").alias(c) for c in value_cols],
-    )

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from funnelwise.functions.columns import safe_ratio, week_mode0, week_start_sunday
+from funnelwise.functions.columns import count_distinct_if, safe_ratio, week_mode0, week_start_sunday
 from funnelwise.functions.joins import aggregate_for_keys
 from funnelwise.functions.ranges import TimeRange, everything
 
@@ -68,10 +68,6 @@ def n_orders(condition: Column | None = None) -> Column:
     return F.coalesce(F.sum(value), F.lit(0).cast("long"))
 
 
-def revenue() -> Column:
-    return F.sum("revenue").cast("decimal(18,2)")
-
-
 def source_breakdown(sessions: DataFrame, window: TimeRange,
                      dims: Sequence[str] = ("utm_source", "utm_campaign", "http_referer")) -> DataFrame:
     """Sessions per combination of ``dims`` (NULLs form their own groups), largest first."""
@@ -153,9 +149,15 @@ def trend(rows: DataFrame, grain: str, measures: Mapping[str, Column], label: st
     return rows.groupBy(*keys).agg(*[m.alias(n) for n, m in measures.items()])
 
 
-def conditional_counts(conditions: Mapping[str, Column]) -> dict[str, Column]:
-    """Pivot by conditional aggregation: one ``count_if`` per named condition."""
-    return {name: count_if(cond) for name, cond in conditions.items()}
+def conditional_counts(conditions: Mapping[str, Column], key: str = SESSION_ID,
+                       unique: bool = True) -> dict[str, Column]:
+    """Pivot by conditional aggregation: ``COUNT(DISTINCT CASE WHEN c THEN key END)`` per condition.
+
+    ``unique=True`` (rows hold each key once, as sessions do) makes each a
+    plain conditional count; ``unique=False`` keeps true distinct counts for
+    inputs that repeat keys.
+    """
+    return {name: count_distinct_if(cond, key, unique) for name, cond in conditions.items()}
 
 
 def with_ratios(df: DataFrame, columns: Sequence[str | tuple[str, str, str]]) -> DataFrame:

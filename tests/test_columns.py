@@ -64,3 +64,12 @@ def test_channel_rules_first_match_wins(spark, src, camp, ref, four, five):
     df = spark.createDataFrame([(src, camp, ref)], "utm_source string, utm_campaign string, http_referer string")
     r = df.select(channel_group(False).alias("a"), channel_group(True).alias("b")).first()
     assert (r.a, r.b) == (four, five)
+
+
+def test_conditional_counts_distinct_and_unique(spark):
+    from funnelwise.operators.traffic import conditional_counts
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "b")], "website_session_id long, x string")
+    c = {"n_a": F.col("x") == "a", "n_b": F.col("x") == "b"}
+    exact = df.agg(*[v.alias(k) for k, v in conditional_counts(c, unique=False).items()]).first()
+    plain = df.dropDuplicates().agg(*[v.alias(k) for k, v in conditional_counts(c).items()]).first()
+    assert (exact.n_a, exact.n_b) == (2, 1) == (plain.n_a, plain.n_b)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from funnelwise.functions.sequence import chunked_row_number, group_first
+from funnelwise.functions.sequence import chunked_row_number
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
@@ -17,9 +17,3 @@ def test_chunked_row_number_equals_row_number(spark, chunk):
     got = chunked_row_number(df, ["g"], "id", "n", chunk=chunk)
     assert sorted(map(tuple, got.select("g", "id", "n").collect())) == \
         sorted(map(tuple, want.select("g", "id", "n").collect()))
-
-
-def test_group_first_takes_values_of_min_row(spark):
-    df = spark.createDataFrame([(1, 5, "e"), (1, 2, "b"), (2, 9, "x")], "g long, o long, v string")
-    got = {tuple(r) for r in group_first(df, ["g"], "o", ["v"]).collect()}
-    assert got == {(1, 2, "b"), (2, 9, "x")}
