@@ -8,7 +8,6 @@ pageviews, so the Spark rewrites meet every case the literal SQL handles.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 import duckdb
@@ -118,7 +117,7 @@ def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.12g}")
+        return repr(v)  # exact: both engines must give the same double
     if hasattr(v, "isoformat"):
         return v.isoformat(sep=" ") if "datetime" in type(v).__name__ else v.isoformat()
     if type(v).__name__ == "Decimal":
