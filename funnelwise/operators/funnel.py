@@ -6,7 +6,9 @@ has any pageview of that step's url (MAX of 0/1 flags).  The product funnel
 only looks at pages after the session's product page; there "has a later
 page of url u" is decided from two per-session aggregates (the earliest
 product view, and the latest view of each step url) instead of pairing
-product views with later pageviews, so no step multiplies rows.
+product views with later pageviews, so no step multiplies rows.  The page
+listing of that funnel, whose literal rows are those pairs, is returned as a
+multiset (distinct rows with ``n_rows``) from chunked prefix counts.
 """
 
 from __future__ import annotations
