@@ -99,6 +99,8 @@ def channel_group(with_social: bool = False) -> Column:
     get NULL.
     """
     src, camp, ref = F.col("utm_source"), F.col("utm_campaign"), F.col("http_referer")
+    # The channel labels and the order of the rules, as the
+    # analysis defines them (first match wins).
     rules = [
         (src.isNull() & ref.isin(*SEARCH_REFERERS), "organic_search"),
         (camp == "nonbrand", "paid_nonbrand"),
