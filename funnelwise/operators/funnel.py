@@ -38,9 +38,9 @@ def page_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange, whe
     pv = pageviews.select(SESSION_ID, "pageview_url", F.col("created_at").alias("_pv_at"))
     # LEFT JOIN as inner join plus the sessions without pageviews: AQE can
     # split a hot session on either side of an inner join, and the anti join
-    # only probes distinct session ids (combined map-side before any shuffle).
+    # probes the segment's sessions that have pageviews, one row per session.
     matched = join_keyed(pv, s, SESSION_ID, "inner")
-    with_pages = pv.select(SESSION_ID).distinct()
+    with_pages = aggregate_for_keys(pv, s, SESSION_ID, F.count(F.lit(1)).alias("_n")).select(SESSION_ID)
     empty = (s.join(with_pages, SESSION_ID, "left_anti")
              .select(SESSION_ID, F.lit(None).cast("string").alias("pageview_url"),
                      F.lit(None).cast("timestamp_ntz").alias("_pv_at")))

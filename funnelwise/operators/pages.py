@@ -169,7 +169,8 @@ def billing_sessions(pageviews: DataFrame, orders: DataFrame, from_id: Column, w
              .groupBy(SESSION_ID, F.col("pageview_url").alias("billing_version_seen"))
              .agg(F.count(F.lit(1)).alias("n_rows")))
     ordered = join_keyed(orders.select(SESSION_ID, "order_id"), views, SESSION_ID, "inner")
-    unordered = views.join(orders.select(SESSION_ID).distinct(), SESSION_ID, "left_anti").withColumn(
+    with_orders = aggregate_for_keys(orders, views, SESSION_ID, F.count(F.lit(1)).alias("_n")).select(SESSION_ID)
+    unordered = views.join(with_orders, SESSION_ID, "left_anti").withColumn(
         "order_id", F.lit(None).cast("long"))
     cols = [SESSION_ID, "billing_version_seen", "order_id", "n_rows"]
     return ordered.select(*cols).unionByName(unordered.select(*cols))
