@@ -158,8 +158,9 @@ def product_page_flag_counts(pageviews: DataFrame, window: TimeRange, products:
     marks = {i: flag((F.col("pageview_url") == u) & window.on("created_at")) for i, u in enumerate(products)}
     pv = pageviews.select(SESSION_ID, PAGEVIEW_ID, "pageview_url", "created_at").withColumns(
         {f"_p{i}": m for i, m in marks.items()})
-    any_view = sum(F.col(f"_p{i}") for i in marks)
-    product_sessions = pv.filter(any_view > 0).select(SESSION_ID).distinct()
+    # A plain window-and-url filter, so it reaches the Parquet scan.
+    product_sessions = (pageviews.filter(window.on("created_at") & F.col("pageview_url").isin(*products))
+                        .select(SESSION_ID).distinct())
     if has_at_most(product_sessions, key_limit(pv)):
         pv = pv.join(F.broadcast(product_sessions), SESSION_ID, "left_semi")
 
