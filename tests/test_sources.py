@@ -37,3 +37,14 @@ def test_written_tables_are_time_clustered(spark):
     spans = (back.groupBy(F.spark_partition_id().alias("p"))
              .agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi")).orderBy("lo").collect())
     assert all(a.hi <= b.lo for a, b in zip(spans, spans[1:]))
+
+
+def test_catalog_tables(spark):
+    t = tables_for(spark, SF)
+    root = tempfile.mkdtemp(prefix="funnelwise-catalog-")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS funnelwise_test LOCATION '{root}'")
+    for name, df in t.as_dict().items():
+        df.write.mode("overwrite").saveAsTable(f"funnelwise_test.{name}")
+    back = read_shop_tables(spark, "funnelwise_test", "table")
+    a, b = STATEMENTS["quarterly_volume"](t), STATEMENTS["quarterly_volume"](back)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
