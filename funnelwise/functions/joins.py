@@ -19,6 +19,8 @@ size bound.
 from __future__ import annotations
 
 import re
+import threading
+from collections import OrderedDict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -43,15 +45,42 @@ def key_limit(df: DataFrame, bytes_per_key: int = BYTES_PER_KEY) -> int:
     return -1 if threshold < 0 else threshold // bytes_per_key
 
 
+# Size decisions by (application, semantic plan hash, bound).  The decision
+# only picks between two plans with identical results, so a remembered one is
+# never wrong, at worst not the cheaper plan if the data grew meanwhile.
+_DECISIONS: OrderedDict[tuple[str, int, int], bool] = OrderedDict()
+_DECISIONS_MAX = 4096
+_LOCK = threading.Lock()
+
+
+def clear_size_checks() -> None:
+    """Forget remembered size decisions (the bench does this between runs)."""
+    with _LOCK:
+        _DECISIONS.clear()
+
+
 def has_at_most(df: DataFrame, n: int) -> bool:
     """True when ``df`` has at most ``n`` rows.
 
     A plain distributed count: each task sends one partial count.  (A
     ``limit(n + 1).count()`` would gather up to ``n`` rows from every
     partition into a single task, which on a large key set is the very
-    bottleneck this check exists to avoid.)
+    bottleneck this check exists to avoid.)  The same key plan checked
+    again, e.g. by two joins of one statement, reuses the decision.
     """
-    return n >= 0 and df.count() <= n
+    if n < 0:
+        return False
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), n)
+    with _LOCK:
+        known = _DECISIONS.get(key)
+    if known is not None:
+        return known
+    decision = df.count() <= n
+    with _LOCK:
+        _DECISIONS[key] = decision
+        while len(_DECISIONS) > _DECISIONS_MAX:
+            _DECISIONS.popitem(last=False)
+    return decision
 
 
 def aggregate_for_keys(rows: DataFrame, keys: DataFrame, key: str | Sequence[str], *aggs: Column,
