@@ -84,10 +84,14 @@ def has_at_most(df: DataFrame, n: int) -> bool:
 
 
 def aggregate_for_keys(rows: DataFrame, keys: DataFrame, key: str | Sequence[str], *aggs: Column,
-                       by: Sequence[str | Column] = (), max_keys: int | None = None) -> DataFrame:
+                       by: Sequence[str | Column] = (), max_keys: int | None = None,
+                       restrict: bool = True) -> DataFrame:
     """``rows`` restricted to the keys of ``keys``, aggregated per key (and ``by``).
 
-    One output row per key present in both (per key and ``by`` value).
+    One output row per key present in both (per key and ``by`` value).  With
+    ``restrict=False`` the result may also hold other keys when the key set
+    is large: for callers that join it from the key side anyway, which makes
+    a second, session-sized semi join redundant.
     """
     cols = [key] if isinstance(key, str) else list(key)
     k = keys.select(*cols)
@@ -95,7 +99,8 @@ def aggregate_for_keys(rows: DataFrame, keys: DataFrame, key: str | Sequence[str
     group = [*cols, *by]
     if has_at_most(k, limit):
         return rows.join(F.broadcast(k), cols, "left_semi").groupBy(*group).agg(*aggs)
-    return rows.groupBy(*group).agg(*aggs).join(k.distinct(), cols, "left_semi")
+    combined = rows.groupBy(*group).agg(*aggs)
+    return combined.join(k.distinct(), cols, "left_semi") if restrict else combined
 
 
 def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | Sequence[str], how: str = "inner",

@@ -40,7 +40,8 @@ def page_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange, whe
     # split a hot session on either side of an inner join, and the anti join
     # probes the segment's sessions that have pageviews, one row per session.
     matched = join_keyed(pv, s, SESSION_ID, "inner")
-    with_pages = aggregate_for_keys(pv, s, SESSION_ID, F.count(F.lit(1)).alias("_n")).select(SESSION_ID)
+    with_pages = aggregate_for_keys(pv, s, SESSION_ID, F.count(F.lit(1)).alias("_n"),
+                                    restrict=False).select(SESSION_ID)
     empty = (s.join(with_pages, SESSION_ID, "left_anti")
              .select(SESSION_ID, F.lit(None).cast("string").alias("pageview_url"),
                      F.lit(None).cast("timestamp_ntz").alias("_pv_at")))
@@ -58,7 +59,8 @@ def session_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange,
     url = F.col("pageview_url")
     made_it = [f"{name}_made_it" for name in steps]
     flags = aggregate_for_keys(pageviews, s, SESSION_ID,
-                               *[F.max(flag(url == u)).alias(f"{name}_made_it") for name, u in steps.items()])
+                               *[F.max(flag(url == u)).alias(f"{name}_made_it") for name, u in steps.items()],
+                               restrict=False)
     # A session without pageviews has one all-NULL outer row: every flag 0.
     return s.join(flags, SESSION_ID, "left").fillna(0, subset=made_it)
 
@@ -99,10 +101,11 @@ def urls_after(pageviews: DataFrame, views: DataFrame) -> DataFrame:
     anchors = _later_anchor(views, [])
     pv = pageviews.select(SESSION_ID, PAGEVIEW_ID, "pageview_url")
     url_last = aggregate_for_keys(pv, anchors, SESSION_ID, F.max(PAGEVIEW_ID).alias("_url_last"),
-                                  by=["pageview_url"])
+                                  by=["pageview_url"], restrict=False)
     later = (url_last.join(anchors, SESSION_ID, "inner")
              .filter(F.col("_url_last") > F.col("_anchor")).select("pageview_url"))
-    session_last = aggregate_for_keys(pv, anchors, SESSION_ID, F.max(PAGEVIEW_ID).alias("_last"))
+    session_last = aggregate_for_keys(pv, anchors, SESSION_ID, F.max(PAGEVIEW_ID).alias("_last"),
+                                      restrict=False)
     view_last = views.groupBy(SESSION_ID).agg(F.max(PAGEVIEW_ID).alias("_view_last"))
     unmatched = (view_last.join(session_last, SESSION_ID, "inner")
                  .filter(F.col("_view_last") >= F.col("_last"))
@@ -128,7 +131,8 @@ def product_session_flags(pageviews: DataFrame, views: DataFrame, labels: Mappin
     url = F.col("pageview_url")
     last_step = aggregate_for_keys(
         pageviews.filter(url.isin(*steps.values())), anchors, SESSION_ID,
-        *[F.max(F.when(url == u, F.col(PAGEVIEW_ID))).alias(f"_last_{n}") for n, u in steps.items()])
+        *[F.max(F.when(url == u, F.col(PAGEVIEW_ID))).alias(f"_last_{n}") for n, u in steps.items()],
+        restrict=False)
     joined = anchors.join(last_step, SESSION_ID, "left")
     return joined.select(
         SESSION_ID, "product_seen",

@@ -54,7 +54,7 @@ def per_session(pageviews: DataFrame, keys: DataFrame, *aggs) -> DataFrame:
     small, else aggregate first; either way a hot session is combined
     map-side and never is one task's whole input.
     """
-    return aggregate_for_keys(pageviews, keys, SESSION_ID, *aggs)
+    return aggregate_for_keys(pageviews, keys, SESSION_ID, *aggs, restrict=False)
 
 
 def with_page_counts(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
@@ -169,7 +169,8 @@ def billing_sessions(pageviews: DataFrame, orders: DataFrame, from_id: Column, w
              .groupBy(SESSION_ID, F.col("pageview_url").alias("billing_version_seen"))
              .agg(F.count(F.lit(1)).alias("n_rows")))
     ordered = join_keyed(orders.select(SESSION_ID, "order_id"), views, SESSION_ID, "inner")
-    with_orders = aggregate_for_keys(orders, views, SESSION_ID, F.count(F.lit(1)).alias("_n")).select(SESSION_ID)
+    with_orders = aggregate_for_keys(orders, views, SESSION_ID, F.count(F.lit(1)).alias("_n"),
+                                     restrict=False).select(SESSION_ID)
     unordered = views.join(with_orders, SESSION_ID, "left_anti").withColumn(
         "order_id", F.lit(None).cast("long"))
     cols = [SESSION_ID, "billing_version_seen", "order_id", "n_rows"]
@@ -187,7 +188,7 @@ def billing_conversion(pageviews: DataFrame, orders: DataFrame, from_id: Column,
     pv = (pageviews.filter((F.col(PAGEVIEW_ID) >= from_id) & window.on("created_at")
                            & F.col("pageview_url").isin(*urls))
           .select(SESSION_ID, F.col("pageview_url").alias("billing_version_seen")).distinct())
-    per = aggregate_for_keys(orders, pv, SESSION_ID, F.count("order_id").alias("n_orders"))
+    per = aggregate_for_keys(orders, pv, SESSION_ID, F.count("order_id").alias("n_orders"), restrict=False)
     return (pv.join(per, SESSION_ID, "left").groupBy("billing_version_seen")
             .agg(F.count(SESSION_ID).alias("sessions"),
                  F.coalesce(F.sum("n_orders"), F.lit(0).cast("long")).alias("orders"))

@@ -133,7 +133,7 @@ def cross_sell(pageviews: DataFrame, orders: DataFrame, carts: DataFrame) -> Dat
         F.count(F.lit(1)).alias("_cp"), F.min("cart_pageview_id").alias("_anchor"))
     last_pv = aggregate_for_keys(
         pageviews.select(F.col(SESSION_ID).alias("cart_session_id"), PAGEVIEW_ID), per_period,
-        "cart_session_id", F.max(PAGEVIEW_ID).alias("_last"))
+        "cart_session_id", F.max(PAGEVIEW_ID).alias("_last"), restrict=False)
     per_session = (per_period.join(last_pv, "cart_session_id", "left")
                    .groupBy("cart_session_id")
                    .agg(F.sum("_cp").alias("_c"),
@@ -142,7 +142,7 @@ def cross_sell(pageviews: DataFrame, orders: DataFrame, carts: DataFrame) -> Dat
         orders.select(F.col(SESSION_ID).alias("cart_session_id"), "order_id", "items_purchased", "price_usd"),
         per_period, "cart_session_id",
         F.count("order_id").alias("_m"), F.sum("items_purchased").alias("_items"),
-        F.sum("price_usd").alias("_price"))
+        F.sum("price_usd").alias("_price"), restrict=False)
     rows = (per_period.join(per_session, "cart_session_id", "inner")
             .join(per_order, "cart_session_id", "left")
             .fillna(0, subset=["_m"]))

@@ -54,7 +54,7 @@ def session_orders(sessions: DataFrame, orders: DataFrame, window: TimeRange = e
     s = sessions_in(sessions, window, where)
     # Only the orders of these sessions are folded: a checked broadcast semi
     # join for a small window, else fold all orders first (map-side combine).
-    per = aggregate_for_keys(orders, s, SESSION_ID, *order_measures(products))
+    per = aggregate_for_keys(orders, s, SESSION_ID, *order_measures(products), restrict=False)
     zero_cols = ["n_orders"] + [f"n_orders_p{p}" for p in products]
     return s.join(per, SESSION_ID, "left").fillna(0, subset=zero_cols)
 

@@ -45,3 +45,24 @@ def test_page_flag_counts_with_tiny_chunks(shop, chunk):
     cur = con.execute(STANDALONE["product_funnel_page_flags"])
     d_cols = [d[0] for d in cur.description]
     assert multiset(df.columns, [tuple(r) for r in df.collect()]) == multiset(d_cols, cur.fetchall())
+
+
+def test_all_statements_on_the_large_key_path(spark, shop):
+    """Broadcasts off: every checked key filter takes its aggregate-first path."""
+    from funnelwise.functions.joins import clear_size_checks
+    tables, con = shop
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    clear_size_checks()
+    try:
+        bad = []
+        for name in sorted(STATEMENTS):
+            df = STATEMENTS[name](tables)
+            cur = con.execute(STANDALONE[name])
+            d_cols = [d[0] for d in cur.description]
+            if multiset(df.columns, [tuple(r) for r in df.collect()]) != multiset(d_cols, cur.fetchall()):
+                bad.append(name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        clear_size_checks()
+    assert bad == []
