@@ -52,7 +52,7 @@ def read_shop_tables(spark: SparkSession, location: str, fmt: str = "parquet",
 
 
 def write_shop_tables(tables: ShopTables, location: str, mode: str = "errorifexists",
-                      files: int | None = None) -> None:
+                      files: int | None = None, max_records_per_file: int = 20_000_000) -> None:
     """Write the five tables as Parquet under ``location``, clustered by time.
 
     Nearly every analysis filters on a ``created_at`` window, so each table
@@ -60,7 +60,9 @@ def write_shop_tables(tables: ShopTables, location: str, mode: str = "errorifexi
     min/max statistics of a file and of a row group then cover a narrow time
     span, and the pushed-down window predicate skips everything outside the
     window.  Session and pageview ids rise with time, so the files are close
-    to session order as well.  ``files`` defaults to the shuffle partitions.
+    to session order as well.  ``files`` (range partitions) defaults to the
+    shuffle partitions; a partition larger than ``max_records_per_file`` rows
+    is written as several files, each still sorted.
     """
     spark = tables.sessions.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -68,7 +70,8 @@ def write_shop_tables(tables: ShopTables, location: str, mode: str = "errorifexi
         out = df
         if "created_at" in df.columns:
             out = df.repartitionByRange(n, "created_at").sortWithinPartitions("created_at")
-        out.write.mode(mode).parquet(f"{location.rstrip('/')}/{name}")
+        (out.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
+         .parquet(f"{location.rstrip('/')}/{name}"))
 
 
 def tables_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> ShopTables:
