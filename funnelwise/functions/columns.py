@@ -19,6 +19,7 @@ SEARCH_REFERERS = ("https://www.gsearch.com", "https://www.bsearch.com")
 
 
 def col(c: str | Column) -> Column:
+    """A column by name, or the column itself."""
     return F.col(c) if isinstance(c, str) else c
 
 

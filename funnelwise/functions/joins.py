@@ -41,6 +41,7 @@ def broadcast_threshold_bytes(df: DataFrame) -> int:
 
 
 def key_limit(df: DataFrame, bytes_per_key: int = BYTES_PER_KEY) -> int:
+    """Most keys a broadcast may hold under the session's threshold (-1: none)."""
     threshold = broadcast_threshold_bytes(df)
     return -1 if threshold < 0 else threshold // bytes_per_key
 

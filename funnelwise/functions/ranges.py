@@ -38,20 +38,25 @@ class TimeRange:
 
 
 def before(hi: str) -> TimeRange:
+    """created_at < hi."""
     return TimeRange(hi=hi)
 
 
 def open_range(lo: str, hi: str) -> TimeRange:
+    """lo < created_at < hi."""
     return TimeRange(lo=lo, hi=hi)
 
 
 def half_open(lo: str, hi: str) -> TimeRange:
+    """lo <= created_at < hi."""
     return TimeRange(lo=lo, hi=hi, lo_inclusive=True)
 
 
 def between(lo: str, hi: str) -> TimeRange:
+    """lo <= created_at <= hi (SQL BETWEEN)."""
     return TimeRange(lo=lo, hi=hi, lo_inclusive=True, hi_inclusive=True)
 
 
 def everything() -> TimeRange:
+    """no bound."""
     return TimeRange()

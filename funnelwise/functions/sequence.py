@@ -21,6 +21,7 @@ OFFSET = "_offset"
 
 
 def with_chunk(df: DataFrame, order_col: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Adds ``_chunk = order_col div chunk``: at most ``chunk`` rows of a group per chunk."""
     return df.withColumn(CHUNK, F.floor(F.col(order_col) / F.lit(chunk)).cast("long"))
 
 

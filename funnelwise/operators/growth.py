@@ -11,11 +11,13 @@ from funnelwise.operators.traffic import n_orders, n_sessions, session_orders, t
 
 
 def quarterly_volume(sessions: DataFrame, orders: DataFrame, window: TimeRange = everything()) -> DataFrame:
+    """Sessions and orders per quarter of the session."""
     so = session_orders(sessions, orders, window)
     return trend(so, "quarter", {"sessions": n_sessions(), "orders": n_orders()}).orderBy("yr", "qtr")
 
 
 def quarterly_efficiency(sessions: DataFrame, orders: DataFrame, window: TimeRange = everything()) -> DataFrame:
+    """Conversion, revenue per order and revenue per session per quarter."""
     so = session_orders(sessions, orders, window)
     q = trend(so, "quarter", {"_s": n_sessions(), "_o": n_orders(), "_r": F.sum("revenue")})
     return with_ratios(q, ["yr", "qtr", ("session_to_order_conv_rate", "_o", "_s"),

@@ -76,6 +76,7 @@ def first_to_second(sessions: DataFrame, window: TimeRange) -> DataFrame:
 
 
 def time_to_repeat(days: DataFrame) -> DataFrame:
+    """Average, minimum and maximum days from a new session to the first repeat."""
     d = F.col("days_first_to_second_session")
     return days.agg(F.avg(d).alias("avg_days_first_to_second"), F.min(d).alias("min_days_first_to_second"),
                     F.max(d).alias("max_days_first_to_second"))
@@ -102,6 +103,7 @@ def repeat_by_channel(sessions: DataFrame, window: TimeRange) -> DataFrame:
 
 
 def new_vs_repeat_conversion(sessions: DataFrame, orders: DataFrame, window: TimeRange) -> DataFrame:
+    """Sessions, conversion and revenue per session for new versus repeat sessions."""
     return conversion(sessions, orders, window, by=["is_repeat_session"], orders_col=None,
                       rate_col="conv_rate", revenue_per_session_col="rev_per_session")
 

@@ -23,6 +23,7 @@ SESSION_ID = "website_session_id"
 
 
 def sessions_in(sessions: DataFrame, window: TimeRange = everything(), where: Column | None = None) -> DataFrame:
+    """Sessions started in ``window`` that satisfy ``where``."""
     out = sessions.filter(window.on("created_at"))
     return out.filter(where) if where is not None else out
 
@@ -60,10 +61,12 @@ def session_orders(sessions: DataFrame, orders: DataFrame, window: TimeRange = e
 
 
 def n_sessions() -> Column:
+    """Sessions in the group (rows hold one session each)."""
     return F.count(F.lit(1))
 
 
 def n_orders(condition: Column | None = None) -> Column:
+    """Orders of the group's sessions (optionally of those meeting ``condition``); 0 when none."""
     value = F.col("n_orders") if condition is None else F.when(condition, F.col("n_orders"))
     return F.coalesce(F.sum(value), F.lit(0).cast("long"))
 
@@ -168,10 +171,12 @@ def with_ratios(df: DataFrame, columns: Sequence[str | tuple[str, str, str]]) ->
 
 def weekly_sessions(sessions: DataFrame, window: TimeRange, where: Column | None,
                     label: str = "week_started_at") -> DataFrame:
+    """Sessions per (YEAR, WEEK mode 0) week, labelled by the first date with sessions."""
     return trend(sessions_in(sessions, window, where), "year_week", {"sessions": n_sessions()}, label)
 
 
 def weekly_device_sessions(sessions: DataFrame, window: TimeRange, where: Column | None) -> DataFrame:
+    """Desktop and mobile sessions per (YEAR, WEEK mode 0) week."""
     device = F.col("device_type")
     return trend(sessions_in(sessions, window, where), "year_week", conditional_counts(
         {"desktop_sessions": device == "desktop", "mobile_sessions": device == "mobile"}))
@@ -179,12 +184,14 @@ def weekly_device_sessions(sessions: DataFrame, window: TimeRange, where: Column
 
 def weekly_channel_sessions(sessions: DataFrame, window: TimeRange, where: Column | None,
                             sources: Sequence[str] = ("gsearch", "bsearch")) -> DataFrame:
+    """Sessions per source per Sunday week (YEARWEEK)."""
     src = F.col("utm_source")
     return trend(sessions_in(sessions, window, where), "yearweek",
                  conditional_counts({f"{s}_sessions": src == s for s in sources}))
 
 
 def channel_mobile_share(sessions: DataFrame, window: TimeRange, where: Column | None) -> DataFrame:
+    """Sessions, mobile sessions and mobile share per source."""
     counts = (sessions_in(sessions, window, where).groupBy("utm_source")
               .agg(n_sessions().alias("sessions"), count_if(F.col("device_type") == "mobile").alias("mobile_sessions")))
     return with_ratios(counts, ["utm_source", "sessions", "mobile_sessions",
@@ -192,6 +199,7 @@ def channel_mobile_share(sessions: DataFrame, window: TimeRange, where: Column |
 
 
 def weekly_source_device_mix(sessions: DataFrame, window: TimeRange, where: Column | None) -> DataFrame:
+    """Per Sunday week: desktop and mobile sessions of two sources and their ratio."""
     src, dev = F.col("utm_source"), F.col("device_type")
     weekly = trend(sessions_in(sessions, window, where), "yearweek", conditional_counts({
         "g_dtop_sessions": (src == "gsearch") & (dev == "desktop"),

@@ -33,10 +33,12 @@ def assemble(body: str, ctes: tuple[str, ...], prelude: bool = True) -> str:
 
 
 def ratio(a: str, b: str) -> str:
+    """MySQL division: DOUBLE, NULL on a zero divisor."""
     return f"CAST({a} AS DOUBLE) / NULLIF({b}, 0)"
 
 
 def cdi(cond: str, key: str) -> str:
+    """COUNT(DISTINCT CASE WHEN cond THEN key ELSE NULL END)."""
     return f"COUNT(DISTINCT CASE WHEN {cond} THEN {key} ELSE NULL END)"
 
 
@@ -52,6 +54,7 @@ BILLING2_ID = "(SELECT MIN(website_pageview_id) FROM website_pageviews WHERE pag
 
 
 def T(s: str) -> str:
+    """A timestamp literal at midnight of date ``s``."""
     return f"TIMESTAMP '{s} 00:00:00'"
 
 
