@@ -48,3 +48,15 @@ def test_catalog_tables(spark):
     back = read_shop_tables(spark, "funnelwise_test", "table")
     a, b = STATEMENTS["quarterly_volume"](t), STATEMENTS["quarterly_volume"](back)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_register_views_for_sql(spark):
+    t = tables_for(spark, SF)
+    t.register_views(prefix="fw_")
+    got = spark.sql("""
+        SELECT year(s.created_at) AS yr, quarter(s.created_at) AS qtr,
+               count(DISTINCT s.website_session_id) AS sessions, count(DISTINCT o.order_id) AS orders
+        FROM fw_website_sessions s LEFT JOIN fw_web_orders o ON s.website_session_id = o.website_session_id
+        GROUP BY 1, 2""")
+    want = STATEMENTS["quarterly_volume"](t)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
