@@ -60,3 +60,19 @@ def test_register_views_for_sql(spark):
         GROUP BY 1, 2""")
     want = STATEMENTS["quarterly_volume"](t)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_time_window_skips_most_row_groups(spark):
+    import pyarrow.parquet as pq
+    import datetime as dt
+    t = tables_for(spark, "/root/testdata/sf0.01")
+    lo, hi = dt.datetime(2012, 8, 5), dt.datetime(2012, 9, 5)
+    total = overlapping = 0
+    for f in t.pageviews.inputFiles():
+        md = pq.ParquetFile(f.replace("file:", "")).metadata
+        col = [i for i in range(md.num_columns) if md.schema.column(i).name == "created_at"][0]
+        for g in range(md.num_row_groups):
+            stats = md.row_group(g).column(col).statistics
+            total += 1
+            overlapping += int(stats.min < hi and stats.max > lo)
+    assert total >= 4 and overlapping <= total // 4
