@@ -34,7 +34,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus),
+    partitions = int(cpus) if cpus.isdigit() else (os.cpu_count() or 8)
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=partitions,
                           extra_conf={"spark.driver.memory": "8g"})
 
     # Untimed warm-up (JVM start, code generation caches) on the smallest data.
