@@ -5,7 +5,9 @@
     python -m funnelwise --list
 
 Each statement's result is written by Spark to ``<out>/<statement>`` in the
-chosen format; nothing is collected to the driver.  Use ``--tables`` for
+chosen format; nothing is collected to the driver.  Intermediate results that
+several statements share (the analysis' temporary tables) are written once to
+the checkpoint folder and read by each of them (``--no-reuse`` to disable).  Use ``--tables`` for
 stored shop tables (see ``sources.read_shop_tables``) or ``--events`` for a
 test-data folder whose ``events`` table the shop tables are derived from.
 """
@@ -27,6 +29,9 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--out", help="output folder; one sub-folder per statement")
     ap.add_argument("--format", default="parquet", help="output format (parquet, csv, json, orc)")
     ap.add_argument("--only", nargs="*", help="statement names to run (default: all)")
+    ap.add_argument("--no-reuse", action="store_true",
+                    help="build shared intermediate results inside every statement instead of writing them "
+                         "once to the checkpoint folder")
     ap.add_argument("--list", action="store_true", help="list statement names and exit")
     args = ap.parse_args(argv)
 
@@ -52,6 +57,15 @@ def main(argv: list[str] | None = None) -> int:
             spark.conf.set(key, value)
     tables = (read_shop_tables(spark, args.tables, args.table_format) if args.tables
               else tables_for(spark, args.events))
+    if not args.no_reuse and len(names) > 1:
+        # The analysis' temporary tables: each shared intermediate is written
+        # once to a fresh folder in the shared checkpoint folder.
+        import dataclasses
+        import uuid
+
+        from funnelwise.session import checkpoint_dir
+        scratch = f"{checkpoint_dir(spark).rstrip('/')}/funnelwise-report-{uuid.uuid4().hex}"
+        tables = dataclasses.replace(tables, scratch=scratch)
     for name in names:
         writer = STATEMENTS[name](tables).write.mode("overwrite").format(args.format)
         if args.format == "csv":

@@ -71,13 +71,20 @@ PRIMARY_KEYS = {
 
 @dataclass(frozen=True)
 class ShopTables:
-    """The five tables every analysis reads."""
+    """The five tables every analysis reads.
+
+    ``scratch``: a folder (inside the shared checkpoint folder) where shared
+    intermediate results, the analysis' temporary tables, are written once
+    and read back by every statement that uses them; ``None`` builds them
+    inside each statement's own plan.
+    """
 
     sessions: DataFrame
     pageviews: DataFrame
     orders: DataFrame
     order_items: DataFrame
     refunds: DataFrame
+    scratch: str | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {
