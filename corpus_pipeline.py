@@ -1,20 +1,32 @@
-"""Pipeline over ``documents``: quality, toxicity, near-duplicates, benchmark leaks, packing.
+"""Pipeline over ``documents``: quality, toxicity, near duplicates, benchmark leaks, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next stage's ``docs``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's ``docs``.  All but the last
+return the columns of ``documents``; each works on every row that its
+predecessor kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from funnelwise.llm import decontaminate, near_dup
+from funnelwise.llm import decontaminate, near_dup, packing, quality, toxicity
 from funnelwise.llm.common import staged
 
 #: Near duplicates: five-word shingles, at least 80 % of the union shared.
 NEAR = near_dup.Rule(shingle=5, percent=80, rows=5, bands=48)
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go (operator 5)."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go (operator 3)."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (operator 8)."""
     return near_dup.deduplicate(docs, NEAR)
@@ -25,16 +37,27 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("minhash_near_dedup", dedup), ("benchmark_decontamination", drop_leaks)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences (operator 6): one row per piece."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("toxicity", keep_clean),
+    ("minhash_near_dedup", dedup),
+    ("benchmark_decontamination", drop_leaks),
+    ("best_fit_packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifiers' scores come from trained models, which SQL can't express.
+#: The classifiers' decisions come from trained models, which SQL can't express.
 ORACLE_SQL = None

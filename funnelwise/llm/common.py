@@ -111,15 +111,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn, schema: str, per_task: bool = False) -> DataFrame:
     """``mapInArrow`` for a function of one record batch that returns a dict of columns
-    (lists or arrays) or None."""
+    (lists or arrays) or None; with ``per_task``, ``fn()`` makes that function once a task."""
     fields = schema_of(df.sparkSession, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = fn() if per_task else fn
         for batch in batches:
             if batch.num_rows:
-                out = fn(batch)
+                out = each(batch)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
 

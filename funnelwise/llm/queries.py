@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from funnelwise.llm import decontaminate, near_dup
+from funnelwise.llm import decontaminate, extract, katz, licenses, merkle, near_dup, packing, quality, token_counts, toxicity
 
 #: op8's links: three-word shingles, at least 85 % of the union shared.
 OP8_RULE = near_dup.Rule(shingle=3, percent=85, rows=6, bands=40)
@@ -20,13 +20,53 @@ def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op5_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(_table(spark, sf_dir, "documents"), OP8_RULE)
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_decontamination": op1_suffix_decontamination,
+    "op2_line_block_extraction": op2_line_block_extraction,
+    "op3_levenshtein_toxicity": op3_levenshtein_toxicity,
+    "op4_merkle_fingerprints": op4_merkle_fingerprints,
+    "op5_factorisation_quality": op5_factorisation_quality,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_trie_token_counts": op7_trie_token_counts,
     "op8_bbit_minhash": op8_bbit_minhash,
+    "op9_katz_backoff": op9_katz_backoff,
+    "op10_license_scan": op10_license_scan,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,7 +104,7 @@ WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, list_sort(list_distinct(list_transform(generate_series(1, len(w) - least(3, len(w)) + 1),
-         i -> array_to_string(list_slice(w, i, i + least(3, len(w)) - 1), ' ')))) AS s
+         lambda i: array_to_string(list_slice(w, i, i + least(3, len(w)) - 1), ' ')))) AS s
   FROM d WHERE len(w) > 0),
 classes AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM sets GROUP BY s),
 grams AS (SELECT c, n, unnest(s) AS g FROM classes),
