@@ -7,17 +7,17 @@
    copies never meet as pairs.
 3. Band candidates: every member of a bucket meets the bucket's smallest node.
    The packed signatures estimate the similarity, corrected for chance
-   agreement of the low bits; a member's most similar candidate is confirmed on
+   agreement of the low bits; a member's most similar candidates are confirmed on
    the full sets.  Confirmed links give components (large-star / small-star).
 4. Buckets whose members are still in several components are compared in
-   blocks of a bounded number of members, across components only, by bit
-   counts; what passes is confirmed on full sets too, and the components are
-   taken again.  So no bucket is capped, no link between components is left
+   blocks of a bounded number of members, across components only, by size and
+   bit counts, each pair in the first bucket that it shares; what passes is
+   confirmed on full sets too, and the components are taken again.  So no bucket is capped, no link between components is left
    out, and members that are already joined aren't paired.
 
 A pair at the threshold is missed by all bands with the probability
 ``(1 - t ** rows) ** bands`` (6e-9 at t = 0.85, 5e-9 at t = 0.8 with the
-parameters here); the estimate's margin is over six standard deviations.
+parameters here); the estimate's margin is 4.5 standard deviations.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing (component_id is their own doc_id); shorter texts than a shingle are
@@ -41,7 +41,9 @@ from funnelwise.llm.common import WordHashes, ids_and_texts, map_batches, schema
 
 BITS = 2
 MASK = 0x5555555555555555  # the low bit of each 2-bit field
-BLOCK = 256
+BLOCK = 2_000
+#: Candidates of a member that are confirmed before the buckets are looked at again.
+FIRST = 3
 #: Nodes whose texts may be named in a broadcast (8 bytes each); beyond it the lookup is a shuffled join.
 LOOKUP_KEYS = 1_000_000
 
@@ -64,7 +66,7 @@ class Rule:
     def least_estimate(self) -> float:
         t, c = self.percent / 100, 0.5 ** BITS
         p = c + (1 - c) * t
-        return max(0.0, t - 6.5 * math.sqrt(p * (1 - p) / self.perms) / (1 - c))
+        return max(0.0, t - 4.5 * math.sqrt(p * (1 - p) / self.perms) / (1 - c))
 
 
 class Signer:
@@ -183,24 +185,23 @@ def _meets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b), of nodes with an edge.
 
-    Alternating large-star and small-star steps on the edge list; each step's
-    minima are written, so both sides of its join are plain scans and a node
-    with very many edges can be split.
+    Alternating large-star and small-star steps on the edge list, which is
+    written once a round.  The minima are joined under a computed key, so both
+    sides of the join are shuffled for it and a node with very many edges can be split.
     """
     star = staged(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi != lo").distinct(), "edges")
     before = None
     while True:
-        both = star.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(star.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct()
-        large = staged(large, "large")
-        least = staged(large.groupBy("hi").agg(F.min("lo").alias("m")), "least")
-        small = large.join(least, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct()
-        star = staged(small, "edges")
         now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
+        both = star.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(star.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("u", F.col("u").bitwiseXOR(F.lit(0)))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m")).withColumn("hi", F.col("hi").bitwiseXOR(F.lit(0)))
+        small = large.join(least, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct()
+        star = staged(small, "edges")
     roots = star.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("root"))
     return staged(star.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots), "roots")
 
@@ -217,22 +218,24 @@ def _residual(members: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule
     # each member goes to the blocks (own chunk, any chunk) of its bucket
     inside = (inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
               .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")))
-    inside = inside.join(nodes.select("node", "sig"), "node").select("bucket", "i", "j", "mine", "node", "root", "sig")
-    perms, least = rule.perms, rule.least_estimate
+    inside = inside.join(nodes.select("node", "n_shingles", "bands", "sig"), "node").select("bucket", "i", "j", "mine", "node", "root", "n_shingles", "bands", "sig")
+    perms, least, percent = rule.perms, rule.least_estimate, rule.percent
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, roots_, chunk = (group[c].to_numpy() for c in ("node", "root", "mine"))
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        sig = np.stack(group["sig"].to_list()).view(np.uint64)
+        ids, roots_, chunk, sizes = (group[c].to_numpy() for c in ("node", "root", "mine", "n_shingles"))
+        i, j, here = (int(group[c].iloc[0]) for c in ("i", "j", "bucket"))
+        sig, bands = np.stack(group["sig"].to_list()).view(np.uint64), np.stack(group["bands"].to_list())
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         a, b = [], []
         for x in left:
-            to = right[roots_[right] != roots_[x]]
+            to = right[(roots_[right] != roots_[x]) & (100 * np.minimum(sizes[right], sizes[x]) >= percent * np.maximum(sizes[right], sizes[x]))]
             if i == j:
                 to = to[ids[to] > ids[x]]
             d = sig[to] ^ sig[x]
             differ = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(MASK)).sum(axis=1)
             to = to[estimate(differ, perms) >= least]
+            same = bands[to] == bands[x]
+            to = to[bands[x][same.argmax(axis=1)] == here]  # the first bucket they share
             a += [min(ids[x], ids[t]) for t in to]
             b += [max(ids[x], ids[t]) for t in to]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -257,7 +260,7 @@ def group(docs: DataFrame, rule: Rule) -> Groups:
         signed = staged(signatures(docs, rule), "signed")
         nodes = signed.filter("node is not null").groupBy("node").agg(
             F.min("doc_id").alias("label"), F.min("text_key").alias("text_key"), F.min("node_check").alias("x"), F.max("node_check").alias("y"),
-            F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+            F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         nodes = staged(nodes, "nodes")
         if nodes.filter("x != y").isEmpty():
             break
@@ -273,7 +276,9 @@ def group(docs: DataFrame, rule: Rule) -> Groups:
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count((x.bitwiseXOR(y)).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1)).bitwiseAND(F.lit(MASK)))),
                          F.lit(0), lambda s, x: s + x)
     near = near.select("a", "b", estimate(differ, rule.perms).alias("e")).filter(F.col("e") >= rule.least_estimate)
-    best = staged(near.groupBy("b").agg(F.max(F.struct("e", "a"))["a"].alias("a")).select("a", "b"), "best")
+    # at most ``bands`` candidates of a member are in its list
+    best = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("e", "a")), asc=False), 1, FIRST).alias("top"))
+    best = staged(best.select(F.explode("top.a").alias("a"), "b"), "best")
     links = None
     roots = None
     if not best.isEmpty():
