@@ -7,8 +7,8 @@ texts) are summed over sliding windows of ``WINDOW`` lines; where the sums rise
 above ``SURGE`` a stretch starts, where they dive to nothing it ends; the
 stretch with the most text is the core of the page.  As short lines at the
 edges of an article would be lost by lengths alone, the core is widened to the
-element that holds it: the nearest article or content element around it, or
-the smallest element that holds all of its lines.
+element that holds it: an article or main element with a fifth of its text or
+more, else the nearest content element, else the smallest element around it.
 
 Defined results: null and empty pages, and pages without text, give the empty
 text; unclosed elements end with their parent; repeated rows each get a row;
@@ -40,6 +40,11 @@ MARKED_OUT = frozenset("ad ads advert adverts advertisement advertising sponsor
                        "navigation breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar toolbar comment comments reply replies respond disqus share "
                        "sharing social related recommended newsletter subscribe subscription signup login search popup modal overlay pagination pager complementary "
                        "contentinfo dialog tooltip skip".split())
+#: Beginnings and ends of such words (fixed values).
+BEGINNINGS = ("advert", "breadcrumb", "commentlist", "comments", "cookie", "newsletter", "sidebar", "sponsor")
+ENDS = ("nav", "menu")
+#: First parts of names that speak of the layout around (has-sidebar, no-menu; fixed values).
+LAYOUT = frozenset("has with without no is layout".split())
 #: ... and what holds the article (fixed values).
 MARKED_IN = frozenset("article content main post entry story articlebody body text".split())
 
@@ -50,7 +55,15 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 
 
 def _marks(attributes: str) -> set[str]:
-    return {w for m in _NAMES.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())}
+    """The words of the names in class, id, role, itemprop and aria-label."""
+    names = (n for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split())
+    return {w for parts in map(_SPLIT.split, names) if parts[0] not in LAYOUT for w in parts if w}
+
+
+def _marked_out(marks: set[str], inside: bool) -> bool:
+    if marks & MARKED_OUT or any(w.startswith(BEGINNINGS) or w.endswith(ENDS) for w in marks):
+        return True
+    return "header" in marks and not inside and not marks & MARKED_IN
 
 
 class Lines:
@@ -104,7 +117,7 @@ class Lines:
                 continue
             marks = _marks(m[3])
             inside = any(s[1] in self.main for s in stack)
-            drop = name in LEFT_OUT or name == "header" and not inside or bool(_HIDDEN.search(m[3])) or (bool(marks & MARKED_OUT) and name not in ("html", "body"))
+            drop = name in LEFT_OUT or name == "header" and not inside or bool(_HIDDEN.search(m[3])) or (name not in ("html", "body") and _marked_out(marks, inside))
             if drop and name in MAIN and not marks & {"comment", "comments", "reply", "related", "ad", "ads", "sponsored", "promo"}:
                 drop = False
             number = len(self.kind)
@@ -154,8 +167,9 @@ def main_text(page: str | None) -> str:
     if not rows:
         return ""
     first, last = core([n for _, n, _ in rows])
-    # the element around most of the core's text: the nearest article or content
-    # element if there is one, else the smallest element around all of it
+    # the element that holds the core: the article or main element with the most of
+    # its text, else the nearest content element around most of it, else the
+    # smallest element around all of it
     weight: dict[int, int] = {}
     total = 0
     for text, n, path in rows[first:last + 1]:
@@ -163,10 +177,14 @@ def main_text(page: str | None) -> str:
         for e in path:
             weight[e] = weight.get(e, 0) + (n or 1)
     around = [e for e in sorted(weight, reverse=True) if 2 * weight[e] > total]
-    held = [e for e in around if e in lines.main]
-    named = [e for e in held if lines.kind[e] in MAIN] or held
-    if named:
-        return " ".join(text for text, _, path in rows if named[0] in path)
+    articles = [e for e in weight if e in lines.main and lines.kind[e] in MAIN and 5 * weight[e] >= total]
+    if articles:
+        most = max(weight[e] for e in articles)
+        held = max(e for e in articles if 5 * weight[e] >= 4 * most)  # the innermost of nested ones
+    else:
+        held = next((e for e in around if e in lines.main), None)
+    if held is not None:
+        return " ".join(text for text, _, path in rows if held in path)
     whole = [e for e in around if weight[e] == total and lines.kind[e] not in ("p", "li", "b", "i", "a", "span", "em", "strong", "h1", "h2", "h3", "td", "br")]
     if whole and lines.kind[whole[0]] not in ("html", "body"):
         return " ".join(text for text, _, path in rows if whole[0] in path)

@@ -413,17 +413,18 @@ def score_texts(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, context
             least = b + 1
             break
         kept += k
-    top = singles.filter((step >= least) | (F.col("token") == END)).collect()  # at most ``contexts`` tokens
-    top.sort(key=lambda r: (-r["n"], r["token"]))
-    texts = next((r["n"] for r in top if r["token"] == END), 0)
+    top = singles.filter((step >= least) | (F.col("token") == END)).select("token", "n").toArrow()  # at most ``contexts`` tokens
+    tokens, counts = (top.column(c).to_numpy().astype(np.int64) for c in ("token", "n"))
+    order = np.lexsort((tokens, -counts))
+    tokens, counts = tokens[order], counts[order]
+    texts = int(counts[tokens == END].sum())
     total, distinct = sum(n for _, _, n in bins), sum(k for _, k, _ in bins)
-    common = Common(np.array([r["token"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64), total, distinct, texts,
-                    {b: k for b, k, _ in bins if b <= CUT + 1})
+    common = Common(tokens, counts, total, distinct, texts, {b: k for b, k, _ in bins if b <= CUT + 1})
     sc = spark.sparkContext
     held = sc.broadcast(common)
     dense = np.zeros((common.dense + 2) * max(1, common.dense), np.int64)
-    for r in dense_pairs(rows.filter(~F.col("held_out")), held).toLocalIterator():  # at most (DENSE + 2) * DENSE pairs
-        dense[r["pair"]] = r["n"]
+    found = dense_pairs(rows.filter(~F.col("held_out")), held).toArrow()  # at most (DENSE + 2) * DENSE pairs
+    dense[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     dense_held = sc.broadcast(dense)
     buckets = int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TOKENS + 1))
     sent = rows.mapInArrow(_send(held, dense_held, buckets), _SENT_DDL)
@@ -431,7 +432,7 @@ def score_texts(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, context
     gathered = staged(answers.groupBy("target").applyInArrow(_gather(held), _DOC_DDL), "documents")
 
     held_figures, of_pairs = np.zeros((CUT + 1, len(common.context))), np.zeros(CUT + 2, np.int64)
-    for r in gathered.filter("contexts is not null").select("contexts", "figures", "of_counts").toLocalIterator():  # 64 tables of fixed size
+    for r in gathered.filter("contexts is not null").select("contexts", "figures", "of_counts").collect():  # 64 tables of fixed size
         held_figures[:, unpack_ints(r["contexts"])] += np.frombuffer(r["figures"]).reshape(CUT + 1, -1)
         of_pairs += r["of_counts"]
     pairs = np.flatnonzero(dense)

@@ -138,8 +138,9 @@ def features(sample: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, column: str = "quality", max_rows: int = MAX_ROWS) -> FactorisationMachine:
     """Fit on at most about ``max_rows`` labelled rows of those where ``learn`` (over doc_id) holds."""
     learn = F.lit(True) if learn is None else learn
-    # bounded by max_rows; sorted, so that the fit doesn't depend on the order of tasks
-    got = sorted((r.words, r.weights, r.stats, r.target) for r in features(labelled_sample(docs, labels, column, learn, max_rows)).toLocalIterator())
+    # about max_rows rows at most; sorted, so that the fit doesn't depend on the order of tasks
+    table = features(labelled_sample(docs, labels, column, learn, max_rows)).toArrow()
+    got = sorted(zip(*(table.column(c).to_pylist() for c in ("words", "weights", "stats", "target"))))
     stats = np.array([s for _, _, s, _ in got]).reshape(-1, len(STATS))
     if not got:
         return FactorisationMachine(np.zeros((len(STATS), BINS - 1)))

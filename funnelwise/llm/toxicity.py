@@ -211,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, colum
         lexicon = Lexicon(held.value)
         return {"target": batch.column(2), "x": [inputs(t, lexicon) for t in texts_of(batch)]}
 
-    got = sorted((r.target, r.x) for r in map_batches(sample.filter(fold), run, "target double, x array<double>").toLocalIterator())
+    table = map_batches(sample.filter(fold), run, "target double, x array<double>").toArrow()  # about max_rows / 3 rows at most
+    got = sorted(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
     y = np.array([float(t >= 0.5) for t, _ in got])
     if not len(y) or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)

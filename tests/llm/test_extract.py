@@ -34,6 +34,16 @@ def test_without_article_element():
         "A second one & with bold, café! and enough text to be an article's paragraph, and more of it. New line")
 
 
+def test_names_of_boilerplate():
+    long = "This paragraph is long enough to be a surge of text in the middle of the page, whatever else stands around it."
+    page = f"""<body class="has-sidebar"><div class="layout-with-menu wrapper"><div id="header"><p>Name of the site and its motto, which is long enough to count as text</p></div>
+<div class="topnav">x y z</div><div class="entry-header"><h1>Title</h1></div><div class="entry-content"><p>{long}</p><div class="advert-box">{long}</div>
+<p>Second. {long}</p></div><ol class="commentlist"><li>{long}</li></ol><div role="complementary">{long}</div></div></body>"""
+    assert X.main_text(page) in (f"{long} Second. {long}", f"Title {long} Second. {long}")
+    assert X.main_text(f"<main><h1>T</h1><p>{long}</p><section class='related'><p>{long}</p></section></main><p>{long} {long}</p>") == f"T {long}"
+    assert X.main_text(f"<table><tr><td class=menu>{long}</td><td><p>{long}</p><p>end.</p></td></tr></table>") == f"{long} end."
+
+
 def test_core_between_surge_and_dive():
     assert X.core([5, 0, 0, 0, 100, 3, 80, 0, 0, 0, 70, 0]) == (4, 6)
     assert X.core([1, 2, 9]) == (2, 2)
