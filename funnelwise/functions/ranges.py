@@ -27,6 +27,10 @@ class TimeRange:
     lo_inclusive: bool = False
     hi_inclusive: bool = False
 
+    @property
+    def unbounded(self) -> bool:
+        return self.lo is None and self.hi is None
+
     def on(self, c: str | Column = "created_at") -> Column:
         t = col(c)
         cond = F.lit(True)

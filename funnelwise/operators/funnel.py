@@ -13,12 +13,12 @@ multiset (distinct rows with ``n_rows``) from chunked prefix counts.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from funnelwise.functions.columns import flag, safe_ratio
-from funnelwise.functions.joins import aggregate_for_keys, has_at_most, join_keyed, key_limit
+from funnelwise.functions.columns import first_match, flag, safe_ratio
+from funnelwise.functions.joins import join_keyed, key_range, per_key, rekeyed
 from funnelwise.functions.sequence import (DEFAULT_CHUNK, CHUNK, before_in_chunk, chunk_offsets,
                                           group_window, prior_chunks, with_chunk)
 from funnelwise.functions.ranges import TimeRange
@@ -36,12 +36,11 @@ def page_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange, whe
     """
     s = sessions.filter(window.on("created_at") & where).select(SESSION_ID)
     pv = pageviews.select(SESSION_ID, "pageview_url", F.col("created_at").alias("_pv_at"))
-    # LEFT JOIN as inner join plus the sessions without pageviews: AQE can
-    # split a hot session on either side of an inner join, and the anti join
-    # probes the segment's sessions that have pageviews, one row per session.
-    matched = join_keyed(pv, s, SESSION_ID, "inner")
-    with_pages = aggregate_for_keys(pv, s, SESSION_ID, F.count(F.lit(1)).alias("_n"),
-                                    restrict=False).select(SESSION_ID)
+    # LEFT JOIN as inner join plus the sessions without pageviews: adaptive
+    # execution can split a hot session on either side of an inner join, and the
+    # anti join probes one row per session with pageviews.
+    matched = join_keyed(pv, s, SESSION_ID)
+    with_pages = per_key(pv, s, SESSION_ID, F.count(F.lit(1)).alias("_n")).select(SESSION_ID)
     empty = (s.join(with_pages, SESSION_ID, "left_anti")
              .select(SESSION_ID, F.lit(None).cast("string").alias("pageview_url"),
                      F.lit(None).cast("timestamp_ntz").alias("_pv_at")))
@@ -52,17 +51,26 @@ def page_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange, whe
             .orderBy(SESSION_ID, "_pv_at").drop("_pv_at"))
 
 
+def funnel(entries: DataFrame, pageviews: DataFrame, steps: Mapping[str, str], by: Sequence[str] = (),
+           after: str | None = None) -> DataFrame:
+    """One row per entry (session, ``by``): ``<step>_made_it`` = a pageview of the step's url.
+
+    With ``after``, a pageview id of the entry, only later pageviews count: a
+    step follows the entry exactly when its latest view in the session has a
+    greater id, so one aggregate per session decides all entries.
+    """
+    url = F.col("pageview_url")
+    latest = per_key(pageviews.filter(url.isin(*steps.values())), entries, SESSION_ID,
+                     *[F.max(F.when(url == u, F.col(PAGEVIEW_ID))).alias(f"_last_{n}") for n, u in steps.items()])
+    reached = {n: F.col(f"_last_{n}").isNotNull() if after is None else F.col(f"_last_{n}") > F.col(after) for n in steps}
+    return entries.join(latest, SESSION_ID, "left").select(
+        SESSION_ID, *by, *[flag(F.coalesce(c, F.lit(False))).alias(f"{n}_made_it") for n, c in reached.items()])
+
+
 def session_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange, where: Column,
                   steps: Mapping[str, str]) -> DataFrame:
     """One row per session of the segment: ``<step>_made_it`` = any pageview of the step."""
-    s = sessions.filter(window.on("created_at") & where).select(SESSION_ID)
-    url = F.col("pageview_url")
-    made_it = [f"{name}_made_it" for name in steps]
-    flags = aggregate_for_keys(pageviews, s, SESSION_ID,
-                               *[F.max(flag(url == u)).alias(f"{name}_made_it") for name, u in steps.items()],
-                               restrict=False)
-    # A session without pageviews has one all-NULL outer row: every flag 0.
-    return s.join(flags, SESSION_ID, "left").fillna(0, subset=made_it)
+    return funnel(sessions.filter(window.on("created_at") & where).select(SESSION_ID), pageviews, steps)
 
 
 def step_counts(flags: DataFrame, steps: list[str], by: list[str] = (), prefix: str = "to_") -> DataFrame:
@@ -85,59 +93,40 @@ def product_page_views(pageviews: DataFrame, window: TimeRange, products: Mappin
             .select(SESSION_ID, PAGEVIEW_ID, F.col("pageview_url").alias("product_page_seen")))
 
 
-def _later_anchor(views: DataFrame, by: list[str]) -> DataFrame:
-    return views.groupBy(SESSION_ID, *by).agg(F.min(PAGEVIEW_ID).alias("_anchor"))
-
-
-def urls_after(pageviews: DataFrame, views: DataFrame) -> DataFrame:
-    """Distinct urls seen after any of ``views`` in the same session, plus NULL
-    when some view is the last pageview of its session (an unmatched outer row).
+def urls_after(pageviews: DataFrame, window: TimeRange, urls: Sequence[str]) -> DataFrame:
+    """Distinct urls seen after any view of ``urls`` in the window in the same session, plus
+    NULL when some such view is the last pageview of its session (an unmatched outer row).
 
     A url follows some view of the session exactly when its latest view in the
     session is after the session's earliest view; a view is unmatched exactly
-    when the session's latest view is a view.  Everything is decided on
-    per-session aggregates (combined map-side), never on pairs of pageviews.
+    when the session's latest pageview is a view.  One aggregate per
+    (session, url) and one per session over its rows decide both.
     """
-    anchors = _later_anchor(views, [])
-    pv = pageviews.select(SESSION_ID, PAGEVIEW_ID, "pageview_url")
-    url_last = aggregate_for_keys(pv, anchors, SESSION_ID, F.max(PAGEVIEW_ID).alias("_url_last"),
-                                  by=["pageview_url"], restrict=False)
-    later = (url_last.join(anchors, SESSION_ID, "inner")
-             .filter(F.col("_url_last") > F.col("_anchor")).select("pageview_url"))
-    session_last = aggregate_for_keys(pv, anchors, SESSION_ID, F.max(PAGEVIEW_ID).alias("_last"),
-                                      restrict=False)
-    view_last = views.groupBy(SESSION_ID).agg(F.max(PAGEVIEW_ID).alias("_view_last"))
-    unmatched = (view_last.join(session_last, SESSION_ID, "inner")
-                 .filter(F.col("_view_last") >= F.col("_last"))
-                 .select(F.lit(None).cast("string").alias("pageview_url")))
-    return later.unionByName(unmatched).distinct()
+    viewed = window.on("created_at") & F.col("pageview_url").isin(*urls)
+    per_url = per_key(pageviews, pageviews.filter(viewed).select(SESSION_ID), SESSION_ID,
+                      F.max(PAGEVIEW_ID).alias("_last"), F.min(F.when(viewed, F.col(PAGEVIEW_ID))).alias("_first_view"),
+                      F.max(F.when(viewed, F.col(PAGEVIEW_ID))).alias("_last_view"), by=["pageview_url"])
+    # one entry per url of a session: as many as the site has pages
+    per_session = per_url.groupBy(SESSION_ID).agg(
+        F.min("_first_view").alias("_anchor"), F.max("_last").alias("_end"), F.max("_last_view").alias("_last_view"),
+        F.collect_list(F.struct("pageview_url", "_last")).alias("_urls")).filter(F.col("_anchor").isNotNull())
+    later = F.filter("_urls", lambda u: u["_last"] > F.col("_anchor"))
+    found = F.transform(later, lambda u: u["pageview_url"])
+    nothing = F.when(F.col("_last_view") >= F.col("_end"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return per_session.select(F.explode(F.concat(found, nothing)).alias("pageview_url")).distinct()
 
 
 def product_session_flags(pageviews: DataFrame, views: DataFrame, labels: Mapping[str, str],
                           steps: Mapping[str, str], guard: str) -> DataFrame:
     """Per (session, product seen): did a later pageview of each step url follow?
 
-    ``labels`` maps product url to label (CASE with ``guard`` as ELSE).  A
-    step follows some view of the product exactly when the step's latest
-    view in the session is after the product's earliest view, so two
-    per-session aggregates replace the pairing of views with later pages.
+    ``labels`` maps product url to label (CASE with ``guard`` as ELSE); the
+    entry of a product is its earliest view in the session.
     """
-    label = None
-    for url, name in labels.items():
-        label = F.when(F.col("product_page_seen") == url, name) if label is None else label.when(
-            F.col("product_page_seen") == url, name)
-    anchors = (views.withColumn("product_seen", label.otherwise(guard))
-               .groupBy(SESSION_ID, "product_seen").agg(F.min(PAGEVIEW_ID).alias("_anchor")))
-    url = F.col("pageview_url")
-    last_step = aggregate_for_keys(
-        pageviews.filter(url.isin(*steps.values())), anchors, SESSION_ID,
-        *[F.max(F.when(url == u, F.col(PAGEVIEW_ID))).alias(f"_last_{n}") for n, u in steps.items()],
-        restrict=False)
-    joined = anchors.join(last_step, SESSION_ID, "left")
-    return joined.select(
-        SESSION_ID, "product_seen",
-        *[F.coalesce(flag(F.col(f"_last_{n}") > F.col("_anchor")), F.lit(0)).alias(f"{n}_made_it")
-          for n in steps])
+    label = first_match([(F.col("product_page_seen") == url, name) for url, name in labels.items()])
+    entries = (views.withColumn("product_seen", F.coalesce(label, F.lit(guard)))
+               .groupBy(SESSION_ID, "product_seen").agg(F.min(PAGEVIEW_ID).alias("_entry")))
+    return funnel(entries, pageviews, steps, by=["product_seen"], after="_entry")
 
 
 def product_page_flag_counts(pageviews: DataFrame, window: TimeRange, products: list[str],
@@ -162,11 +151,11 @@ def product_page_flag_counts(pageviews: DataFrame, window: TimeRange, products:
     marks = {i: flag((F.col("pageview_url") == u) & window.on("created_at")) for i, u in enumerate(products)}
     pv = pageviews.select(SESSION_ID, PAGEVIEW_ID, "pageview_url", "created_at").withColumns(
         {f"_p{i}": m for i, m in marks.items()})
-    # A plain window-and-url filter, so it reaches the Parquet scan.
-    product_sessions = (pageviews.filter(window.on("created_at") & F.col("pageview_url").isin(*products))
-                        .select(SESSION_ID).distinct())
-    if has_at_most(product_sessions, key_limit(pv)):
-        pv = pv.join(F.broadcast(product_sessions), SESSION_ID, "left_semi")
+    # Only pages of sessions with a product view in the window (a plain filter
+    # that reaches the scan) are cut into chunks.
+    viewed = pageviews.filter(window.on("created_at") & F.col("pageview_url").isin(*products)).select(SESSION_ID)
+    pv = key_range(pv, viewed, SESSION_ID).join(rekeyed(viewed.distinct(), SESSION_ID), SESSION_ID, "left_semi")
+    pv = rekeyed(pv, SESSION_ID)
 
     keys = [SESSION_ID]
     chunked = with_chunk(pv, PAGEVIEW_ID, chunk)

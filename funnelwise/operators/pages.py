@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import safe_ratio, week_start_sunday
-from funnelwise.functions.joins import aggregate_for_keys, join_keyed
-from funnelwise.functions.ranges import TimeRange
+from funnelwise.functions.joins import key_range, per_key
+from funnelwise.functions.ranges import TimeRange, everything
 
 SESSION_ID = "website_session_id"
 PAGEVIEW_ID = "website_pageview_id"
@@ -33,62 +33,80 @@ def first_pageview(pageviews: DataFrame, window: TimeRange, out_col: str) -> Dat
             .agg(F.min(PAGEVIEW_ID).alias(out_col)))
 
 
-def landing_pages(pageviews: DataFrame, window: TimeRange) -> DataFrame:
-    """(website_session_id, landing_page) for sessions with a pageview in the window."""
-    first = F.min(F.struct(F.col(PAGEVIEW_ID), F.col("pageview_url")))
-    return (pageviews.filter(window.on("created_at")).groupBy(SESSION_ID)
-            .agg(first.alias("_f"))
-            .select(SESSION_ID, F.col("_f.pageview_url").alias("landing_page")))
+def landing_page(pageviews: DataFrame, window: TimeRange = everything(), urls: Sequence[str] | None = None,
+                 min_id: Column | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """Per session: website_session_id, landing_page, first_pageview_id, first_at, n_pages.
+
+    The landing page is the one of the lowest pageview id inside ``window`` (and
+    above ``min_id``); ``n_pages`` counts all pageviews of the session, inside the
+    window or not.  ``sessions`` keeps only those sessions; ``urls`` only
+    sessions that landed on one of them.  One scan and one aggregate,
+    bounded by the ids of the sessions in question.
+    """
+    counts = window.on("created_at")
+    if min_id is not None:
+        counts = counts & (F.col(PAGEVIEW_ID) > min_id)
+    keys = pageviews.filter(window.on("created_at")).select(SESSION_ID) if sessions is None else sessions
+    bounded = pageviews if sessions is None and window.unbounded else key_range(pageviews, keys, SESSION_ID)
+    first = F.min(F.when(counts, F.struct(F.col(PAGEVIEW_ID), F.col("pageview_url"), F.col("created_at"))))
+    out = (bounded.groupBy(SESSION_ID).agg(first.alias("_f"), F.count(PAGEVIEW_ID).alias("n_pages"))
+           .filter(F.col("_f").isNotNull())
+           .select(SESSION_ID, F.col("_f.pageview_url").alias("landing_page"),
+                   F.col("_f.website_pageview_id").alias("first_pageview_id"),
+                   F.col("_f.created_at").alias("first_at"), "n_pages"))
+    if sessions is not None:
+        out = out.join(sessions.select(SESSION_ID), SESSION_ID, "left_semi")
+    return out if urls is None else out.filter(F.col("landing_page").isin(*urls))
 
 
 def entry_page_counts(pageviews: DataFrame, window: TimeRange) -> DataFrame:
     """Sessions per landing page (``Landing_page``, ``sessions_hitting_page``)."""
-    return (landing_pages(pageviews, window).groupBy(F.col("landing_page").alias("Landing_page"))
+    first = F.min(F.struct(F.col(PAGEVIEW_ID), F.col("pageview_url")))
+    entries = pageviews.filter(window.on("created_at")).groupBy(SESSION_ID).agg(first.alias("_f"))
+    return (entries.groupBy(F.col("_f.pageview_url").alias("Landing_page"))
             .agg(F.count(SESSION_ID).alias("sessions_hitting_page")))
 
 
-def per_session(pageviews: DataFrame, keys: DataFrame, *aggs) -> DataFrame:
-    """Aggregates over the pageviews of the sessions in ``keys`` (one row per session).
+def bounced_sessions(landing: DataFrame) -> DataFrame:
+    """Landing sessions (of ``landing_page``) with exactly one pageview."""
+    return landing.filter(F.col("n_pages") == 1).select(
+        SESSION_ID, "landing_page", F.col("n_pages").alias("count_of_pages_viewed"))
 
-    ``aggregate_for_keys``: a checked broadcast semi join when the key set is
-    small, else aggregate first; either way a hot session is combined
-    map-side and never is one task's whole input.
-    """
-    return aggregate_for_keys(pageviews, keys, SESSION_ID, *aggs, restrict=False)
 
+def bounce_detail(landing: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Each landing session with its id again when it bounced, else NULL."""
+    bounced = F.when(F.col("n_pages") == 1, F.col(SESSION_ID))
+    return (landing.select(*keep, SESSION_ID, bounced.alias("bounced_website_session_id"))
+            .orderBy(SESSION_ID))
 
-def with_page_counts(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
-    """Adds ``count_of_pages_viewed``: all pageviews of the session, in or out of any window.
 
-    Equal to ``landing LEFT JOIN pageviews GROUP BY landing columns`` when
-    ``landing`` has one row per session: counts per session, joined 1:1.
-    """
-    counts = per_session(pageviews, landing, F.count(PAGEVIEW_ID).alias("count_of_pages_viewed"))
-    return (landing.join(counts, SESSION_ID, "left")
-            .fillna(0, subset=["count_of_pages_viewed"]))
+def bounce_rate(landing: DataFrame, total_col: str = "total_sessions") -> DataFrame:
+    """Sessions, bounced sessions and their ratio."""
+    return landing.agg(
+        F.count(SESSION_ID).alias(total_col),
+        F.count(F.when(F.col("n_pages") == 1, F.lit(1))).alias("bounced_sessions"),
+    ).withColumn("bounce_rate", safe_ratio("bounced_sessions", total_col))
 
 
-def bounced_sessions(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
-    """Landing sessions with exactly one pageview (HAVING COUNT = 1)."""
-    return with_page_counts(landing, pageviews).filter(F.col("count_of_pages_viewed") == 1)
+def after_first_seen(pageviews: DataFrame, url: str, strict: bool = True) -> Column:
+    """Condition on pageviews: id above (or from, unless ``strict``) the first view of ``url``.
 
+    The first id is a scalar subquery: its own small job, no join.
+    """
+    first = first_pageview_id(pageviews, url)
+    return F.col(PAGEVIEW_ID) > first if strict else F.col(PAGEVIEW_ID) >= first
 
-def bounce_detail(landing: DataFrame, pageviews: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Each landing session with its id again when it bounced, else NULL."""
-    counted = with_page_counts(landing, pageviews)
-    bounced = F.when(F.col("count_of_pages_viewed") == 1, F.col(SESSION_ID))
-    return (counted.select(*keep, SESSION_ID, bounced.alias("bounced_website_session_id"))
-            .orderBy(SESSION_ID))
 
+def ab_test(exposures: DataFrame, variant: str, outcome: Column, names: Sequence[str] = ("sessions", "outcomes", "rate")) -> DataFrame:
+    """Sessions, outcomes and rate per variant.
 
-def bounce_rate(landing: DataFrame, pageviews: DataFrame, by: Sequence[str] = (),
-                total_col: str = "total_sessions") -> DataFrame:
-    """Sessions, bounced sessions and their ratio, optionally per ``by``."""
-    counted = with_page_counts(landing, pageviews)
-    aggs = [F.count(SESSION_ID).alias(total_col),
-            F.count(F.when(F.col("count_of_pages_viewed") == 1, F.lit(1))).alias("bounced_sessions")]
-    grouped = counted.groupBy(*by).agg(*aggs) if by else counted.agg(*aggs)
-    return grouped.withColumn("bounce_rate", safe_ratio("bounced_sessions", total_col))
+    ``exposures`` has one row per session and variant seen; ``outcome`` is its
+    number of outcomes (a 0/1 flag or a count).
+    """
+    sessions, outcomes, rate = names
+    return (exposures.groupBy(variant)
+            .agg(F.count(SESSION_ID).alias(sessions), F.coalesce(F.sum(outcome), F.lit(0)).cast("long").alias(outcomes))
+            .withColumn(rate, safe_ratio(outcomes, sessions)))
 
 
 def first_seen(pageviews: DataFrame, url: str) -> DataFrame:
@@ -106,22 +124,6 @@ def first_pageview_id(pageviews: DataFrame, url: str) -> Column:
     return pageviews.filter(F.col("pageview_url") == url).agg(F.min(PAGEVIEW_ID)).scalar()
 
 
-def test_first_pageviews(pageviews: DataFrame, sessions: DataFrame, session_window: TimeRange,
-                         session_where: Column, after_id: Column) -> DataFrame:
-    """Per session of the test segment: lowest pageview id above ``after_id`` (exclusive)."""
-    s = sessions.filter(session_window.on("created_at") & session_where).select(SESSION_ID)
-    pv = pageviews.filter(F.col(PAGEVIEW_ID) > after_id)
-    first = F.min(F.struct(F.col(PAGEVIEW_ID), F.col("pageview_url")))
-    return aggregate_for_keys(pv, s, SESSION_ID, first.alias("_f")).select(
-        SESSION_ID, F.col("_f.website_pageview_id").alias("min_pageview_id"),
-        F.col("_f.pageview_url").alias("landing_page"))
-
-
-def test_landing_pages(first: DataFrame, urls: Sequence[str]) -> DataFrame:
-    """Test sessions whose first page is one of the tested ``urls``."""
-    return first.filter(F.col("landing_page").isin(*urls)).select(SESSION_ID, "landing_page")
-
-
 def session_first_page_and_count(sessions: DataFrame, pageviews: DataFrame, window: TimeRange,
                                  where: Column) -> DataFrame:
     """Sessions of a segment with first pageview (id, url, time) and pageview count.
@@ -130,7 +132,7 @@ def session_first_page_and_count(sessions: DataFrame, pageviews: DataFrame, wind
     """
     s = sessions.filter(window.on("created_at") & where).select(SESSION_ID)
     first = F.min(F.struct(F.col(PAGEVIEW_ID), F.col("pageview_url"), F.col("created_at")))
-    agg = per_session(pageviews, s, first.alias("_f"), F.count(PAGEVIEW_ID).alias("count_pageviews"))
+    agg = per_key(pageviews, s, SESSION_ID, first.alias("_f"), F.count(PAGEVIEW_ID).alias("count_pageviews"))
     return (s.join(agg, SESSION_ID, "left").fillna(0, subset=["count_pageviews"])
             .select(SESSION_ID,
                     F.col("_f.website_pageview_id").alias("first_pageview_id"),
@@ -155,41 +157,32 @@ def weekly_bounce_and_lander(detail: DataFrame, home: str = "/home", lander: str
                     "home_sessions", "lander_sessions"))
 
 
-def billing_sessions(pageviews: DataFrame, orders: DataFrame, from_id: Column, window: TimeRange,
-                     urls: Sequence[str]) -> DataFrame:
-    """Billing pageviews of the test (id >= ``from_id``) with the session's orders.
+def page_views_of_test(pageviews: DataFrame, started: Column, window: TimeRange, urls: Sequence[str]) -> DataFrame:
+    """Views of the tested ``urls`` once the test has ``started``: session, version seen."""
+    return (pageviews.filter(window.on("created_at") & F.col("pageview_url").isin(*urls) & started)
+            .select(SESSION_ID, F.col("pageview_url").alias("billing_version_seen")))
+
+
+def billing_sessions(views: DataFrame, orders: DataFrame) -> DataFrame:
+    """Billing views of the test with the session's orders.
 
     The literal listing pairs each billing view with each order of its
     session (NULL order when none), repeating a row per view of one version.
     Here each (session, version, order) appears once with ``n_rows`` = the
     session's views of that version: the same multiset, linear in views.
     """
-    views = (pageviews.filter((F.col(PAGEVIEW_ID) >= from_id) & window.on("created_at")
-                              & F.col("pageview_url").isin(*urls))
-             .groupBy(SESSION_ID, F.col("pageview_url").alias("billing_version_seen"))
-             .agg(F.count(F.lit(1)).alias("n_rows")))
-    ordered = join_keyed(orders.select(SESSION_ID, "order_id"), views, SESSION_ID, "inner")
-    with_orders = aggregate_for_keys(orders, views, SESSION_ID, F.count(F.lit(1)).alias("_n"),
-                                     restrict=False).select(SESSION_ID)
-    unordered = views.join(with_orders, SESSION_ID, "left_anti").withColumn(
-        "order_id", F.lit(None).cast("long"))
-    cols = [SESSION_ID, "billing_version_seen", "order_id", "n_rows"]
-    return ordered.select(*cols).unionByName(unordered.select(*cols))
-
-
-def billing_conversion(pageviews: DataFrame, orders: DataFrame, from_id: Column, window: TimeRange,
-                       urls: Sequence[str]) -> DataFrame:
+    seen = views.groupBy(SESSION_ID, "billing_version_seen").agg(F.count(F.lit(1)).alias("n_rows"))
+    placed = key_range(orders, views, SESSION_ID).select(SESSION_ID, "order_id")
+    return seen.join(placed, SESSION_ID, "left").select(SESSION_ID, "billing_version_seen", "order_id", "n_rows")
+
+
+def billing_conversion(views: DataFrame, orders: DataFrame) -> DataFrame:
     """Sessions, orders and order rate per billing page version.
 
-    A session that saw both versions counts in both.  Pageviews are first
+    A session that saw both versions counts in both.  Views are first
     reduced to distinct (session, version) pairs and orders to counts per
     session, so both counts are plain sums over unique rows.
     """
-    pv = (pageviews.filter((F.col(PAGEVIEW_ID) >= from_id) & window.on("created_at")
-                           & F.col("pageview_url").isin(*urls))
-          .select(SESSION_ID, F.col("pageview_url").alias("billing_version_seen")).distinct())
-    per = aggregate_for_keys(orders, pv, SESSION_ID, F.count("order_id").alias("n_orders"), restrict=False)
-    return (pv.join(per, SESSION_ID, "left").groupBy("billing_version_seen")
-            .agg(F.count(SESSION_ID).alias("sessions"),
-                 F.coalesce(F.sum("n_orders"), F.lit(0).cast("long")).alias("orders"))
-            .withColumn("billing_to_order_rt", safe_ratio("orders", "sessions")))
+    per = per_key(orders, views, SESSION_ID, F.count("order_id").alias("n_orders"))
+    return ab_test(views.distinct().join(per, SESSION_ID, "left"), "billing_version_seen", F.col("n_orders"),
+                   ("sessions", "orders", "billing_to_order_rt"))

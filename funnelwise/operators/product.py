@@ -12,24 +12,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from funnelwise.functions.columns import period_label, safe_ratio
-from funnelwise.functions.joins import aggregate_for_keys, join_keyed
+from funnelwise.functions.columns import period_label, safe_ratio, ts_literal
+from funnelwise.functions.joins import join_keyed, per_key, rekeyed
 from funnelwise.functions.ranges import TimeRange
-from funnelwise.operators.traffic import n_orders, n_sessions, session_orders
+from funnelwise.operators.traffic import n_orders, n_sessions, pre_post, session_orders, trend
 
 SESSION_ID = "website_session_id"
 PAGEVIEW_ID = "website_pageview_id"
 
 
-def monthly_sales(orders: DataFrame, window: TimeRange) -> DataFrame:
-    """Orders, revenue and margin per calendar month of the order."""
-    return (orders.filter(window.on("created_at"))
-            .groupBy(F.year("created_at").alias("yr"), F.month("created_at").alias("mo"))
-            .agg(F.count("order_id").alias("number_of_sales"),
-                 F.sum("price_usd").cast("decimal(18,2)").alias("total_revenue"),
-                 F.sum(F.col("price_usd") - F.col("cogs_usd")).cast("decimal(18,2)").alias("total_margin")))
+def sales_summary(orders: DataFrame, window: TimeRange, grain: str = "month") -> DataFrame:
+    """Orders, revenue and margin per time bucket of the order (grains of ``traffic.trend``)."""
+    return trend(orders.filter(window.on("created_at")), grain, {
+        "number_of_sales": F.count("order_id"),
+        "total_revenue": F.sum("price_usd").cast("decimal(18,2)"),
+        "total_margin": F.sum(F.col("price_usd") - F.col("cogs_usd")).cast("decimal(18,2)")})
 
 
 def launch_summary(sessions: DataFrame, orders: DataFrame, window: TimeRange,
@@ -52,35 +51,47 @@ def labelled_views(pageviews: DataFrame, window: TimeRange, url: str, cut: str,
             .withColumn("time_period", period_label("created_at", cut, before, after)))
 
 
-def next_pageview(pageviews: DataFrame, views: DataFrame, keep_unmatched: bool = True) -> DataFrame:
-    """Per (time_period, session) of ``views``: the first pageview after its earliest view.
+def next_page(pageviews: DataFrame, viewed: Column, by: Mapping[str, Column] | None = None,
+              keep_unmatched: bool = True) -> DataFrame:
+    """Per session (and ``by`` value) with a view that meets ``viewed``: the first pageview after
+    its earliest such view.
 
-    Output: time_period, website_session_id, next_pageview_id, next_pageview_url
+    Output: the ``by`` columns, website_session_id, next_pageview_id, next_pageview_url
     (NULLs when nothing follows; such rows dropped unless ``keep_unmatched``).
+    ``by`` maps column names to expressions over the view, e.g. a period label.
+    The joined rows are combined again behind a computed key, so a hot
+    session's join can be split and only its combined rows meet.
     """
-    anchors = views.groupBy("time_period", SESSION_ID).agg(F.min(PAGEVIEW_ID).alias("_anchor"))
+    by = dict(by or {})
+    views = pageviews.filter(viewed)
+    keys = [*by, SESSION_ID]
+    anchors = (views.select(*[c.alias(n) for n, c in by.items()], SESSION_ID, PAGEVIEW_ID)
+               .groupBy(*keys).agg(F.min(PAGEVIEW_ID).alias("_anchor")))
     pv = pageviews.select(SESSION_ID, PAGEVIEW_ID, "pageview_url")
+    later = join_keyed(pv, anchors, SESSION_ID, range_of=views).filter(F.col(PAGEVIEW_ID) > F.col("_anchor"))
     nxt = F.min(F.struct(F.col(PAGEVIEW_ID), F.col("pageview_url")))
-    following = (join_keyed(pv, anchors, SESSION_ID, "inner")
-                 .filter(F.col(PAGEVIEW_ID) > F.col("_anchor"))
-                 .groupBy("time_period", SESSION_ID).agg(nxt.alias("_n")))
-    how = "left" if keep_unmatched else "inner"
-    return anchors.join(following, ["time_period", SESSION_ID], how).select(
-        "time_period", SESSION_ID,
-        F.col("_n.website_pageview_id").alias("next_pageview_id"),
+    following = rekeyed(later, SESSION_ID).groupBy(*keys).agg(nxt.alias("_n"))
+    return anchors.join(following, keys, "left" if keep_unmatched else "inner").select(
+        *keys, F.col("_n.website_pageview_id").alias("next_pageview_id"),
         F.col("_n.pageview_url").alias("next_pageview_url"))
 
 
+def next_pageview(pageviews: DataFrame, window: TimeRange, url: str, cut: str, before: str, after: str,
+                  keep_unmatched: bool = True) -> DataFrame:
+    """``next_page`` of the views of ``url`` in the window, per before / after ``cut`` period."""
+    return next_page(pageviews, window.on("created_at") & (F.col("pageview_url") == url),
+                     {"time_period": period_label("created_at", cut, before, after)}, keep_unmatched)
+
+
 def pathing_summary(next_pages: DataFrame, targets: Mapping[str, str]) -> DataFrame:
     """Per period: sessions, sessions with a next page, and with each target next page."""
     nxt = F.col("next_pageview_url")
-    aggs = [n_sessions().alias("sessions"), F.count(nxt).alias("w_next_pg")]
-    aggs += [F.count(F.when(nxt == url, F.lit(1))).alias(name) for name, url in targets.items()]
-    grouped = next_pages.groupBy("time_period").agg(*aggs)
-    cols = ["time_period", "sessions", "w_next_pg", safe_ratio("w_next_pg", "sessions").alias("pct_w_next_pg")]
-    for name in targets:
-        cols += [name, safe_ratio(name, "sessions").alias(f"pct_{name}")]
-    return grouped.select(*cols)
+    measures = {"sessions": n_sessions(), "w_next_pg": F.count(nxt)}
+    measures |= {name: F.count(F.when(nxt == url, F.lit(1))) for name, url in targets.items()}
+    columns = ["sessions"]
+    for name in ("w_next_pg", *targets):
+        columns += [name, (f"pct_{name}", name, "sessions")]
+    return pre_post(next_pages, F.col("time_period"), measures, columns)
 
 
 def cart_views(pageviews: DataFrame, window: TimeRange, url: str, cut: str, before: str,
@@ -91,11 +102,10 @@ def cart_views(pageviews: DataFrame, window: TimeRange, url: str, cut: str, befo
         F.col(PAGEVIEW_ID).alias("cart_pageview_id"))
 
 
-def cart_clickthroughs(pageviews: DataFrame, carts: DataFrame) -> DataFrame:
+def cart_clickthroughs(pageviews: DataFrame, window: TimeRange, url: str, cut: str, before: str,
+                       after: str) -> DataFrame:
     """Per (period, cart session) with any later pageview: the first later pageview id."""
-    views = carts.select("time_period", F.col("cart_session_id").alias(SESSION_ID),
-                         F.col("cart_pageview_id").alias(PAGEVIEW_ID))
-    return next_pageview(pageviews, views, keep_unmatched=False).select(
+    return next_pageview(pageviews, window, url, cut, before, after, keep_unmatched=False).select(
         "time_period", F.col(SESSION_ID).alias("cart_session_id"),
         F.col("next_pageview_id").alias("pv_id_after_cart"))
 
@@ -110,16 +120,17 @@ def cart_orders(carts: DataFrame, orders: DataFrame) -> DataFrame:
     """
     views = carts.groupBy("time_period", "cart_session_id").agg(F.count(F.lit(1)).alias("n_rows"))
     o = orders.select(F.col(SESSION_ID).alias("cart_session_id"), "order_id", "items_purchased", "price_usd")
-    return join_keyed(o, views, "cart_session_id", "inner").select(
+    return join_keyed(o, views, "cart_session_id", range_of=carts).select(
         "time_period", "cart_session_id", "order_id", "items_purchased", "price_usd", "n_rows")
 
 
-def cross_sell(pageviews: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFrame:
-    """Per period: cart sessions, click-throughs, orders, products, AOV and revenue.
+def cross_sell(pageviews: DataFrame, orders: DataFrame, window: TimeRange, url: str, cut: str, before: str,
+               after: str, dedupe: bool = False) -> DataFrame:
+    """Per period before / after ``cut``: cart sessions, click-throughs, orders, products, AOV, revenue.
 
-    Same numbers as joining every cart view to the session's click-through
-    rows and to the session's (cart view x order) rows on session id only,
-    then summing, which multiplies rows (a session with 2 cart views and 1
+    Default: the numbers of joining every cart view to the session's
+    click-through rows and to its (cart view x order) rows on session id
+    only, then summing, which multiplies rows (a session with 2 cart views and 1
     order adds 4 to ``orders_placed``).  The multiplicities are computed as
     counts per session instead of materialised:
 
@@ -128,69 +139,67 @@ def cross_sell(pageviews: DataFrame, orders: DataFrame, carts: DataFrame) -> Dat
     * ``m``    orders of the session, so ``c * m`` (cart view, order) rows
 
     Each cart view then stands for ``max(1,a) * max(1,c*m)`` joined rows.
+
+    With ``dedupe``, every cart session counts once per period, as clicked when a page
+    follows a cart view of the period, with each of its orders once.
     """
-    per_period = carts.groupBy("time_period", "cart_session_id").agg(
-        F.count(F.lit(1)).alias("_cp"), F.min("cart_pageview_id").alias("_anchor"))
-    last_pv = aggregate_for_keys(
-        pageviews.select(F.col(SESSION_ID).alias("cart_session_id"), PAGEVIEW_ID), per_period,
-        "cart_session_id", F.max(PAGEVIEW_ID).alias("_last"), restrict=False)
-    per_session = (per_period.join(last_pv, "cart_session_id", "left")
-                   .groupBy("cart_session_id")
-                   .agg(F.sum("_cp").alias("_c"),
-                        F.count(F.when(F.col("_last") > F.col("_anchor"), F.lit(1))).alias("_a")))
-    per_order = aggregate_for_keys(
-        orders.select(F.col(SESSION_ID).alias("cart_session_id"), "order_id", "items_purchased", "price_usd"),
-        per_period, "cart_session_id",
-        F.count("order_id").alias("_m"), F.sum("items_purchased").alias("_items"),
-        F.sum("price_usd").alias("_price"), restrict=False)
-    rows = (per_period.join(per_session, "cart_session_id", "inner")
-            .join(per_order, "cart_session_id", "left")
-            .fillna(0, subset=["_m"]))
-    cp, c, a, m = F.col("_cp"), F.col("_c"), F.col("_a"), F.col("_m")
-    pairs = c * m
-    clicks = cp * a * F.greatest(F.lit(1).cast("long"), pairs)
-    placed = cp * F.greatest(F.lit(1).cast("long"), a) * pairs
-    weight = cp * F.greatest(F.lit(1).cast("long"), a) * c
+    periods = {"b": before, "a": after}
+    late = F.col("created_at") >= ts_literal(cut)
+    viewed = window.on("created_at") & (F.col("pageview_url") == url)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    # one pass over the pageviews of the cart sessions: cart views and their
+    # earliest one per period, and the session's last pageview
+    in_period = {"b": viewed & ~late, "a": viewed & late}
+    aggs = [F.max(PAGEVIEW_ID).alias("_last")]
+    for k, cond in in_period.items():
+        aggs += [F.count(F.when(cond, one)).alias(f"_c{k}"), F.min(F.when(cond, F.col(PAGEVIEW_ID))).alias(f"_first_{k}")]
+    views = pageviews.filter(viewed).select(SESSION_ID)
+    sessions = per_key(pageviews, views, SESSION_ID, *aggs).filter(F.col("_cb") + F.col("_ca") > 0)
+    per_order = per_key(orders, views, SESSION_ID, F.count("order_id").alias("_m"),
+                        F.sum("items_purchased").alias("_items"), F.sum("price_usd").alias("_price"))
+    clicked = {k: F.coalesce((F.col("_last") > F.col(f"_first_{k}")).cast("long"), none) for k in periods}
+    rows = (sessions.join(per_order, SESSION_ID, "left").fillna(0, subset=["_m"])
+            .withColumn("_c", F.col("_cb") + F.col("_ca")).withColumn("_a", clicked["b"] + clicked["a"])
+            .withColumn("_p", F.explode(F.array(*[F.struct(F.lit(name).alias("time_period"), F.col(f"_c{k}").alias("cp"), clicked[k].alias("clicked"))
+                                                  for k, name in periods.items()])))
+            .filter(F.col("_p.cp") > 0))
+    cp, c, a, m = F.col("_p.cp"), F.col("_c"), F.col("_a"), F.col("_m")
+    if dedupe:
+        clicks, placed, weight = F.col("_p.clicked"), m, one
+    else:
+        clicks = cp * a * F.greatest(one, c * m)
+        placed = cp * F.greatest(one, a) * c * m
+        weight = cp * F.greatest(one, a) * c
     has_order = m > 0
-    summary = rows.groupBy("time_period").agg(
-        F.count(F.lit(1)).alias("cart_sessions"),
-        F.sum(clicks).alias("clickthroughs"),
-        F.sum(placed).alias("orders_placed"),
-        F.sum(F.when(has_order, weight * F.col("_items"))).alias("products_purchased"),
-        F.sum(F.when(has_order, weight * F.col("_price"))).cast("decimal(18,2)").alias("_revenue"),
-    )
-    return summary.select(
-        "time_period", "cart_sessions", "clickthroughs",
-        safe_ratio("clickthroughs", "cart_sessions").alias("cart_ctr"),
-        "orders_placed", "products_purchased",
-        safe_ratio("products_purchased", "orders_placed").alias("products_per_order"),
-        safe_ratio("_revenue", "orders_placed").alias("aov"),
-        safe_ratio("_revenue", "cart_sessions").alias("rev_per_cart_session"),
-    )
+    return pre_post(rows, F.col("_p.time_period"), {
+        "cart_sessions": F.count(F.lit(1)),
+        "clickthroughs": F.sum(clicks),
+        "orders_placed": F.sum(placed),
+        "products_purchased": F.sum(F.when(has_order, weight * F.col("_items"))),
+        "_revenue": F.sum(F.when(has_order, weight * F.col("_price"))).cast("decimal(18,2)"),
+    }, ["cart_sessions", "clickthroughs", ("cart_ctr", "clickthroughs", "cart_sessions"), "orders_placed", "products_purchased",
+        ("products_per_order", "products_purchased", "orders_placed"), ("aov", "_revenue", "orders_placed"),
+        ("rev_per_cart_session", "_revenue", "cart_sessions")])
 
 
 def portfolio_pre_post(sessions: DataFrame, orders: DataFrame, window: TimeRange, cut: str, before: str,
                        after: str) -> DataFrame:
     """Conversion, AOV, products per order and revenue per session before / after ``cut``."""
     so = session_orders(sessions, orders, window)
-    grouped = (so.groupBy(period_label("created_at", cut, before, after).alias("time_period"))
-               .agg(n_sessions().alias("_s"), n_orders().alias("_o"), F.sum("revenue").alias("_r"),
-                    F.sum("items").alias("_i")))
-    return grouped.select(
-        "time_period", safe_ratio("_o", "_s").alias("conv_rate"),
-        safe_ratio("_r", "_o").alias("average_order_value"),
-        safe_ratio("_i", "_o").alias("products_per_order"),
-        safe_ratio("_r", "_s").alias("revenue_per_session"))
+    return pre_post(so, period_label("created_at", cut, before, after),
+                    {"_s": n_sessions(), "_o": n_orders(), "_r": F.sum("revenue"), "_i": F.sum("items")},
+                    [("conv_rate", "_o", "_s"), ("average_order_value", "_r", "_o"),
+                     ("products_per_order", "_i", "_o"), ("revenue_per_session", "_r", "_s")])
 
 
 def monthly_refund_rate(items: DataFrame, refunds: DataFrame, window: TimeRange,
                         products: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
     """Items sold and share refunded per product per month of the item.
 
-    Items and refunds are keyed by ``order_item_id`` (one refund row per item
-    at most), so every distinct count is a plain conditional count.
+    An item may be refunded in several parts: refunds are made distinct first, so
+    every distinct count of items is a plain conditional count.
     """
-    refunded = refunds.select("order_item_id", F.lit(1).alias("_refunded"))
+    refunded = refunds.select("order_item_id").distinct().withColumn("_refunded", F.lit(1))
     rows = items.filter(window.on("created_at")).join(refunded, "order_item_id", "left")
     pid = F.col("product_id")
     aggs = []

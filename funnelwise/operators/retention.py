@@ -5,18 +5,24 @@ conversion of new versus repeat sessions.
 The new-to-repeat pairing is per user.  A user can own a third of all
 sessions, so nothing here groups a user's sessions into one task:
 
-* listings are an inner equi-join (AQE splits a skewed partition on either
-  side of an inner join) plus the new sessions without any repeat, found
+* listings are an inner equi-join (adaptive execution splits a skewed
+  partition on either side) plus the new sessions without any repeat, found
   by an anti-join against the distinct repeat users;
 * summaries (repeat counts, first repeat) aggregate repeat sessions per user
   first, map-side, and join the one-row-per-user result to new sessions.
+
+Aggregated sides are joined under a computed key (``rekeyed``), so both sides of
+every join of raw sessions are fresh shuffles and a hot user can be split.
+New sessions are paired with all repeat sessions of their user, as many rows as
+the listing has; with one new session per user it is linear in sessions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import channel_group
+from funnelwise.functions.joins import rekeyed
 from funnelwise.functions.ranges import TimeRange
 from funnelwise.operators.traffic import conversion
 
@@ -42,7 +48,7 @@ def new_with_repeats(sessions: DataFrame, window: TimeRange, with_times: bool =
     n, r = new.select(*new_cols), repeat.select(*rep_cols)
     matched = n.join(r, "user_id", "inner")
     repeat_users = repeat.select("user_id").distinct()
-    unmatched = n.join(repeat_users, "user_id", "left_anti")
+    unmatched = n.join(rekeyed(repeat_users, "user_id"), "user_id", "left_anti")
     for c in r.columns:
         if c != "user_id":
             unmatched = unmatched.withColumn(c, F.lit(None).cast(r.schema[c].dataType))
@@ -70,7 +76,7 @@ def first_to_second(sessions: DataFrame, window: TimeRange) -> DataFrame:
     new, repeat = _split(sessions, window)
     first_repeat = repeat.groupBy("user_id").agg(F.min("created_at").alias("_second_at"))
     return (new.select("user_id", F.col("created_at").alias("_new_at"))
-            .join(first_repeat, "user_id", "inner")
+            .join(rekeyed(first_repeat, "user_id"), "user_id", "inner")
             .select("user_id", F.datediff(F.col("_second_at"), F.col("_new_at"))
                     .alias("days_first_to_second_session")))
 
@@ -82,9 +88,10 @@ def time_to_repeat(days: DataFrame) -> DataFrame:
                     F.max(d).alias("max_days_first_to_second"))
 
 
-def _new_repeat_counts(rows: DataFrame, *keys) -> DataFrame:
+def new_vs_repeat(rows: DataFrame, *by: str | Column) -> DataFrame:
+    """New and repeat sessions per ``by``, most repeat sessions first."""
     rep = F.col("is_repeat_session")
-    return (rows.groupBy(*keys)
+    return (rows.groupBy(*by)
             .agg(F.count(F.when(rep == 0, F.col(SESSION_ID))).alias("new_sessions"),
                  F.count(F.when(rep == 1, F.col(SESSION_ID))).alias("repeat_sessions"))
             .orderBy(F.desc("repeat_sessions")))
@@ -92,13 +99,13 @@ def _new_repeat_counts(rows: DataFrame, *keys) -> DataFrame:
 
 def repeat_by_source(sessions: DataFrame, window: TimeRange) -> DataFrame:
     """New and repeat sessions per (utm_source, utm_campaign, http_referer)."""
-    return _new_repeat_counts(sessions.filter(window.on("created_at")),
+    return new_vs_repeat(sessions.filter(window.on("created_at")),
                               "utm_source", "utm_campaign", "http_referer")
 
 
 def repeat_by_channel(sessions: DataFrame, window: TimeRange) -> DataFrame:
     """New and repeat sessions per channel (five-way rules, NULL when none match)."""
-    return _new_repeat_counts(sessions.filter(window.on("created_at")),
+    return new_vs_repeat(sessions.filter(window.on("created_at")),
                               channel_group(with_social=True).alias("channel_group"))
 
 

@@ -2,7 +2,7 @@
 
 Distinct counts: ``website_sessions`` has one row per session and
 ``web_orders`` one row per order, so once orders are folded to one row per
-session (``orders_per_session``) and joined 1:1 to sessions, every
+session and joined 1:1 to sessions, every
 ``COUNT(DISTINCT session)`` is a row count and every ``COUNT(DISTINCT
 order)`` a sum of per-session order counts.  The aggregates therefore run
 with map-side partial aggregation and need no Expand and no second shuffle,
@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwise.functions.columns import count_distinct_if, safe_ratio, week_mode0, week_start_sunday
-from funnelwise.functions.joins import aggregate_for_keys
+from funnelwise.functions.joins import key_range
 from funnelwise.functions.ranges import TimeRange, everything
 
 SESSION_ID = "website_session_id"
@@ -39,11 +39,6 @@ def order_measures(products: Sequence[int] = ()) -> list[Column]:
                    for p in products]
 
 
-def orders_per_session(orders: DataFrame, products: Sequence[int] = ()) -> DataFrame:
-    """One row per session with orders: count, revenue, items, counts per product."""
-    return orders.groupBy(SESSION_ID).agg(*order_measures(products))
-
-
 def session_orders(sessions: DataFrame, orders: DataFrame, window: TimeRange = everything(),
                    where: Column | None = None, products: Sequence[int] = ()) -> DataFrame:
     """Sessions in the window, each with its folded orders (0 / NULL when none).
@@ -53,9 +48,10 @@ def session_orders(sessions: DataFrame, orders: DataFrame, window: TimeRange = e
     NULL for sessions without orders, as SUM over the outer join's NULLs.
     """
     s = sessions_in(sessions, window, where)
-    # Only the orders of these sessions are folded: a checked broadcast semi
-    # join for a small window, else fold all orders first (map-side combine).
-    per = aggregate_for_keys(orders, s, SESSION_ID, *order_measures(products), restrict=False)
+    # Orders are folded per session first (map-side combine), those in the
+    # range of the window's session ids.
+    bounded = orders if window.unbounded else key_range(orders, s, SESSION_ID)
+    per = bounded.groupBy(SESSION_ID).agg(*order_measures(products))
     zero_cols = ["n_orders"] + [f"n_orders_p{p}" for p in products]
     return s.join(per, SESSION_ID, "left").fillna(0, subset=zero_cols)
 
@@ -153,12 +149,11 @@ def trend(rows: DataFrame, grain: str, measures: Mapping[str, Column], label: st
 
 
 def conditional_counts(conditions: Mapping[str, Column], key: str = SESSION_ID,
-                       unique: bool = True) -> dict[str, Column]:
+                       unique: bool = False) -> dict[str, Column]:
     """Pivot by conditional aggregation: ``COUNT(DISTINCT CASE WHEN c THEN key END)`` per condition.
 
-    ``unique=True`` (rows hold each key once, as sessions do) makes each a
-    plain conditional count; ``unique=False`` keeps true distinct counts for
-    inputs that repeat keys.
+    With ``unique=True`` the caller guarantees that rows hold each key once (as
+    checked session tables do), and each becomes a plain conditional count.
     """
     return {name: count_distinct_if(cond, key, unique) for name, cond in conditions.items()}
 
@@ -169,6 +164,17 @@ def with_ratios(df: DataFrame, columns: Sequence[str | tuple[str, str, str]]) ->
     return df.select(*out)
 
 
+def pre_post(rows: DataFrame, period: Column, measures: Mapping[str, Column],
+             columns: Sequence[str | tuple[str, str, str]]) -> DataFrame:
+    """Measures per period (``time_period``), then ``columns`` with their ratios.
+
+    ``period`` labels each row (see ``functions.period_label``); ``columns`` names
+    measures to keep and ``(name, numerator, denominator)`` ratios.
+    """
+    grouped = rows.groupBy(period.alias("time_period")).agg(*[m.alias(n) for n, m in measures.items()])
+    return with_ratios(grouped, ["time_period", *columns])
+
+
 def weekly_sessions(sessions: DataFrame, window: TimeRange, where: Column | None,
                     label: str = "week_started_at") -> DataFrame:
     """Sessions per (YEAR, WEEK mode 0) week, labelled by the first date with sessions."""
@@ -179,7 +185,7 @@ def weekly_device_sessions(sessions: DataFrame, window: TimeRange, where: Column
     """Desktop and mobile sessions per (YEAR, WEEK mode 0) week."""
     device = F.col("device_type")
     return trend(sessions_in(sessions, window, where), "year_week", conditional_counts(
-        {"desktop_sessions": device == "desktop", "mobile_sessions": device == "mobile"}))
+        {"desktop_sessions": device == "desktop", "mobile_sessions": device == "mobile"}, unique=True))
 
 
 def weekly_channel_sessions(sessions: DataFrame, window: TimeRange, where: Column | None,
@@ -187,7 +193,7 @@ def weekly_channel_sessions(sessions: DataFrame, window: TimeRange, where: Colum
     """Sessions per source per Sunday week (YEARWEEK)."""
     src = F.col("utm_source")
     return trend(sessions_in(sessions, window, where), "yearweek",
-                 conditional_counts({f"{s}_sessions": src == s for s in sources}))
+                 conditional_counts({f"{s}_sessions": src == s for s in sources}, unique=True))
 
 
 def channel_mobile_share(sessions: DataFrame, window: TimeRange, where: Column | None) -> DataFrame:
@@ -206,7 +212,7 @@ def weekly_source_device_mix(sessions: DataFrame, window: TimeRange, where: Colu
         "b_dtop_sessions": (src == "bsearch") & (dev == "desktop"),
         "g_mob_sessions": (src == "gsearch") & (dev == "mobile"),
         "b_mob_sessions": (src == "bsearch") & (dev == "mobile"),
-    }))
+    }, unique=True))
     return with_ratios(weekly, [
         "week_start_date", "g_dtop_sessions", "b_dtop_sessions",
         ("b_pct_of_g_dtop", "b_dtop_sessions", "g_dtop_sessions"),
@@ -218,7 +224,7 @@ def monthly_channel_mix(sessions: DataFrame, window: TimeRange, channel: Column)
     ch = F.col("channel_group")
     monthly = trend(sessions_in(sessions, window).withColumn("channel_group", channel), "month",
                     conditional_counts({"nonbrand": ch == "paid_nonbrand", "brand": ch == "paid_brand",
-                                        "direct": ch == "direct_type_in", "organic": ch == "organic_search"}))
+                                        "direct": ch == "direct_type_in", "organic": ch == "organic_search"}, unique=True))
     return with_ratios(monthly, [
         "yr", "mo", "nonbrand", "brand", ("brand_pct_of_nonbrand", "brand", "nonbrand"),
         "direct", ("direct_pct_of_nonbrand", "direct", "nonbrand"),

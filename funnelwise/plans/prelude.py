@@ -8,7 +8,7 @@ driver's ``events`` view.
 
 PRELUDE = """
 WITH fx_ev AS (
-  SELECT event_id, ts, user_id,
+  SELECT event_id, ts, user_id, event_type,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 2 AS b
   FROM events
@@ -44,7 +44,7 @@ WITH fx_ev AS (
   WHERE n = 1
 ), fx_pv AS (
   SELECT
-    sid * 1000 + n AS website_pageview_id,
+    event_id + 1 AS website_pageview_id,
     s_at + to_microseconds(date_diff('microsecond', first_ts, ts)) AS created_at,
     sid AS website_session_id,
     CASE stage
@@ -60,7 +60,7 @@ WITH fx_ev AS (
       ELSE '/products' END AS pageview_url,
     stage, s_at, k1
   FROM fx_rows
-  WHERE sid % 97 <> 0
+  WHERE event_type <> 'error'
 ), website_pageviews AS (
   SELECT website_pageview_id, created_at, website_session_id, pageview_url FROM fx_pv
 ), fx_ord AS (

@@ -1,4 +1,5 @@
-"""The 65 statements of the reference analysis, as operator calls with its literals.
+"""The 65 statements of the analysis, as operator calls with its literals, and the
+cross-sell comparison without fan-out.
 
 Each entry is ``name -> f(tables) -> DataFrame``; ``spark_queries()`` wraps
 them as ``(spark, sf_dir) -> DataFrame`` over the tables derived from that
@@ -56,7 +57,8 @@ _SHARED_LOCK = threading.RLock()  # re-entrant: intermediates build on intermedi
 
 
 def shared(name: str) -> Callable[[Callable[[ShopTables], DataFrame]], Callable[[ShopTables], DataFrame]]:
-    """Mark an intermediate result that several statements read.
+    """Mark an intermediate result that several statements read (``name``: the statement
+    that returns it, or of its first use).
 
     With ``tables.scratch`` set it is written once to ``<scratch>/<name>`` and
     every user reads the stored copy (a temporary table); otherwise it is
@@ -80,58 +82,62 @@ def shared(name: str) -> Callable[[Callable[[ShopTables], DataFrame]], Callable[
 
 @shared("sessions_w_landing_page")
 def _landing(t: ShopTables) -> DataFrame:                      # Q10 (Q09 window)
-    return pages.landing_pages(t.pageviews, before("2012-06-14"))
+    return pages.landing_page(t.pageviews, before("2012-06-14"))
 
 
 def _lander_first_id(t: ShopTables):                           # Q14 -> Q15 threshold
     return pages.first_seen(t.pageviews, LANDER).select("first_pageview_id").scalar()
 
 
-@shared("first_test_pageview_id")
+@shared("ab_first_test_pageview")
 def _ab_first(t: ShopTables) -> DataFrame:                     # Q15 (+ landing url)
-    return pages.test_first_pageviews(t.pageviews, t.sessions, before("2012-07-28"), _gsearch_nonbrand(),
-                                      _lander_first_id(t))
+    segment = traffic.sessions_in(t.sessions, before("2012-07-28"), _gsearch_nonbrand())
+    return pages.landing_page(t.pageviews, min_id=_lander_first_id(t), sessions=segment)
 
 
-@shared("nonbrand_test_sessions_w_landing_page")
+@shared("ab_sessions_w_landing_page")
 def _ab_landing(t: ShopTables) -> DataFrame:                   # Q16
-    return pages.test_landing_pages(_ab_first(t), [HOME, LANDER])
+    return _ab_first(t).filter(F.col("landing_page").isin(HOME, LANDER))
 
 
-@shared("sessions_w_counts_lander_and_created_at")
+@shared("session_lander_and_time")
 def _trend_detail(t: ShopTables) -> DataFrame:                 # Q21
     return pages.session_first_page_and_count(t.sessions, t.pageviews, open_range("2012-06-01", "2012-08-31"),
                                               _gsearch_nonbrand())
 
 
-@shared("session_level_made_it_flags")
+@shared("funnel_session_flags")
 def _funnel_flags(t: ShopTables) -> DataFrame:                 # Q24
     return funnel.session_flags(t.sessions, t.pageviews, open_range("2012-08-05", "2012-09-05"),
                                 _gsearch_nonbrand(), SITE_FUNNEL)
 
 
-def _billing2_first_id(t: ShopTables):                         # Q27 -> Q28 threshold
-    return pages.first_pageview_id(t.pageviews, BILLING2)
+def _billing_views(t: ShopTables) -> DataFrame:                # Q28, Q29 (from the first view, Q27)
+    return pages.page_views_of_test(t.pageviews, pages.after_first_seen(t.pageviews, BILLING2, strict=False),
+                                    before("2012-11-10"), [BILLING, BILLING2])
+
+
+_PRODUCTS_PERIODS = (open_range("2012-10-06", "2013-04-06"), PRODUCTS, "2013-01-06", *PRE_PRODUCT_2)
+_CART_PERIODS = (between("2013-08-25", "2013-10-25"), CART, "2013-09-25", *CROSS_SELL)
+_PRODUCT_WINDOW = open_range("2013-01-06", "2013-04-10")
 
 
 @shared("products_pageviews")
 def _products_views(t: ShopTables) -> DataFrame:               # Q39
-    return product.labelled_views(t.pageviews, open_range("2012-10-06", "2013-04-06"), PRODUCTS,
-                                  "2013-01-06", *PRE_PRODUCT_2)
+    return product.labelled_views(t.pageviews, *_PRODUCTS_PERIODS)
 
 
-@shared("sessions_w_next_pageview_url")
+@shared("next_pageview_url")
 def _next_pages(t: ShopTables) -> DataFrame:                   # Q40 + Q41
-    return product.next_pageview(t.pageviews, _products_views(t))
+    return product.next_pageview(t.pageviews, *_PRODUCTS_PERIODS)
 
 
 @shared("sessions_seeing_product_pages")
 def _product_views(t: ShopTables) -> DataFrame:                # Q43
-    return funnel.product_page_views(t.pageviews, open_range("2013-01-06", "2013-04-10"),
-                                     {"mrfuzzy": MRFUZZY, "lovebear": LOVEBEAR})
+    return funnel.product_page_views(t.pageviews, _PRODUCT_WINDOW, {"mrfuzzy": MRFUZZY, "lovebear": LOVEBEAR})
 
 
-@shared("session_product_level_made_it_flags")
+@shared("product_funnel_session_flags")
 def _product_flags(t: ShopTables) -> DataFrame:                # Q46
     return funnel.product_session_flags(t.pageviews, _product_views(t), PRODUCT_LABELS, PRODUCT_STEPS,
                                         GUARD_LABEL)
@@ -139,8 +145,7 @@ def _product_flags(t: ShopTables) -> DataFrame:                # Q46
 
 @shared("sessions_seeing_cart")
 def _carts(t: ShopTables) -> DataFrame:                        # Q49
-    return product.cart_views(t.pageviews, between("2013-08-25", "2013-10-25"), CART, "2013-09-25",
-                              *CROSS_SELL)
+    return product.cart_views(t.pageviews, *_CART_PERIODS)
 
 
 def _quarter_channels():
@@ -171,17 +176,18 @@ STATEMENTS: dict[str, Callable[[ShopTables], DataFrame]] = {
     "first_pv_per_session": lambda t: pages.first_pageview(t.pageviews, before("2012-06-12"), "first_pv"),
     "top_entry_pages": lambda t: pages.entry_page_counts(t.pageviews, before("2012-06-12")),
     "first_pageviews": lambda t: pages.first_pageview(t.pageviews, before("2012-06-14"), "min_pageview_id"),
-    "sessions_w_landing_page": _landing,
-    "bounced_sessions": lambda t: pages.bounced_sessions(_landing(t), t.pageviews),
-    "session_bounce_detail": lambda t: pages.bounce_detail(_landing(t), t.pageviews),
-    "bounce_rate": lambda t: pages.bounce_rate(_landing(t), t.pageviews),
+    "sessions_w_landing_page": lambda t: _landing(t).select("website_session_id", "landing_page"),
+    "bounced_sessions": lambda t: pages.bounced_sessions(_landing(t)),
+    "session_bounce_detail": lambda t: pages.bounce_detail(_landing(t)),
+    "bounce_rate": lambda t: pages.bounce_rate(_landing(t)),
     "page_first_seen": lambda t: pages.first_seen(t.pageviews, LANDER),
-    "ab_first_test_pageview": lambda t: _ab_first(t).select("website_session_id", "min_pageview_id"),
-    "ab_sessions_w_landing_page": _ab_landing,
-    "ab_bounced_sessions": lambda t: pages.bounced_sessions(_ab_landing(t), t.pageviews),
-    "ab_session_detail": lambda t: pages.bounce_detail(_ab_landing(t), t.pageviews, keep=["landing_page"]),
-    "ab_bounce_rate": lambda t: pages.bounce_rate(_ab_landing(t), t.pageviews, by=["landing_page"],
-                                                  total_col="sessions"),
+    "ab_first_test_pageview": lambda t: _ab_first(t).select(
+        "website_session_id", F.col("first_pageview_id").alias("min_pageview_id")),
+    "ab_sessions_w_landing_page": lambda t: _ab_landing(t).select("website_session_id", "landing_page"),
+    "ab_bounced_sessions": lambda t: pages.bounced_sessions(_ab_landing(t)),
+    "ab_session_detail": lambda t: pages.bounce_detail(_ab_landing(t), keep=["landing_page"]),
+    "ab_bounce_rate": lambda t: pages.ab_test(_ab_landing(t), "landing_page", (F.col("n_pages") == 1).cast("int"),
+                                              ("sessions", "bounced_sessions", "bounce_rate")),
     "session_first_pv_and_count": lambda t: _trend_detail(t).select(
         "website_session_id", "first_pageview_id", "count_pageviews"),
     "session_lander_and_time": _trend_detail,
@@ -198,10 +204,8 @@ STATEMENTS: dict[str, Callable[[ShopTables], DataFrame]] = {
         keep=["sessions"]),
     "billing_first_pv": lambda t: t.pageviews.filter(F.col("pageview_url") == BILLING2).agg(
         F.min("website_pageview_id").alias("first_pv_id")),
-    "billing_sessions_detail": lambda t: pages.billing_sessions(
-        t.pageviews, t.orders, _billing2_first_id(t), before("2012-11-10"), [BILLING, BILLING2]),
-    "billing_ab_conversion": lambda t: pages.billing_conversion(
-        t.pageviews, t.orders, _billing2_first_id(t), before("2012-11-10"), [BILLING, BILLING2]),
+    "billing_sessions_detail": lambda t: pages.billing_sessions(_billing_views(t), t.orders),
+    "billing_ab_conversion": lambda t: pages.billing_conversion(_billing_views(t), t.orders),
 
     # Part III: channel portfolio
     "weekly_channel_sessions": lambda t: traffic.weekly_channel_sessions(
@@ -222,7 +226,7 @@ STATEMENTS: dict[str, Callable[[ShopTables], DataFrame]] = {
         t.sessions, between("2012-09-15", "2012-11-15")),
 
     # Part V: products
-    "monthly_sales": lambda t: product.monthly_sales(t.orders, before("2013-01-04")),
+    "monthly_sales": lambda t: product.sales_summary(t.orders, before("2013-01-04")),
     "product_launch": lambda t: product.launch_summary(
         t.sessions, t.orders, open_range("2012-04-01", "2013-04-05"),
         {"product_one_orders": 1, "product_two_orders": 2}),
@@ -235,10 +239,9 @@ STATEMENTS: dict[str, Callable[[ShopTables], DataFrame]] = {
     "product_pathing_pre_post": lambda t: product.pathing_summary(
         _next_pages(t), {"to_mrfuzzy": MRFUZZY, "to_lovebear": LOVEBEAR}),
     "sessions_seeing_product_pages": _product_views,
-    "urls_after_product_page": lambda t: funnel.urls_after(t.pageviews, _product_views(t)),
+    "urls_after_product_page": lambda t: funnel.urls_after(t.pageviews, _PRODUCT_WINDOW, [MRFUZZY, LOVEBEAR]),
     "product_funnel_page_flags": lambda t: funnel.product_page_flag_counts(
-        t.pageviews, open_range("2013-01-06", "2013-04-10"), [MRFUZZY, LOVEBEAR],
-        {"cart": CART, "shipping": SHIPPING, "billing": BILLING2, "thankyou": THANKYOU}),
+        t.pageviews, _PRODUCT_WINDOW, [MRFUZZY, LOVEBEAR], PRODUCT_STEPS),
     "product_funnel_session_flags": _product_flags,
     "product_funnel_counts": lambda t: funnel.step_counts(_product_flags(t), list(PRODUCT_STEPS),
                                                           by=["product_seen"]),
@@ -247,9 +250,10 @@ STATEMENTS: dict[str, Callable[[ShopTables], DataFrame]] = {
         ["product_page_click_rt", "cart_click_rt", "shipping_click_rt", "billing_click_rt"],
         keep=["product_seen"]),
     "sessions_seeing_cart": _carts,
-    "cart_sessions_seeing_another_page": lambda t: product.cart_clickthroughs(t.pageviews, _carts(t)),
+    "cart_sessions_seeing_another_page": lambda t: product.cart_clickthroughs(t.pageviews, *_CART_PERIODS),
     "cart_session_orders": lambda t: product.cart_orders(_carts(t), t.orders),
-    "cross_sell_pre_post": lambda t: product.cross_sell(t.pageviews, t.orders, _carts(t)),
+    "cross_sell_pre_post": lambda t: product.cross_sell(t.pageviews, t.orders, *_CART_PERIODS),
+    "cross_sell_pre_post_dedupe": lambda t: product.cross_sell(t.pageviews, t.orders, *_CART_PERIODS, dedupe=True),
     "portfolio_pre_post": lambda t: product.portfolio_pre_post(
         t.sessions, t.orders, between("2013-11-22", "2014-01-22"), "2013-12-22", *BIRTHDAY_BEAR),
     "monthly_refund_rate": lambda t: product.monthly_refund_rate(t.order_items, t.refunds, before("2014-10-15")),

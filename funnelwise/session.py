@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -61,3 +62,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="funnelwise-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that this library wrote, through Hadoop's file system."""
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Remove a scratch folder when the Python driver ends (if Spark still runs then)."""
+    atexit.register(remove, spark, folder)

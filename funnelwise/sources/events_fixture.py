@@ -1,12 +1,15 @@
 """Derivation of the five shop tables from the driver's ``events`` table.
 
 A pure function of ``events``; the same rules are written in DuckDB SQL in
-``plans.oracle`` and both produce identical tables.  One session is one
+``plans.prelude`` and both produce identical tables.  One session is one
 (user, two-day bucket); the event order inside it gives the page sequence.
 Time is stretched so January 2024 covers 2012-03 .. 2015-03, the period the
 analyses' date literals refer to.
 
-Scale notes: events are read twice and shuffled once.  A per-(session,
+An event of type ``error`` is no pageview, so sessions with only such events have
+none; every other event is a pageview, with an id of its own.
+
+Scale notes: events are read twice and shuffled once for the numbering.  A per-(session,
 chunk) aggregate (map-side combined) yields the numbering offsets and, by
 windows over that small table, each session's id, start and first k.  The
 one full shuffle joins events to it on (session, chunk), where no key has
@@ -41,7 +44,7 @@ TIME_STRETCH = 36
 SESSION_BUCKET_DAYS = 2
 USER_COHORT_BUCKETS = 3
 USERS_PER_SOURCE_USER = 5
-NO_PAGEVIEW_MODULUS = 97
+NOT_A_PAGEVIEW = "error"
 GSEARCH_URL = "https://www.gsearch.com"
 BSEARCH_URL = "https://www.bsearch.com"
 SOCIALBOOK_URL = "https://www.socialbook.com"
@@ -110,6 +113,7 @@ def derive_shop_tables(events: DataFrame, chunk: int = DEFAULT_CHUNK,
         "event_id",
         "ts",
         "user_id",
+        "event_type",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.floor(F.datediff(F.to_date("ts"), F.to_date(F.lit(EPOCH_SOURCE[:10])))
                 / F.lit(SESSION_BUCKET_DAYS)).cast("long").alias("b"),
@@ -156,8 +160,8 @@ def derive_shop_tables(events: DataFrame, chunk: int = DEFAULT_CHUNK,
         )
     )
 
-    pv_rows = rows.filter(sid % NO_PAGEVIEW_MODULUS != 0).select(
-        (sid * 1000 + F.col("n")).alias("website_pageview_id"),
+    pv_rows = rows.filter(F.col("event_type") != NOT_A_PAGEVIEW).select(
+        (F.col("event_id") + 1).alias("website_pageview_id"),
         _plus_micros(F.col("s_at"), _micros_between(F.col("first_ts"), F.col("ts"))).alias("created_at"),
         sid.alias("website_session_id"),
         _page_url(F.col("stage"), sid, F.col("s_at")).alias("pageview_url"),

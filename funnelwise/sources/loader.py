@@ -16,39 +16,81 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from funnelwise.session import checkpoint_dir
+from funnelwise.session import checkpoint_dir, remove, remove_at_exit
 from funnelwise.sources.events_fixture import derive_shop_tables
-from funnelwise.sources.schema import SCHEMAS, ShopTables, conform
+from funnelwise.sources.schema import PRIMARY_KEYS, SCHEMAS, ShopTables, check_keys, conform
 
 _CACHE: dict[tuple[str, str], ShopTables] = {}
 _LOCK = threading.Lock()
 
 
+KEYS = ("check", "dedupe", "trust")
+
+
+def with_unique_keys(tables: ShopTables, keys: str) -> ShopTables:
+    """The tables with unique primary keys, which every count relies on.
+
+    ``check``: one aggregate per table; repeated keys are an error that names the
+    table.  ``dedupe``: one row of each key stays (any of them; meant for re-delivered
+    rows).  ``trust``: taken as they are.
+    """
+    if keys not in KEYS:
+        raise ValueError(f"keys must be one of {KEYS}")
+    if keys == "check":
+        repeated = {name: n for name, n in check_keys(tables).items() if n}
+        if repeated:
+            raise ValueError("repeated keys: " + ", ".join(f"{name}.{PRIMARY_KEYS[name]} ({n})" for name, n in repeated.items()))
+    if keys != "dedupe":
+        return tables
+    unique = {name: df.dropDuplicates([PRIMARY_KEYS[name]]) if name in PRIMARY_KEYS else df for name, df in tables.as_dict().items()}
+    return ShopTables(*unique.values(), scratch=tables.scratch)
+
+
+def jdbc_options(name: str, location: str, options: dict[str, str]) -> dict[str, str]:
+    """Reader options of one table in a database: ``location`` is its schema (may be empty).
+
+    ``options`` holds url, driver, user and so on.  With ``numPartitions`` and
+    bounds given as ``<table>.lowerBound`` / ``<table>.upperBound`` the read is split
+    on the table's key.
+    """
+    out = {k: v for k, v in options.items() if "." not in k}
+    out["dbtable"] = f"{location}.{name}" if location else name
+    bounds = {b: options[f"{name}.{b}"] for b in ("lowerBound", "upperBound") if f"{name}.{b}" in options}
+    if name in PRIMARY_KEYS and "numPartitions" in out and len(bounds) == 2:
+        return out | bounds | {"partitionColumn": PRIMARY_KEYS[name]}
+    out.pop("numPartitions", None)
+    return out
+
+
 def read_shop_tables(spark: SparkSession, location: str, fmt: str = "parquet",
-                     options: dict[str, str] | None = None) -> ShopTables:
+                     options: dict[str, str] | None = None, keys: str = "trust", source_zone: str = "UTC") -> ShopTables:
     """Read the five tables from ``location/<table name>`` in ``fmt``.
 
     ``fmt="table"`` reads catalog tables named ``<location>.<table name>``
-    (``location`` is the database).  File formats get the fixed schema, so
-    nothing is inferred by scanning.
+    (``location`` is the database), ``fmt="jdbc"`` database tables (see
+    ``jdbc_options``).  File formats get the fixed schema, so nothing is inferred
+    by scanning.  ``keys``: see ``with_unique_keys``.  ``source_zone``: the zone
+    whose wall-clock times stored instants stand for.
     """
     frames = {}
     for name, schema in SCHEMAS.items():
         if fmt == "table":
             df = spark.table(f"{location}.{name}")
+        elif fmt == "jdbc":
+            df = spark.read.format("jdbc").options(**jdbc_options(name, location, options or {})).load()
         else:
             reader = spark.read.format(fmt).options(**(options or {}))
             if fmt != "parquet" and fmt != "orc":
                 reader = reader.schema(schema)
             df = reader.load(f"{location.rstrip('/')}/{name}")
-        frames[name] = conform(df, schema)
-    return ShopTables(
+        frames[name] = conform(df, schema, source_zone)
+    return with_unique_keys(ShopTables(
         sessions=frames["website_sessions"],
         pageviews=frames["website_pageviews"],
         orders=frames["web_orders"],
         order_items=frames["order_items"],
         refunds=frames["order_item_refunds"],
-    )
+    ), keys)
 
 
 def write_shop_tables(tables: ShopTables, location: str, mode: str = "errorifexists",
@@ -79,7 +121,7 @@ def tables_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Sh
 
     Built once per Spark application and folder.  With ``materialize`` the
     derived tables are written to a fresh folder inside the shared
-    checkpoint folder and read back.
+    checkpoint folder, read back, and removed when the application ends.
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _LOCK:
@@ -91,6 +133,7 @@ def tables_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Sh
             tables = derive_shop_tables(events)
         else:
             target = f"{checkpoint_dir(spark).rstrip('/')}/funnelwise-shop-{uuid.uuid4().hex}"
+            remove_at_exit(spark, target)
 
             def stage(name, df):
                 path = f"{target}/_stage/{name}"
@@ -98,6 +141,7 @@ def tables_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Sh
                 return spark.read.parquet(path)
 
             write_shop_tables(derive_shop_tables(events, stage=stage), target)
+            remove(spark, f"{target}/_stage")
             tables = read_shop_tables(spark, target)
         _CACHE[key] = tables
         return tables

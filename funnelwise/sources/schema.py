@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 TS = T.TimestampNTZType()
 MONEY = T.DecimalType(8, 2)
@@ -65,7 +65,6 @@ PRIMARY_KEYS = {
     "website_pageviews": "website_pageview_id",
     "web_orders": "order_id",
     "order_items": "order_item_id",
-    "order_item_refunds": "order_item_id",
 }
 
 
@@ -101,9 +100,21 @@ class ShopTables:
             df.createOrReplaceTempView(prefix + name)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select and cast the schema's columns in order (extra columns dropped)."""
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+def wall_clock(c: Column, zone: str) -> Column:
+    """The date and time of a TIMESTAMP (an instant) in ``zone``, whatever the session's zone."""
+    utc = F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+
+def conform(df: DataFrame, schema: T.StructType, source_zone: str = "UTC") -> DataFrame:
+    """Select and cast the schema's columns in order (extra columns dropped).
+
+    Instants (TIMESTAMP columns) become wall-clock times in ``source_zone``.
+    """
+    kinds = dict(df.dtypes)
+    return df.select([
+        (wall_clock(F.col(f.name), source_zone) if f.dataType == T.TimestampNTZType() and kinds.get(f.name) == "timestamp"
+         else F.col(f.name).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
 def check_keys(tables: ShopTables) -> dict[str, int]:
@@ -113,8 +124,9 @@ def check_keys(tables: ShopTables) -> dict[str, int]:
     reaches the driver.
     """
     out = {}
-    for name, df in tables.as_dict().items():
-        key = PRIMARY_KEYS[name]
+    frames = tables.as_dict()
+    for name, key in PRIMARY_KEYS.items():
+        df = frames[name]
         dup = df.groupBy(key).count().filter(F.col("count") > 1).count()
         out[name] = dup
     return out

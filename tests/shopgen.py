@@ -74,6 +74,7 @@ def random_shop(seed: int, n_users: int = 250) -> dict[str, pd.DataFrame]:
             items.append((int(oid) * 10 + 2, t, int(rng.integers(1, 5))))
     order_items = pd.DataFrame(items, columns=["order_item_id", "created_at", "product_id"])
     refunds = order_items.loc[rng.random(len(order_items)) < 0.15, ["order_item_id"]].reset_index(drop=True)
+    refunds = pd.concat([refunds, refunds.iloc[::4]], ignore_index=True)  # some items are refunded in two parts
     return {
         "website_sessions": sessions,
         "website_pageviews": pageviews,

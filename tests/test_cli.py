@@ -8,7 +8,7 @@ from funnelwise.__main__ import main
 
 def test_list(capsys):
     assert main(["--list"]) == 0
-    assert len(capsys.readouterr().out.split()) == 65
+    assert len(capsys.readouterr().out.split()) == 66
 
 
 def test_run_two_statements(spark):

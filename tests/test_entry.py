@@ -19,7 +19,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_oracle():
     shop = set(E.spark_queries())
-    assert len(shop) == 65
+    assert len(shop) == 66
     assert shop == set(E.ORACLE)
     assert set(E.oracle_sql()) <= set(E.queries())
 

@@ -33,19 +33,17 @@ def test_entry_pages_partition_sessions_with_pageviews(t):
     assert total == with_pv
 
 
-def test_cross_sell_exact_equals_deduplicated_without_fan_out(spark, t):
-    # Keep one cart view per session and at most one order: the fan-out
-    # multipliers are all 1, so the sums equal per-session counts.
-    carts = product.cart_views(t.pageviews, between("2012-01-01", "2016-01-01"), "/cart", "2013-09-25", "A", "B")
-    one_cart = carts.groupBy("time_period", "cart_session_id").agg(F.min("cart_pageview_id").alias("cart_pageview_id"))
-    one_cart = one_cart.join(one_cart.groupBy("cart_session_id").count().filter("count = 1"), "cart_session_id",
-                             "left_semi")
-    one_order = t.orders.join(t.orders.groupBy("website_session_id").count().filter("count = 1"),
-                              "website_session_id", "left_semi")
-    r = {x.time_period: x for x in product.cross_sell(t.pageviews, one_order, one_cart).collect()}
-    for period, x in r.items():
-        sessions = one_cart.filter(F.col("time_period") == period)
-        placed = sessions.join(one_order.withColumnRenamed("website_session_id", "cart_session_id"),
-                               "cart_session_id", "left_semi").count()
-        assert x.orders_placed == placed
-        assert x.clickthroughs <= x.cart_sessions
+def test_cross_sell_without_fan_out_equals_deduplicated(spark, t):
+    # Sessions with one cart view and at most one order: all multipliers are 1.
+    window = between("2012-01-01", "2016-01-01")
+    views = t.pageviews.filter(F.col("pageview_url") == "/cart").groupBy("website_session_id").count().filter("count = 1")
+    pages = t.pageviews.join(views, "website_session_id", "left_semi")
+    one_order = t.orders.join(t.orders.groupBy("website_session_id").count().filter("count = 1"), "website_session_id", "left_semi")
+    args = (pages, one_order, window, "/cart", "2013-09-25", "A", "B")
+    fan_out, plain = (sorted(map(tuple, product.cross_sell(*args, dedupe=d).collect())) for d in (False, True))
+    assert fan_out == plain and len(plain) == 2
+
+
+def test_cross_sell_deduplicated_rates_are_rates(t):
+    for r in STATEMENTS["cross_sell_pre_post_dedupe"](t).collect():
+        assert 0 <= r.clickthroughs <= r.cart_sessions

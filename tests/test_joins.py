@@ -1,17 +1,18 @@
-"""Both plans of the checked-broadcast helpers give the same rows."""
+"""The helpers for rows of a key set against plain definitions, and their plans."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from funnelwise.functions.joins import aggregate_for_keys, broadcast_threshold_bytes, has_at_most, join_keyed
+from funnelwise.functions.joins import aggregate_for_keys, join_keyed, key_range, per_key, rekeyed
+
+KEY = "website_session_id"
 
 
 @pytest.fixture(scope="module")
 def data(spark):
-    rows = spark.createDataFrame([(s, i, s % 3) for s in range(1, 40) for i in range(s % 7)],
-                                 "website_session_id long, id long, g int")
-    keys = spark.createDataFrame([(s,) for s in range(5, 60, 2)] + [(5,)], "website_session_id long")
-    return rows, keys
+    rows = [(s, i, s % 3) for s in range(1, 40) for i in range(s % 7)]
+    keys = [(s,) for s in range(5, 30, 2)] + [(5,)]
+    return rows, keys, spark.createDataFrame(rows, f"{KEY} long, id long, g int"), spark.createDataFrame(keys, f"{KEY} long")
 
 
 def sorted_rows(df):
@@ -19,32 +20,37 @@ def sorted_rows(df):
 
 
 @pytest.mark.parametrize("by", [(), ("g",)])
-def test_aggregate_for_keys_paths_agree(data, by):
-    rows, keys = data
+def test_aggregates(data, by):
+    rows, keys, r, k = data
+    want = {}
+    for s, i, g in rows:
+        n, top = want.get((s, g), (0, -1))
+        want[s, g] = (n + 1, max(top, i))
     aggs = [F.count("id").alias("n"), F.max("id").alias("top")]
-    small = aggregate_for_keys(rows, keys, "website_session_id", *aggs, by=by, max_keys=10_000)
-    large = aggregate_for_keys(rows, keys, "website_session_id", *aggs, by=by, max_keys=0)
-    plan_small = small._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan_small
-    assert sorted_rows(small) == sorted_rows(large)
+    key = (lambda s, g: (s, g)) if by else (lambda s, g: (s,))
+    exact = aggregate_for_keys(r, k, KEY, *aggs, by=by)
+    assert sorted_rows(exact) == sorted((*key(s, g), n, t) for (s, g), (n, t) in want.items() if (s,) in keys)
+    ranged = per_key(r, k, KEY, *aggs, by=by)
+    assert sorted_rows(ranged) == sorted((*key(s, g), n, t) for (s, g), (n, t) in want.items() if 5 <= s <= 29)
 
 
-def test_join_keyed_paths_agree(data):
-    rows, keys = data
-    anchors = keys.groupBy("website_session_id").agg(F.lit(2).alias("_anchor"))
-    a = join_keyed(rows, anchors, "website_session_id", "inner", max_keys=10_000)
-    b = join_keyed(rows, anchors, "website_session_id", "inner", max_keys=0)
-    assert sorted_rows(a) == sorted_rows(b)
+def test_join_and_range(data):
+    rows, keys, r, k = data
+    anchors = k.groupBy(KEY).agg(F.lit(2).alias("_anchor"))
+    assert sorted_rows(join_keyed(r, anchors, KEY)) == sorted((*x, 2) for x in rows if (x[0],) in keys)
+    assert join_keyed(r, anchors, KEY, range_of=k).count() == sum((x[0],) in keys for x in rows)
+    assert key_range(r, k.limit(0), KEY).count() == 0
+    assert sorted_rows(rekeyed(k, KEY)) == sorted(keys)
 
 
-def test_threshold_parsing_and_count(spark, data):
-    rows, _ = data
+def test_both_sides_of_a_join_are_fresh_shuffles(spark, data):
+    _, _, r, k = data
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
-        assert broadcast_threshold_bytes(rows) == 10 << 20
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        assert broadcast_threshold_bytes(rows) == -1
+        plan = join_keyed(r, k.groupBy(KEY).agg(F.lit(2).alias("_anchor")), KEY)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert has_at_most(rows, 10_000) and not has_at_most(rows, 3) and not has_at_most(rows, -1)
+    join = plan[plan.index("SortMergeJoin"):].splitlines()
+    sides = [i for i, line in enumerate(join) if "Sort [" in line]
+    assert len(sides) == 2 and all("Exchange hashpartitioning" in join[i + 1] for i in sides)

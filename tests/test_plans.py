@@ -1,7 +1,7 @@
 """Plan shape of every registered statement.
 
 * no Expand (multi-column COUNT DISTINCT), no nested-loop or cartesian join
-* no window operator: nothing groups a whole session or user into one task
+* no window operator over a whole session or user (chunk windows only)
 * filters of windowed statements reach the Parquet scan; scans read only
   the columns they need
 """
@@ -63,3 +63,12 @@ def test_scans_are_pruned(tables):
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert schemas and all(s.count(":") <= 4 for s in schemas), schemas
     assert all("http_referer" not in s and "device_type" not in s for s in schemas)
+
+
+@pytest.mark.parametrize("name", ["bounce_rate", "ab_bounce_rate", "funnel_session_flags", "next_pageview_id", "urls_after_product_page",
+                                  "product_funnel_counts", "cross_sell_pre_post", "billing_ab_conversion", "session_lander_and_time"])
+def test_key_range_reaches_the_scan(tables, name):
+    """Pageviews or orders of some sessions are read in the range of their ids."""
+    plan = physical(STATEMENTS[name](tables))
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "website_session_id" in line.split("DataFilters")[-1]]
+    assert any("Subquery" in line.split("DataFilters")[-1] or "subquery" in line.split("DataFilters")[-1] for line in scans), plan

@@ -47,13 +47,10 @@ def test_page_flag_counts_with_tiny_chunks(shop, chunk):
     assert multiset(df.columns, [tuple(r) for r in df.collect()]) == multiset(d_cols, cur.fetchall())
 
 
-def test_all_statements_on_the_large_key_path(spark, shop):
-    """Broadcasts off: every checked key filter takes its aggregate-first path."""
-    from funnelwise.functions.joins import clear_size_checks
+def test_all_statements_without_broadcasts(spark, shop):
     tables, con = shop
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    clear_size_checks()
     try:
         bad = []
         for name in sorted(STATEMENTS):
@@ -64,5 +61,4 @@ def test_all_statements_on_the_large_key_path(spark, shop):
                 bad.append(name)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-        clear_size_checks()
     assert bad == []

@@ -76,3 +76,51 @@ def test_time_window_skips_most_row_groups(spark):
             total += 1
             overlapping += int(stats.min < hi and stats.max > lo)
     assert total >= 4 and overlapping <= total // 4
+
+
+def test_repeated_keys(spark):
+    t = tables_for(spark, SF)
+    root = tempfile.mkdtemp(prefix="funnelwise-keys-")
+    doubled = {"website_sessions", "website_pageviews", "web_orders", "order_items"}
+    for name, df in t.as_dict().items():
+        (df.unionByName(df) if name in doubled else df).write.parquet(f"{root}/{name}")
+    with pytest.raises(ValueError, match="website_sessions.website_session_id"):
+        read_shop_tables(spark, root, keys="check")
+    with pytest.raises(ValueError):
+        read_shop_tables(spark, root, keys="maybe")
+    once = read_shop_tables(spark, root, keys="dedupe")
+    for name in ("quarterly_volume", "top_pages", "bounce_rate", "monthly_refund_rate", "cross_sell_pre_post"):
+        a, b = STATEMENTS[name](t), STATEMENTS[name](once)
+        assert multiset(a.columns, [tuple(r) for r in a.collect()]) == multiset(b.columns, [tuple(r) for r in b.collect()])
+    assert read_shop_tables(spark, root, keys="trust").sessions.count() == 2 * t.sessions.count()
+
+
+def test_instants_are_read_in_the_source_zone_whatever_the_session(spark):
+    t = tables_for(spark, SF)
+    root = tempfile.mkdtemp(prefix="funnelwise-zone-")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    for name, df in t.as_dict().items():
+        if "created_at" in df.columns:
+            from pyspark.sql import functions as F
+            df = df.withColumn("created_at", F.expr("cast(created_at as timestamp)"))  # the session is in UTC here
+        df.write.parquet(f"{root}/{name}")
+    want = sorted(map(tuple, t.sessions.collect()), key=repr)
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert sorted(map(tuple, read_shop_tables(spark, root).sessions.collect()), key=repr) == want
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        shifted = read_shop_tables(spark, root, source_zone="America/New_York").sessions
+        assert shifted.join(t.sessions.withColumnRenamed("created_at", "utc").select("website_session_id", "utc"), "website_session_id").filter(
+            "timestampdiff(MINUTE, created_at, utc) NOT IN (240, 300)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_database_options():
+    from funnelwise.sources.loader import jdbc_options
+    given = {"url": "jdbc:mysql://host/shop", "numPartitions": "8", "website_pageviews.lowerBound": "1", "website_pageviews.upperBound": "900"}
+    assert jdbc_options("website_pageviews", "shop", given) == {
+        "url": "jdbc:mysql://host/shop", "numPartitions": "8", "dbtable": "shop.website_pageviews", "lowerBound": "1", "upperBound": "900",
+        "partitionColumn": "website_pageview_id"}
+    assert jdbc_options("order_item_refunds", "", given) == {"url": "jdbc:mysql://host/shop", "dbtable": "order_item_refunds"}

@@ -52,16 +52,24 @@ def test_refund_rate_zero_denominator_is_null(spark):
     assert (r.p1_orders, r.p1_refund_rt, r.p2_orders, r.p2_refund_rt) == (2, 0.5, 0, None)
 
 
+def test_refund_in_two_parts_counts_once(spark):
+    items = spark.createDataFrame([(11, ts("2013-02-01 10:00:00"), 1), (21, ts("2013-02-02 10:00:00"), 1)],
+                                  ORDER_ITEMS)
+    refunds = spark.createDataFrame([(11,), (11,)], ORDER_ITEM_REFUNDS)
+    r = product.monthly_refund_rate(items, refunds, before("2014-10-15")).first()
+    assert (r.p1_orders, r.p1_refund_rt) == (2, 0.5)
+
+
 def test_bounce_counts_all_pageviews_and_skips_sessions_without_pages(spark):
     pv = pv_df(spark, [
         (1, "2012-06-01 10:00:00", 1, "/home"),                                      # one page: bounced
         (2, "2012-06-01 11:00:00", 2, "/home"), (3, "2012-06-01 11:05:00", 2, "/products"),
         (4, "2012-06-13 23:59:00", 3, "/lander-1"), (5, "2012-06-14 00:01:00", 3, "/products"),  # 2nd page after cut
     ])
-    landing = pages.landing_pages(pv, before("2012-06-14"))
-    r = pages.bounce_rate(landing, pv).first()
+    landing = pages.landing_page(pv, before("2012-06-14"))
+    r = pages.bounce_rate(landing).first()
     assert (r.total_sessions, r.bounced_sessions) == (3, 1)
-    detail = {x.website_session_id: x.bounced_website_session_id for x in pages.bounce_detail(landing, pv).collect()}
+    detail = {x.website_session_id: x.bounced_website_session_id for x in pages.bounce_detail(landing).collect()}
     assert detail == {1: 1, 2: None, 3: None}
 
 
@@ -100,19 +108,22 @@ def test_cross_sell_fan_out_is_kept(spark):
         (3, "2013-09-01 10:02:00", 1, "/shipping"),
     ])
     o = orders_df(spark, [(1, "2013-09-01 10:05:00", 1, 1, 1, 50.0)])
-    carts = product.cart_views(pv, between("2013-08-25", "2013-10-25"), "/cart", "2013-09-25", "A", "B")
-    r = product.cross_sell(pv, o, carts).first()
+    comparison = (between("2013-08-25", "2013-10-25"), "/cart", "2013-09-25", "A", "B")
+    r = product.cross_sell(pv, o, *comparison).first()
     assert (r.cart_sessions, r.clickthroughs, r.orders_placed, r.products_purchased) == (1, 4, 4, 4)
     assert r.cart_ctr == 4.0 and r.aov == 50.0 and r.rev_per_cart_session == 200.0
+    r = product.cross_sell(pv, o, *comparison, dedupe=True).first()
+    assert (r.cart_sessions, r.clickthroughs, r.orders_placed, r.products_purchased) == (1, 1, 1, 1)
+    assert r.cart_ctr == 1.0 and r.aov == 50.0 and r.rev_per_cart_session == 50.0
 
 
 def test_last_products_page_has_null_next_page(spark):
     pv = pv_df(spark, [(1, "2013-02-01 10:00:00", 1, "/products"),
                        (2, "2013-02-02 10:00:00", 2, "/products"), (3, "2013-02-02 10:01:00", 2, "/cart")])
-    views = product.labelled_views(pv, open_range("2012-10-06", "2013-04-06"), "/products", "2013-01-06", "A", "B")
-    nxt = {r.website_session_id: r.next_pageview_url for r in product.next_pageview(pv, views).collect()}
+    pages_after = product.next_pageview(pv, open_range("2012-10-06", "2013-04-06"), "/products", "2013-01-06", "A", "B")
+    nxt = {r.website_session_id: r.next_pageview_url for r in pages_after.collect()}
     assert nxt == {1: None, 2: "/cart"}
-    summary = product.pathing_summary(product.next_pageview(pv, views), {"to_cart": "/cart"}).first()
+    summary = product.pathing_summary(pages_after, {"to_cart": "/cart"}).first()
     assert (summary.sessions, summary.w_next_pg, summary.to_cart) == (2, 1, 1)
 
 
