@@ -321,5 +321,6 @@ def deduplicate(docs: DataFrame, rule: Rule) -> DataFrame:
     keyed = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string"))).withColumn("_doc_id", F.col("doc_id").cast("bigint"))
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = keyed.filter(has_words).join(keep, F.col("_doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text_key") == F.col("_keep_key")), "left_semi")
-    kept = kept.dropDuplicates(["_doc_id", "_text_key"])
+    if not member.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():  # rows repeated as they are
+        kept = kept.dropDuplicates(["_doc_id", "_text_key"])
     return kept.select(*docs.columns).unionByName(keyed.filter(~has_words).select(*docs.columns))
