@@ -1,6 +1,7 @@
 import corpus_pipeline as P
 import __spark_entry__ as E
 from funnelwise.llm.queries import ORACLE, QUERIES
+from tests.llm.helpers import docs_frame, edge_rows, spaced
 
 import duckdb
 import pytest
@@ -40,3 +41,20 @@ def test_stages_narrow_the_documents(spark):
     packed = P.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.collect()} == ids
     assert {r.doc_id for r in P.run(spark, SF).collect()} == ids
+
+
+def test_stages_on_edge_rows_and_nothing(spark, tmp_path):
+    """Nulls, empty and blank texts, repeated rows, a long text and clashing column names."""
+    rows = edge_rows()
+    docs = docs_frame(spark, rows, extra=True)
+    spark.createDataFrame([(i, int(i % 5 > 0), int(i % 7 == 0)) for i in range(40)] + [(None, 1, 1), (104, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[5][1]), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for given in (docs, docs.limit(0)):
+        whole = given.collect()
+        for name, stage in P.STAGES[:-1]:
+            kept = stage(spark, given, str(tmp_path))
+            assert kept.columns == docs.columns, name
+            left = kept.collect()
+            assert len(left) <= len(whole) and all(r in whole for r in left), name
+        packed = P.STAGES[-1][1](spark, given, str(tmp_path)).collect()
+        assert sum(r.length for r in packed) == sum(len(spaced(r.text)) + 1 for r in whole)
