@@ -47,8 +47,9 @@ def test_page_flag_counts_with_tiny_chunks(shop, chunk):
     assert multiset(df.columns, [tuple(r) for r in df.collect()]) == multiset(d_cols, cur.fetchall())
 
 
-def test_all_statements_without_broadcasts(spark, shop):
-    tables, con = shop
+def test_all_statements_without_broadcasts(spark):
+    frames = random_shop(7, 250)
+    tables, con = to_spark(spark, frames), to_duckdb(frames)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
