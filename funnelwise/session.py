@@ -7,17 +7,14 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings the library relies on.  AQE re-plans joins from measured sizes
-# (a side only becomes a broadcast when its runtime size is under the
-# threshold), coalesces small shuffle partitions and splits skewed join
-# partitions.  Per-session aggregates sit right after their semi join on the
-# same key; splitting a hot session there needs one more (small, already
-# partially aggregated) shuffle, which AQE only accepts when forced.
+# Settings the library relies on, all defaults of current Spark: AQE re-plans
+# joins from measured sizes (a side only becomes a broadcast when its runtime
+# size is under the threshold), coalesces small shuffle partitions and splits
+# skewed join partitions.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
