@@ -12,7 +12,8 @@
 4. Buckets whose members are still in several components are compared in
    blocks of a bounded number of members, across components only, by size and
    bit counts, each pair in the first bucket that it shares; what passes is
-   confirmed on full sets too, and the components are taken again.  So no bucket is capped, no link between components is left
+   confirmed on full sets too, and the components are taken again: twice with each
+   member's most similar partners only, then with all that is left.  So no bucket is capped, no link between components is left
    out, and members that are already joined aren't paired.
 
 A pair at the threshold is missed by all bands with the probability
@@ -206,8 +207,9 @@ def connected(edges: DataFrame) -> DataFrame:
     return staged(star.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots), "roots")
 
 
-def _residual(members: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components in one bucket whose estimate passes."""
+def _residual(members: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule, top: int | None) -> DataFrame | None:
+    """Pairs of different components in one bucket whose estimate passes: all of them, or
+    of each member and block the ``top`` most similar."""
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = staged(placed, "placed")
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x != y")
@@ -233,9 +235,13 @@ def _residual(members: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule
                 to = to[ids[to] > ids[x]]
             d = sig[to] ^ sig[x]
             differ = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(MASK)).sum(axis=1)
-            to = to[estimate(differ, perms) >= least]
+            e = estimate(differ, perms)
+            to, e = to[e >= least], e[e >= least]
             same = bands[to] == bands[x]
-            to = to[bands[x][same.argmax(axis=1)] == here]  # the first bucket they share
+            first = bands[x][same.argmax(axis=1)] == here  # the first bucket they share
+            to, e = to[first], e[first]
+            if top is not None and len(to) > top:
+                to = to[np.argsort(-e, kind="stable")[:top]]
             a += [min(ids[x], ids[t]) for t in to]
             b += [max(ids[x], ids[t]) for t in to]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -279,22 +285,22 @@ def group(docs: DataFrame, rule: Rule) -> Groups:
     # at most ``bands`` candidates of a member are in its list
     best = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("e", "a")), asc=False), 1, FIRST).alias("top"))
     best = staged(best.select(F.explode("top.a").alias("a"), "b"), "best")
-    links = None
-    roots = None
+    links, roots = None, nodes.select("node", F.col("node").alias("root")).limit(0)
     if not best.isEmpty():
         links = _confirm(best, nodes, docs, rule)
         roots = connected(links)
-        more = _residual(members, nodes, roots, rule)
-        if more is not None:
-            links = staged(links.unionByName(_confirm(more, nodes, docs, rule)).distinct(), "links")
-            roots = connected(links)
-    elif not members.isEmpty():
-        more = _residual(members, nodes, nodes.select("node", F.col("node").alias("root")).limit(0), rule)
-        if more is not None:
-            links = _confirm(more, nodes, docs, rule)
+    # members' most similar partners first: they join most of what belongs
+    # together, so that few pairs are left when all of them are looked at
+    for top in (FIRST, FIRST, None):
+        more = None if members.isEmpty() else _residual(members, nodes, roots, rule, top)
+        if more is None:
+            break
+        new = _confirm(more, nodes, docs, rule)
+        if not new.isEmpty():
+            links = new if links is None else staged(links.unionByName(new).distinct(), "links")
             roots = connected(links)
     plain = nodes.select("node", "label", "text_key")
-    if roots is None:
+    if links is None:
         return Groups(signed, plain.withColumn("root", F.col("node")), None)
     return Groups(signed, plain.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), links)
 
