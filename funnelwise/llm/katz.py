@@ -12,8 +12,10 @@ alone.  Counts up to ``CUT`` are discounted by Good-Turing estimates.
   one event "unknown token".
 
 The added one in each total keeps some mass for unseen events where no count
-is discounted.  Contexts are the ``CONTEXTS`` commonest tokens, the beginning
-of a text, and one class of all other tokens.
+is discounted.  Every token is a context (history) of its own, as is the beginning
+of a text; after a token that training texts don't hold, P(w | h) = P(w).  Figures
+of the ``CONTEXTS`` commonest are broadcast, those of all others ("rare") lie in
+tables partitioned by history.  With ``contexts``, rarer tokens form one class instead.
 
 How it runs (the tables are partitioned by key; nothing grows on the driver):
 
@@ -23,11 +25,16 @@ How it runs (the tables are partitioned by key; nothing grows on the driver):
    shares of all pairs, are counted in each task and summed.
 3. Each task numbers the documents of a batch and sends its remaining pairs to
    key buckets: rare second tokens by token, common ones by pair, so that a bucket
-   holds every occurrence of its keys and no key holds many.  A bucket counts the
+   holds every occurrence of its keys and no key holds many.  Common tokens after a
+   rare history go to the history's bucket.  A bucket counts the
    pairs (and rare tokens) of training texts and answers each batch with the
-   counts of its pairs; it also adds up what the contexts' seen pairs hold.
-4. Batches add up the answers per document; with the contexts' weights,
-   a table of fixed size, each document's score follows.
+   counts of its pairs; it also adds up what the contexts' seen pairs hold, and sends
+   the seen pairs of rare histories that held-out texts hold to the history's bucket.
+4. Batches add up the answers per document; with the common contexts' weights,
+   a table of fixed size, each document's score follows but for unseen pairs
+   of rare histories: their weights are asked for by history and added last.
+   As every rare token of a document is followed by one token there, c(h) + 1 of all
+   its rare histories comes from the counts of its rare tokens.
 
 Defined results: null and empty texts are the end mark alone; null ids count
 as learned from; repeated rows each count and get a row; other columns are
@@ -52,6 +59,8 @@ DENSE = 1_022
 BATCH_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
 FLUSH_TOKENS = 2_000_000
+MASK = (1 << 62) - 1
+HISTORIES = -1_000  # targets from here down are buckets of rare histories
 END = -1  # the end mark's code before codes are ranks; no word hash is negative
 
 
@@ -126,7 +135,8 @@ def single_counts(train: DataFrame) -> DataFrame:
 class Common:
     """The commonest tokens in order, their counts, and global figures (bounded size)."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, total: int, distinct: int, texts: int, of_counts: dict[int, int]):
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, total: int, distinct: int, texts: int, of_counts: dict[int, int], lumped: bool):
+        self.lumped = lumped
         self.tokens, self.counts, self.total, self.distinct = tokens, counts, total, distinct
         self.discount = discounts(of_counts)
         r = np.arange(1, CUT + 1)
@@ -134,10 +144,14 @@ class Common:
         self.log_unknown = float(np.log10((lost + 1) / (total + 1)))
         end = np.flatnonzero(tokens == END)
         self.end = int(end[0]) if len(end) else -1
-        # contexts: ranks, then the beginning, then the class of all others
+        # contexts: ranks, then the beginning, then the class of all others (or the mark of a rare history)
         self.begin, self.other = len(tokens), len(tokens) + 1
         as_context = counts.astype(float).copy()
-        others = total - counts.sum()
+        others = total - counts.sum() if lumped else 0
+        named = counts[tokens != END]
+        #: Rare tokens, and maybe the end mark, are counted less often than this.
+        self.floor = 0 if lumped else int(named.min(initial=np.iinfo(np.int64).max))
+        self.log_end = float(np.log10(texts + 1)) if texts < self.floor else 0.0
         if self.end >= 0:
             as_context[self.end] = 0  # nothing follows the end
         self.context = np.concatenate([as_context, [texts, others]])
@@ -151,7 +165,11 @@ class Common:
 
     def dense_context(self, h: np.ndarray) -> np.ndarray:
         """Row of a context in the dense table, -1 for the ones outside it."""
-        return np.where(h < self.dense, h, np.where(h >= self.begin, self.dense + h - self.begin, -1))
+        return np.where(h < self.dense, h, np.where((h == self.begin) | (self.lumped & (h == self.other)), self.dense + h - self.begin, -1))
+
+    def rare(self, h: np.ndarray) -> np.ndarray:
+        """Whether contexts are rare histories, told apart by their codes."""
+        return (h == self.other) & (not self.lumped)
 
 
 class Batcher:
@@ -160,9 +178,9 @@ class Batcher:
     def __init__(self, common: Common):
         self.common, self.codes = common, Codes(common.tokens)
 
-    def batches(self, stream: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], int, np.ndarray, np.ndarray, np.ndarray]]:
+    def batches(self, stream: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Document ids (training first), how many of them train, and of each token its
-        document, context and code."""
+        document, context, code and the code before it."""
         rows, size = [], 0
         for batch in stream:
             for doc_id, text, held in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
@@ -188,7 +206,11 @@ class Batcher:
         context = np.empty_like(token)
         context[1:] = np.where(token[:-1] < len(c.tokens), token[:-1], c.other)
         context[at] = c.begin
-        return [r[1] for r in rows], sum(not r[0] for r in rows), np.repeat(np.arange(len(rows)), sizes), context, token
+        return [r[1] for r in rows], sum(not r[0] for r in rows), np.repeat(np.arange(len(rows)), sizes), context, token, np.roll(token, 1)
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
 def dense_pairs(rows: DataFrame, held) -> DataFrame:
@@ -196,7 +218,7 @@ def dense_pairs(rows: DataFrame, held) -> DataFrame:
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = held.value
         total = np.zeros((common.dense + 2) * max(1, common.dense), np.int64)
-        for _, _, _, context, token in Batcher(common).batches(stream):
+        for _, _, _, context, token, _ in Batcher(common).batches(stream):
             h = common.dense_context(context)
             inside = (h >= 0) & (token < common.dense)
             total += np.bincount(h[inside] * common.dense + token[inside], minlength=len(total))
@@ -228,7 +250,7 @@ def unsteps(b: bytes) -> np.ndarray:
 class Tally:
     """What a document needs of its tokens, added up for the documents of a batch."""
 
-    COLUMNS = ["seen", *(f"seen_{r}" for r in range(1, CUT + 1)), "context", "known", "base", "backed"]
+    COLUMNS = ["seen", *(f"seen_{r}" for r in range(1, CUT + 1)), "context", "known", "base", "backed", "histories"]
 
     def __init__(self, docs: int, common: Common):
         self.common, self.sums = common, np.zeros((len(self.COLUMNS), docs))
@@ -245,7 +267,9 @@ class Tally:
         add(CUT + 2, (single > 0).astype(float))
         add(CUT + 3, np.log10(single + 1.0))
         add(CUT + 4, np.where(seen, 0.0, c.log_single(single)))
-        self.unseen.append((doc[~seen], context[~seen]))
+        add(CUT + 5, np.where(single < c.floor, np.log10(single + 1.0), 0.0))
+        asked = ~seen & ~c.rare(context)
+        self.unseen.append((doc[asked], context[asked]))
 
     def rows(self) -> tuple[np.ndarray, list[bytes]]:
         doc, context = (np.concatenate([u[k] for u in self.unseen]) if self.unseen else np.empty(0, np.int64) for k in (0, 1))
@@ -272,15 +296,16 @@ def _send(held, dense_held, buckets: int):
 
         common, dense = held.value, dense_held.value
         task, number = TaskContext.get().partitionId(), 0
-        for ids, train, doc, context, token in Batcher(common).batches(stream):
+        for ids, train, doc, context, token, before in Batcher(common).batches(stream):
             batch_id, number = task << 32 | number, number + 1
             h = common.dense_context(context)
             inside = (h >= 0) & (token < common.dense)
             out = [(batch_id % buckets, batch_id, len(ids), train, None, ids,
                     _dense_block(doc[inside], context[inside], token[inside], h[inside], dense, common))]
-            doc, context, token = doc[~inside], context[~inside], token[~inside]
-            key = np.where(token < len(common.tokens), (token * np.int64(0x1F123BB5) + context * np.int64(0x2545F491)) * np.int64(0x27D4EB2F165667C5 >> 1), token)
-            bucket = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+            doc, context, token, before = doc[~inside], context[~inside], token[~inside], before[~inside]
+            rare = common.rare(context)
+            mixed = (token * np.int64(0x1F123BB5) + context * np.int64(0x2545F491)) * np.int64(0x27D4EB2F165667C5 >> 1)
+            bucket = bucket_of(np.where(token < len(common.tokens), np.where(rare, before, mixed), token), buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
@@ -290,7 +315,8 @@ def _send(held, dense_held, buckets: int):
                 pick = np.concatenate([pick[common_], pick[~common_]])
                 split = int(common_.sum())
                 t = token[pick]
-                blob = [steps(doc[pick[:split]]), pack_ints(t[:split]), steps(doc[pick[split:]]), pack_ints(t[split:] & ((1 << 62) - 1)), pack_ints(context[pick])]
+                blob = [steps(doc[pick[:split]]), pack_ints(t[:split]), steps(doc[pick[split:]]), pack_ints(t[split:] & MASK), pack_ints(context[pick]),
+                        pack_ints(before[pick][rare[pick]] & MASK)]
                 out.append((int(b), batch_id, len(ids), train, blob, None, None))
             for i in range(0, len(out), 512):
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out[i:i + 512]), _SENT_TYPES)], names=_SENT)
@@ -304,16 +330,38 @@ _SENT_DDL = "bucket int, batch bigint, docs int, train int, request array<binary
 _ANSWER_DDL = "target bigint, docs int, train int, answer array<binary>, ids array<bigint>, contexts binary, figures binary, of_counts array<bigint>"
 
 
-def _block(doc: np.ndarray, context: np.ndarray, pair: np.ndarray, single: np.ndarray) -> list[bytes]:
+def _block(doc: np.ndarray, context: np.ndarray, pair: np.ndarray, single: np.ndarray, history: np.ndarray | None = None) -> list[bytes]:
+    """Answers in the order of documents; ``history``: codes of rare histories, -1 elsewhere."""
     order = np.argsort(doc, kind="stable")
-    return [steps(doc[order]), pack_ints(context[order]), pack_ints(pair[order]), pack_ints(single[order])]
+    out = [steps(doc[order]), pack_ints(context[order]), pack_ints(pair[order]), pack_ints(single[order])]
+    if history is not None:
+        history = history[order]
+        out.append(pack_ints(history[(history >= 0) & (pair[order] == 0)]))
+    return out
+
+
+def _history_rows(code: np.ndarray, pair: np.ndarray, single: np.ndarray, needed: np.ndarray, own: int, buckets: int) -> list[tuple[int, list[bytes]]]:
+    """(bucket, [needed, histories, pairs of each, their counts, their second tokens' counts]):
+    seen pairs of rare histories, for the bucket of their history; ``needed``: the own
+    bucket's histories that held-out texts hold."""
+    to = bucket_of(code | 1 << 62, buckets)
+    keep = (to != own) | np.isin(code, needed)
+    code, pair, single, to = code[keep], pair[keep], single[keep], to[keep]
+    order = np.lexsort((code, to))
+    code, pair, single, to = code[order], pair[order], single[order], to[order]
+    out = []
+    for b in sorted({own, *np.unique(to).tolist()}):
+        span = slice(*np.searchsorted(to, [b, b + 1]))
+        codes, sizes = np.unique(code[span], return_counts=True)
+        out.append((b, [pack_ints(needed if b == own else needed[:0]), pack_ints(codes), pack_ints(sizes), pack_ints(np.minimum(pair[span], CUT + 1)), pack_ints(single[span])]))
+    return out
 
 
 def _dense_block(doc, context, token, h, dense, common) -> list[bytes]:
     return _block(doc, context, dense[h * common.dense + token], common.counts[token])
 
 
-def _answer(held):
+def _answer(held, buckets: int):
     """One bucket: counts its pairs and rare tokens, answers every batch."""
     def run(table: pa.Table) -> pa.Table:
         common = held.value
@@ -322,27 +370,40 @@ def _answer(held):
         asked = [r for r in rows if r["request"] is not None]
         parts = []
         for r in asked:
-            d1, t1, d2, t2, h = r["request"]
+            d1, t1, d2, t2, h, before = r["request"]
             doc = np.concatenate([unsteps(d1), unsteps(d2)])
             token = np.concatenate([unpack_ints(t1), unpack_ints(t2) | 1 << 62])
-            parts.append((doc, token, unpack_ints(h), doc < r["train"]))
+            h = unpack_ints(h)
+            history = np.full(len(h), -1, np.int64)
+            history[common.rare(h)] = unpack_ints(before)
+            parts.append((doc, token, h, doc < r["train"], history))
         if parts:
-            token, context, train = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+            token, context, train, history = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
             tokens, t = np.unique(token, return_inverse=True)
             single = np.bincount(t, train, len(tokens)).astype(np.int64)
             known = tokens < len(common.tokens)
             single[known] = common.counts[tokens[known]]
-            wide = len(common.context)
+            hot = len(common.context)
+            rare = history >= 0
+            histories, place = np.unique(history[rare], return_inverse=True)
+            context[rare] = hot + place
+            wide = hot + len(histories)
             pairs, p = np.unique(t * np.int64(wide) + context, return_inverse=True)
             pair = np.bincount(p, train, len(pairs)).astype(np.int64)
             seen = pair > 0
-            used, figures = context_sums(pairs[seen] % wide, pair[seen], single[pairs[seen] // wide], common)
+            seen_context, seen_pair, seen_single = pairs[seen] % wide, pair[seen], single[pairs[seen] // wide]
+            few = seen_context >= hot
+            used, figures = context_sums(seen_context[~few], seen_pair[~few], seen_single[~few], common)
             of = np.bincount(np.minimum(pair[seen], CUT + 2), minlength=CUT + 3)[:CUT + 2]
             out.append((-1 - int(rows[0]["bucket"]) % 64, 0, 0, None, None, pack_ints(used), figures.tobytes(), of.tolist()))
+            if not common.lumped:
+                needed = np.unique(token[(token >= len(common.tokens)) & ~train]) & MASK
+                for b, blob in _history_rows(histories[seen_context[few] - hot], seen_pair[few], seen_single[few], needed, int(rows[0]["bucket"]), buckets):
+                    out.append((HISTORIES - b, 0, 0, blob, None, None, None, None))
             at = 0
-            for r, (doc, _, h, _) in zip(asked, parts):
+            for r, (doc, _, h, _, before) in zip(asked, parts):
                 span = slice(at, at + len(doc))
-                out.append((r["batch"], r["docs"], r["train"], _block(doc, h, pair[p[span]], single[t[span]]), None, None, None, None))
+                out.append((r["batch"], r["docs"], r["train"], _block(doc, h, pair[p[span]], single[t[span]], before), None, None, None, None))
                 at += len(doc)
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         names = [f.split()[0] for f in _ANSWER_DDL.split(", ")]
@@ -351,55 +412,137 @@ def _answer(held):
     return run
 
 
-_DOC_DDL = "doc_id bigint, held_out boolean, n_tokens bigint, sums array<double>, unseen binary, contexts binary, figures binary, of_counts array<bigint>"
-_DOC_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+_DOC_DDL = "batch bigint, place int, bucket int, histories array<binary>, doc_id bigint, held_out boolean, n_tokens bigint, sums array<double>, unseen binary, contexts binary, figures binary, of_counts array<bigint>"
+_DOC_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 
 
-def _gather(held):
+def _history_figures(rows: list[list[bytes]], common: Common) -> tuple[np.ndarray, np.ndarray]:
+    """Needed histories of one bucket (sorted) and what ``context_sums`` gives for them."""
+    needed = np.unique(np.concatenate([unpack_ints(r[0]) for r in rows]))
+    out = np.zeros((CUT + 1, len(needed)))
+    for _, codes, sizes, pair, single in (map(unpack_ints, r) for r in rows):
+        code = np.repeat(codes, sizes)
+        at = np.searchsorted(needed, code)
+        keep = at < len(needed)
+        keep[keep] = needed[at[keep]] == code[keep]
+        used, own = context_sums(at[keep], pair[keep], single[keep], common)
+        out[:, used] += own
+    some = out.any(axis=0)
+    return needed[some], out[:, some]
+
+
+def _gather(held, buckets: int):
     """One batch: adds the answers up per document (or one part of the contexts' sums)."""
     def run(table: pa.Table) -> pa.Table:
         common = held.value
         rows = table.to_pylist()
         names = [f.split()[0] for f in _DOC_DDL.split(", ")]
-        if rows[0]["contexts"] is not None:
+        if rows[0]["target"] <= HISTORIES:
+            codes, total = _history_figures([r["answer"] for r in rows], common)
+            out = [(None, None, HISTORIES - rows[0]["target"], [pack_ints(codes)], None, None, None, None, None, None, total.tobytes(), None)]
+        elif rows[0]["contexts"] is not None:
             total, of = np.zeros((CUT + 1, len(common.context))), np.zeros(CUT + 2, np.int64)
             for r in rows:
                 used = unpack_ints(r["contexts"])
                 total[:, used] += np.frombuffer(r["figures"]).reshape(CUT + 1, -1)
                 of += r["of_counts"]
             used = np.flatnonzero(total.any(axis=0))
-            out = [(None, None, None, None, None, pack_ints(used), total[:, used].tobytes(), of.tolist())]
+            out = [(None, None, None, None, None, None, None, None, None, pack_ints(used), total[:, used].tobytes(), of.tolist())]
         else:
             head = next(r for r in rows if r["ids"] is not None)
             ids = head["ids"]
             tally = Tally(len(ids), common)
             tokens = np.zeros(len(ids), np.int64)
+            asked = [(np.empty(0, np.int64), np.empty(0, np.int64))]
             for r in rows:
-                doc, context, pair, single = unsteps(r["answer"][0]), *map(unpack_ints, r["answer"][1:])
+                doc, context, pair, single, *histories = unsteps(r["answer"][0]), *map(unpack_ints, r["answer"][1:])
                 tally.add(doc, context, pair, single)
+                for h in histories:
+                    asked.append((doc[common.rare(context) & (pair == 0)], h))
                 tokens += np.bincount(doc, minlength=len(ids))
             sums, unseen = tally.rows()
-            out = [(i, k >= head["train"], int(tokens[k]), sums[:, k], unseen[k], None, None, None) for k, i in enumerate(ids)]
+            batch = rows[0]["target"]
+            out = [(batch, k, None, None, i, k >= head["train"], int(tokens[k]), sums[:, k], unseen[k], None, None, None) for k, i in enumerate(ids)]
+            doc, history = (np.concatenate([a[k] for a in asked]) for k in (0, 1))
+            to = bucket_of(history | 1 << 62, buckets)
+            order = np.lexsort((doc, to))
+            cut = np.searchsorted(to[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                pick = order[cut[b]:cut[b + 1]]
+                out.append((batch, None, b, [steps(doc[pick]), pack_ints(history[pick])], *[None] * 8))
         return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), _DOC_KINDS)], names=names)
 
     return run
 
 
+def _add_up(contexts: int):
+    """The tables of the contexts' sums in one task as one."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, of, some = np.zeros((CUT + 1, contexts)), np.zeros(CUT + 2, np.int64), False
+        for batch in batches:
+            for used, figures, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                total[:, unpack_ints(used)] += np.frombuffer(figures).reshape(CUT + 1, -1)
+                of += counts
+                some = True
+        if some:
+            used = np.flatnonzero(total.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array([pack_ints(used)], pa.binary()), pa.array([total[:, used].tobytes()], pa.binary()),
+                                              pa.array([of.tolist()], pa.list_(pa.int64()))], names=["contexts", "figures", "of_counts"])
+
+    return run
+
+
+def _histories(model_held):
+    """One bucket of rare histories: what the unseen pairs of each document add."""
+    def run(table: pa.Table) -> pa.Table:
+        model, known, weight = model_held.value, np.empty(0, np.int64), np.empty(0)
+        rows = table.to_pylist()
+        for r in rows:
+            if r["figures"] is not None:
+                known = unpack_ints(r["histories"][0])
+                weight = model.log_left(np.frombuffer(r["figures"]).reshape(CUT + 1, -1))
+        known, weight = np.append(known, 1 << 62), np.append(weight, 0.0)  # histories that training texts don't hold add 0
+        batch, place, extra = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for r in rows:
+            if r["figures"] is None:
+                doc, code = unsteps(r["histories"][0]), unpack_ints(r["histories"][1])
+                at = np.searchsorted(known, code)
+                docs, inverse = np.unique(doc, return_inverse=True)
+                batch.append(np.full(len(docs), r["batch"], np.int64))
+                place.append(docs)
+                extra.append(np.bincount(inverse, np.where(known[at] == code, weight[at], 0.0), len(docs)))
+        return pa.table([pa.array(np.concatenate(x), k) for x, k in ((batch, pa.int64()), (place, pa.int32()), (extra, pa.float64()))], names=["batch", "place", "extra"])
+
+    return run
+
+
 class Model:
     """Figures of fixed size that turn a document's sums into its score."""
 
     def __init__(self, common: Common, figures: np.ndarray, of_counts: dict[int, int]):
         self.pair_discount = discounts(of_counts)
+        self.log_end = common.log_end
+        self.log_alpha = self.log_left(figures) - np.log10(common.context + 1)
+
+    def log_left(self, figures: np.ndarray) -> np.ndarray:
+        """log10 of alpha(h) (c(h) + 1) from the figures of ``context_sums``."""
         lost = sum((1 - self.pair_discount[r]) * r * figures[r - 1] for r in range(1, CUT + 1))
-        self.log_alpha = np.log10((lost + 1) / (common.context + 1)) - np.log10(np.maximum(1 - figures[CUT], 1e-12))
+        return np.log10(lost + 1) - np.log10(np.maximum(1 - figures[CUT], 1e-12))
 
     def score(self, sums: np.ndarray, unseen: np.ndarray) -> float:
         seen = sums[0] + sum(sums[r] * np.log10(self.pair_discount[r]) for r in range(1, CUT + 1)) - sums[CUT + 1]
-        return float(seen + sums[CUT + 4] + self.log_alpha[unseen].sum())
+        rare = sums[CUT + 5] - self.log_end  # each document holds one end mark
+        return float(seen - rare + sums[CUT + 4] + self.log_alpha[unseen].sum())
+
 
+def score_texts(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, contexts: int | None = None, hot: int = CONTEXTS) -> DataFrame:
+    """The contract's rows: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-def score_texts(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, contexts: int = CONTEXTS) -> DataFrame:
-    """The contract's rows: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    Every token is a context, those of the ``hot`` commonest by broadcast; with ``contexts``,
+    only that many are, and all rarer ones form one class.
+    """
+    lumped = contexts is not None
+    most = contexts if lumped else hot
     spark = docs.sparkSession
     is_held = F.coalesce(crc_mod(F.col("doc_id").cast("bigint"), folds) == held_out_fold, F.lit(False))
     rows = ids_and_texts(docs, is_held.alias("held_out"))
@@ -409,17 +552,17 @@ def score_texts(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, context
     bins = sorted((r["step"], r["k"], r["n"]) for r in singles.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect())
     least, kept = 0, 0
     for b, k, _ in reversed(bins):
-        if kept + k >= contexts:
+        if kept + k >= most:
             least = b + 1
             break
         kept += k
-    top = singles.filter((step >= least) | (F.col("token") == END)).select("token", "n").toArrow()  # at most ``contexts`` tokens
+    top = singles.filter((step >= least) | (F.col("token") == END)).select("token", "n").toArrow()  # at most ``most`` tokens
     tokens, counts = (top.column(c).to_numpy().astype(np.int64) for c in ("token", "n"))
     order = np.lexsort((tokens, -counts))
     tokens, counts = tokens[order], counts[order]
     texts = int(counts[tokens == END].sum())
     total, distinct = sum(n for _, _, n in bins), sum(k for _, k, _ in bins)
-    common = Common(tokens, counts, total, distinct, texts, {b: k for b, k, _ in bins if b <= CUT + 1})
+    common = Common(tokens, counts, total, distinct, texts, {b: k for b, k, _ in bins if b <= CUT + 1}, lumped)
     sc = spark.sparkContext
     held = sc.broadcast(common)
     dense = np.zeros((common.dense + 2) * max(1, common.dense), np.int64)
@@ -428,11 +571,13 @@ def score_texts(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, context
     dense_held = sc.broadcast(dense)
     buckets = int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TOKENS + 1))
     sent = rows.mapInArrow(_send(held, dense_held, buckets), _SENT_DDL)
-    answers = sent.groupBy("bucket").applyInArrow(_answer(held), _ANSWER_DDL)
-    gathered = staged(answers.groupBy("target").applyInArrow(_gather(held), _DOC_DDL), "documents")
+    answers = sent.groupBy("bucket").applyInArrow(_answer(held, buckets), _ANSWER_DDL)
+    gathered = staged(answers.groupBy("target").applyInArrow(_gather(held, buckets), _DOC_DDL), "documents")
 
     held_figures, of_pairs = np.zeros((CUT + 1, len(common.context))), np.zeros(CUT + 2, np.int64)
-    for r in gathered.filter("contexts is not null").select("contexts", "figures", "of_counts").collect():  # 64 tables of fixed size
+    own_figures = gathered.filter("contexts is not null").select("contexts", "figures", "of_counts").mapInArrow(
+        _add_up(len(common.context)), "contexts binary, figures binary, of_counts array<bigint>")
+    for r in own_figures.toLocalIterator():  # at most 64 tables of fixed size, one a task
         held_figures[:, unpack_ints(r["contexts"])] += np.frombuffer(r["figures"]).reshape(CUT + 1, -1)
         of_pairs += r["of_counts"]
     pairs = np.flatnonzero(dense)
@@ -448,13 +593,17 @@ def score_texts(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, context
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, per_token = model.value, np.log10(n + v + 1)
         for batch in batches:
-            sums = [np.array(s) for s in batch.column(3).to_pylist()]
-            tokens = np.array(batch.column(2).to_pylist(), float)
-            scores = [m.score(s, unpack_ints(u)) for s, u in zip(sums, batch.column(4).to_pylist())]
+            sums = [np.array(s) for s in batch.column(5).to_pylist()]
+            tokens = np.array(batch.column(4).to_pylist(), float)
+            scores = [m.score(s, unpack_ints(u)) for s, u in zip(sums, batch.column(6).to_pylist())]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), batch.column(2), pa.array([int(s[CUT + 2]) for s in sums], pa.int64()), pa.array([n] * len(sums), pa.int64()),
+                *(batch.column(k) for k in range(5)), pa.array([int(s[CUT + 2]) for s in sums], pa.int64()), pa.array([n] * len(sums), pa.int64()),
                 pa.array([s[CUT + 3] - t * per_token for s, t in zip(sums, tokens)], pa.float64()), pa.array(scores, pa.float64())],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return gathered.filter("contexts is null").select("doc_id", "held_out", "n_tokens", "sums", "unseen").mapInArrow(
-        finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+                names=["batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    own = gathered.filter("contexts is null and bucket is null").select("batch", "place", "doc_id", "held_out", "n_tokens", "sums", "unseen").mapInArrow(
+        finish, "batch bigint, place int, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    rare = gathered.filter("bucket is not null").select("batch", "bucket", "histories", "figures").groupBy("bucket").applyInArrow(
+        _histories(model), "batch bigint, place int, extra double").groupBy("batch", "place").agg(F.sum("extra").alias("extra"))
+    return own.join(rare, ["batch", "place"], "left").select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))

@@ -100,6 +100,17 @@ def test_against_brute_force(spark, monkeypatch, contexts, dense, batch):
     assert any(r.held_out and r.n_known < r.n_tokens for r in got)
 
 
+@pytest.mark.parametrize("hot,dense,batch", [(40, 10, 300), (12, 3, 1), (1, 1, 2_000)])
+def test_rare_histories_are_no_class(spark, monkeypatch, hot, dense, batch):
+    """Every token has a history of its own, however few are broadcast."""
+    monkeypatch.setattr(K, "DENSE", dense)
+    monkeypatch.setattr(K, "BATCH_TOKENS", batch)
+    rows = [r for r in edge_rows(n=90) if r[0] != 110]
+    model = Brute(rows, 1 << 60)
+    got = K.score_texts(docs_frame(spark, rows, extra=True), hot=hot).collect()
+    same(got, [model.row(i, t) for i, t in rows])
+
+
 def test_contexts_add_up_to_one():
     rng = random.Random(1)
     rows = [(i, prose(rng, 30, 60)) for i in range(60)]
