@@ -37,6 +37,10 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
 _CLASS[[9, 32, 13]], _CLASS[10] = 4, 5
 _CLASS[[ord(c) for c in ".,;:'\"()-?"]] = 7
 _CLASS[128:] = 8
+# bytes that separate words (as bytes.split does), and ASCII bytes that end a word of mixed kind
+_GAP, _MIXED = np.zeros(256, bool), np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+_MIXED[[c for c in range(128) if not chr(c).isalnum() and chr(c) not in ".,;:'\")?"]] = True
 
 STATS = ["log_bytes", "log_lines", "upper", "digit", "symbol", "punctuation", "non_ascii", "pipe", "exclaim", "word_length", "distinct_words",
          "top_word", "repeated_lines", "line_words", "mixed_words", "repeated_pairs"]
@@ -50,7 +54,8 @@ def statistics(text: bytes, words: list[bytes], codes: np.ndarray, counts: np.nd
     size, letters, many = len(text), max(1, int(n[1] + n[2] + n[8])), max(1, len(words))
     lines = [x for x in (y.strip() for y in text.split(b"\n")) if x]
     pairs = codes[1:] * np.int64(1 << WORD_BITS) + codes[:-1]
-    mixed = sum(1 for w in words[:: max(1, len(words) // 500)] if not w[-1:].isalnum() and w[-1] < 128 and w[-1:] not in b".,;:'\")?") / max(1, len(words[:: max(1, len(words) // 500)]))
+    raw = np.frombuffer(text, np.uint8)
+    mixed = int(_MIXED[raw[~_GAP[raw] & np.append(_GAP[raw[1:]], True)]].sum()) / many  # over the last bytes of all words
     return [np.log1p(size), np.log1p(len(lines)), n[2] / letters, n[3] / size, n[6] / size, n[7] / size, n[8] / letters, text.count(b"|") / many,
             text.count(b"!") / many, (size - n[4] - n[5]) / many, len(counts) / many, int(counts.max(initial=0)) / many, 1 - len(set(lines)) / max(1, len(lines)),
             np.log1p(many / max(1, len(lines))), mixed, 1 - len(np.unique(pairs)) / max(1, len(pairs))]

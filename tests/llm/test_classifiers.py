@@ -103,3 +103,10 @@ def test_quotation_counts_less():
     assert T.inputs("you are a scumbog here".encode(), lexicon)[3] > 0
     assert T.inputs("loweischaft".encode(), lexicon)[2] > 0
     assert T.inputs(None, lexicon)[1:8] == [0.0] * 7
+
+
+def test_mixed_words_are_counted_over_the_whole_text():
+    words = [b"junk%" if i % 3 == 0 else b"word" for i in range(1_700)] + [b"end.", b"\xc3\xa9t\xc3\xa9", b"a#"]
+    text = b" \x0b\n".join(words)
+    value = Q.words_and_stats(text, Q.Buckets())[2][Q.STATS.index("mixed_words")]
+    assert value == sum(w[-1:] in b"%#" for w in words) / len(words)
