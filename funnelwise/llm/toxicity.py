@@ -4,8 +4,9 @@ The lexicon comes from a bounded sample of labelled documents: words (and word
 beginnings of 4 to 6 bytes, for inflected stems) that are far commoner in toxic
 ones, with the log ratio as weight.  It is held as a trie.  A text's word is
 matched by intersecting the trie with the Levenshtein automaton of the word, so
-misspelled terms are found; a table of one-letter deletions keeps words that
-can't match from the automaton.  Every hit is weighed in its context: inside
+misspelled terms of 4 letters or more are found, one edit (in code points) away; a table
+of one-letter deletions keeps words that can't match from the automaton.  Matches of
+fewer than ``SHORT`` letters, which are met by chance more often, have an input of their own.  Every hit is weighed in its context: inside
 quotation marks or after a reporting word it counts as quotation.  Sums over
 the whole text and over the best window of ``WINDOW`` words go to a logistic
 regression, fitted on a fold of the sample that the lexicon of its inputs hasn't seen.
@@ -40,14 +41,20 @@ REPORTING = frozenset(w.encode() for w in ("said", "says", "say", "wrote", "writ
                                            "insult", "slur", "reported", "sagte", "schrieb", "zitat", "dit", "écrit", "cité", "mot", "dijo", "escribió", "cita", "palabra"))
 _PIECE = re.compile(rb'["\n]|\xe2\x80[\x9c\x9d\x9e]|\xc2[\xab\xbb]|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 _OPEN, _CLOSE, _BOTH = {b"\xe2\x80\x9e", b"\xc2\xab"}, {b"\xe2\x80\x9d", b"\xc2\xbb"}, {b'"', b"\xe2\x80\x9c"}
-INPUTS = 9
+INPUTS = 10
+LEAST_LETTERS = 4
+SHORT = 5
 
 
 def stems(word: bytes) -> list[bytes]:
     return [word[:n] + b"*" for n in (4, 5, 6) if len(word) > n]
 
 
-def deletions(word: bytes) -> set[bytes]:
+def letters(word: bytes) -> str:
+    return word.decode("utf-8", "surrogateescape")
+
+
+def deletions(word: str) -> set[str]:
     return {word[:i] + word[i + 1:] for i in range(len(word))}
 
 
@@ -57,19 +64,22 @@ class Lexicon:
     def __init__(self, weights: dict[bytes, float]):
         self.exact = {t: w for t, w in weights.items() if not t.endswith(b"*")}
         self.begin = {t[:-1]: w for t, w in weights.items() if t.endswith(b"*")}
-        long = [t for t in self.exact if len(t) >= 5]
-        self.near = set(long).union(*(deletions(t) for t in long)) if long else set()
+        spelled = {letters(t): t for t in self.exact}
+        spelled = {t: term for t, term in spelled.items() if len(t) >= LEAST_LETTERS}
+        self.near = set(spelled).union(*map(deletions, spelled)) if spelled else set()
+        self.longest = max(map(len, spelled), default=-1) + 1  # of words that can match
         self.root: dict = {}
-        for term in long:
+        for t, term in spelled.items():
             node = self.root
-            for c in term:
+            for c in t:
                 node = node.setdefault(c, {})
             node[-1] = term
         self.seen: dict[bytes, tuple[int, float] | None] = {}
 
     def misspelled(self, word: bytes, edits: int = 1) -> bytes | None:
-        """The heaviest term within ``edits`` of ``word``: the trie is walked along with the
-        automaton's states, kept as a row of edit distances."""
+        """The heaviest term within ``edits`` letters of ``word``: the trie is walked along with
+        the automaton's states, kept as a row of edit distances."""
+        word = letters(word)
         best, todo = None, [(self.root, list(range(len(word) + 1)))]
         while todo:
             node, row = todo.pop()
@@ -86,7 +96,7 @@ class Lexicon:
         return best
 
     def look_up(self, word: bytes) -> tuple[int, float] | None:
-        """(kind, weight): kind 0 a term, 1 a beginning, 2 a misspelled term."""
+        """(kind, weight): kind 0 a term, 1 a beginning, 2 a misspelled term, 3 one where word or term is short."""
         try:
             return self.seen[word]
         except KeyError:
@@ -98,10 +108,10 @@ class Lexicon:
             w = max((self.begin[word[:n]] for n in (4, 5, 6) if len(word) > n and word[:n] in self.begin), default=None)
             if w is not None:
                 hit = (1, w)
-            elif len(word) >= 5 and (word in self.near or not self.near.isdisjoint(deletions(word))):
+            elif len(spelled := letters(word)) <= self.longest and (spelled in self.near or not self.near.isdisjoint(deletions(spelled))):
                 term = self.misspelled(word)
                 if term is not None:
-                    hit = (2, self.exact[term])
+                    hit = (3 if min(len(spelled), len(letters(term))) < SHORT else 2, self.exact[term])
         if len(self.seen) >= 1_000_000:
             self.seen.clear()
         self.seen[word] = hit
@@ -132,7 +142,7 @@ def inputs(text: bytes | None, lexicon: Lexicon) -> list[float]:
     if not hits:
         return [1.0, *[0.0] * (INPUTS - 2), np.log1p(len(words)) / 5]
     quoted = _quoted(text) if any(q in text for q in (*_BOTH, *_OPEN)) else None
-    sums, quotes, terms = [0.0, 0.0, 0.0], 0.0, set()
+    sums, quotes, terms = [0.0] * 4, 0.0, set()
     at, weight = [], []
     for i, (kind, w) in hits:
         if (quoted and quoted[i]) or not REPORTING.isdisjoint(words[max(0, i - 3):i]):
@@ -145,8 +155,8 @@ def inputs(text: bytes | None, lexicon: Lexicon) -> list[float]:
     total = np.concatenate([[0.0], np.cumsum(weight)])
     first = np.searchsorted(at, np.array(at) - WINDOW, "right")
     best = float((total[1:] - total[first]).max())
-    return [1.0, *(float(np.log1p(s)) for s in sums), float(np.log1p(quotes)), float(np.log1p(best)), float(np.log1p(len(terms))),
-            10 * len(hits) / len(words), np.log1p(len(words)) / 5]
+    return [1.0, *(float(np.log1p(s)) for s in sums[:3]), float(np.log1p(quotes)), float(np.log1p(best)), float(np.log1p(len(terms))),
+            10 * len(hits) / len(words), float(np.log1p(sums[3])), np.log1p(len(words)) / 5]
 
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> dict[bytes, float]:

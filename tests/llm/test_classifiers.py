@@ -110,3 +110,25 @@ def test_mixed_words_are_counted_over_the_whole_text():
     text = b" \x0b\n".join(words)
     value = Q.words_and_stats(text, Q.Buckets())[2][Q.STATS.index("mixed_words")]
     assert value == sum(w[-1:] in b"%#" for w in words) / len(words)
+
+
+def test_misspelled_short_and_accented_terms_against_edit_distance():
+    lexicon = T.Lexicon({t.encode(): 3.0 for t in ("scum", "trash", "idiot", "stüpid")})
+    for word in ("scam", "scums", "cum", "scúm", "tras", "rash", "dumb", "ídiot", "stupid", "stüpíd", "stúpid", "stu\u0308pid"):
+        near = any(distance(t, word) <= 1 for t in ("scum", "trash", "idiot", "stüpid"))
+        hit = lexicon.look_up(word.encode())
+        assert (hit is not None) == near, word
+        if hit:
+            assert hit[0] == (3 if min(len(word), 4 if "c" in word else 5) < 5 else 2)
+    assert T.inputs("you sclum".encode(), lexicon)[8] > 0
+
+
+def test_misspelled_terms_of_four_letters_in_the_given_alphabet():
+    rng = random.Random(8)
+    terms = {"".join(rng.choice("abcé") for _ in range(rng.randint(3, 7))): rng.random() + 2 for _ in range(30)}
+    lexicon = T.Lexicon({t.encode(): w for t, w in terms.items()})
+    for _ in range(2000):
+        word = "".join(rng.choice("abcé") for _ in range(rng.randint(1, 8)))
+        near = [w for t, w in terms.items() if len(t) >= 4 and distance(t, word) <= 1]
+        hit = lexicon.look_up(word.encode())
+        assert hit == ((0, terms[word]) if word in terms else hit and (hit[0], max(near))) and (hit is not None) == (word in terms or bool(near))
