@@ -73,11 +73,33 @@ def ids_and_texts(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it while the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_mod(column: Column, m: int) -> Column:
     """crc32 of the id written as text, modulo ``m`` (null ids: null)."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(m)
 
 
+class Shipped:
+    """A broadcast object of this package: its plain fields are broadcast, and the object is
+    made again in the task, as a broadcast instance would ask the executors to import its class."""
+
+    def __init__(self, spark: SparkSession, thing: object):
+        self._kind, self._fields = type(thing), spark.sparkContext.broadcast(vars(thing))
+
+    @property
+    def value(self):
+        thing = object.__new__(self._kind)
+        vars(thing).update(self._fields.value)
+        return thing
+
+
 _FOLDERS: dict[str, str] = {}
 
 

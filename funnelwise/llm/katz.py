@@ -51,7 +51,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from funnelwise.llm.common import crc_mod, ids_and_texts, space_words, staged, texts_of
+from funnelwise.llm.common import Shipped, crc_mod, ids_and_texts, space_words, staged, texts_of
 
 CUT = 5
 CONTEXTS = 65_534
@@ -564,7 +564,7 @@ def score_texts(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, context
     total, distinct = sum(n for _, _, n in bins), sum(k for _, k, _ in bins)
     common = Common(tokens, counts, total, distinct, texts, {b: k for b, k, _ in bins if b <= CUT + 1}, lumped)
     sc = spark.sparkContext
-    held = sc.broadcast(common)
+    held = Shipped(spark, common)
     dense = np.zeros((common.dense + 2) * max(1, common.dense), np.int64)
     found = dense_pairs(rows.filter(~F.col("held_out")), held).toArrow()  # at most (DENSE + 2) * DENSE pairs
     dense[found.column("pair").to_numpy()] = found.column("n").to_numpy()
@@ -587,7 +587,7 @@ def score_texts(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, context
         used, own = context_sums(context, dense[pairs], common.counts[w], common)
         held_figures[:, used] += own
         of_pairs += np.bincount(np.minimum(dense[pairs], CUT + 2), minlength=CUT + 3)[:CUT + 2]
-    model = sc.broadcast(Model(common, held_figures, dict(enumerate(of_pairs.tolist()))))
+    model = Shipped(spark, Model(common, held_figures, dict(enumerate(of_pairs.tolist()))))
     n, v = int(total), int(distinct)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

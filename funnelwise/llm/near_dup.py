@@ -9,12 +9,13 @@
    The packed signatures estimate the similarity, corrected for chance
    agreement of the low bits; a member's most similar candidates are confirmed on
    the full sets.  Confirmed links give components (large-star / small-star).
-4. Buckets whose members are still in several components are compared in
-   blocks of a bounded number of members, across components only, by size and
-   bit counts, each pair in the first bucket that it shares; what passes is
-   confirmed on full sets too, and the components are taken again: twice with each
-   member's most similar partners only, then with all that is left.  So no bucket is capped, no link between components is left
-   out, and members that are already joined aren't paired.
+4. Buckets whose members are still in several components are compared in blocks of a
+   bounded number of members and shingles, across components only, each pair in the first bucket
+   that it shares.  Sizes and bit counts decide which members of a block have a
+   candidate at all; only these get their full sets, once a block.  There a union-find,
+   started from the components so far, compares members of different components on
+   their full sets and gives the links that join two of them, at most one less than members.
+   So no bucket is capped, no pair is emitted that isn't such a link, and no link between components is left out.
 
 A pair at the threshold is missed by all bands with the probability
 ``(1 - t ** rows) ** bands`` (6e-9 at t = 0.85, 5e-9 at t = 0.8 with the
@@ -33,17 +34,18 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from funnelwise.llm.common import WordHashes, ids_and_texts, map_batches, schema_of, shingle_hashes, space_words, staged, texts_of
+from funnelwise.llm.common import WordHashes, ids_and_texts, map_batches, schema_of, shingle_hashes, space_words, staged, texts_of, unused
 
 BITS = 2
 MASK = 0x5555555555555555  # the low bit of each 2-bit field
+#: Members of a block's chunk, and about how many shingles they have together.
 BLOCK = 2_000
-#: Candidates of a member that are confirmed before the buckets are looked at again.
+BLOCK_SHINGLES = 1 << 21
+#: Candidates of a member among its buckets' centres that are confirmed.
 FIRST = 3
 #: Nodes whose texts may be named in a broadcast (8 bytes each); beyond it the lookup is a shuffled join.
 LOOKUP_KEYS = 1_000_000
@@ -147,22 +149,34 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                        "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, node_check bigint, bands array<bigint>, sig array<bigint>")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the rule."""
-    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node").select("text_key"), "lookup")
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """node, shingles (sorted hashes of the full set) of the nodes in ``wanted``."""
+    needed = staged(wanted.select("node").distinct().join(nodes.select("node", "text_key"), "node").select("text_key"), "lookup")
     keys = F.broadcast(needed) if needed.count() <= LOOKUP_KEYS else needed
     texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text")).join(keys, "text_key", "left_semi")
 
-    def sets(batch: pa.RecordBatch) -> dict:
-        words, ids, blobs = WordHashes(), [], []
-        for text in texts_of(batch):
-            s = shingle_hashes(words.array(space_words(text)), rule.shingle)
-            if len(s):
-                ids.append(set_ids(s, rule.seed)[0])
-                blobs.append(s.tobytes())
-        return {"node": ids, "shingles": blobs}
+    def sets():
+        words, seen = WordHashes(), set()  # copies in one task are sent once
+
+        def run(batch: pa.RecordBatch) -> dict:
+            ids, blobs = [], []
+            for text in texts_of(batch):
+                s = shingle_hashes(words.array(space_words(text)), rule.shingle)
+                if len(s) and (node := set_ids(s, rule.seed)[0]) not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(node)
+                    ids.append(node)
+                    blobs.append(s.tobytes())
+            return {"node": ids, "shingles": blobs}
+
+        return run
+
+    return map_batches(texts, sets, "node bigint, shingles binary", per_task=True).dropDuplicates(["node"])
 
-    full = staged(map_batches(texts, sets, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets meet the rule."""
+    full = staged(_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, rule), "sets")
     both = (pairs.select("a", "b").join(full.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(full.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
 
@@ -207,53 +221,130 @@ def connected(edges: DataFrame) -> DataFrame:
     return staged(star.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots), "roots")
 
 
-def _residual(members: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule, top: int | None) -> DataFrame | None:
-    """Pairs of different components in one bucket whose estimate passes: all of them, or
-    of each member and block the ``top`` most similar."""
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = staged(placed, "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x != y")
-    open_ = staged(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "open")
+def _by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with equal first three columns (bucket, i, j), whole."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)]).astype(np.int64)
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            now = tuple(keys[:, start].tolist())
+            if held and now != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Block:
+    """Members of one bucket's chunks i and j, and who may be linked with whom."""
+
+    def __init__(self, table: pa.Table, rule: Rule):
+        self.rule, n = rule, len(table)
+        self.here, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        self.ids, self.roots, chunk, self.sizes = (table.column(c).to_numpy() for c in ("node", "root", "mine", "n_shingles"))
+        self.sig, self.bands = (table.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1) for c in ("sig", "bands"))
+        self.sig = self.sig.view(np.uint64)
+        self.left, self.right, self.one = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), i == j
+
+    def candidates(self, x: int, groups: np.ndarray) -> np.ndarray:
+        """Members of other groups that ``x`` meets first in this bucket, whose size and bit counts allow
+        a link; the most similar first."""
+        to = self.right[groups[self.right] != groups[x]]
+        if self.one:
+            to = to[self.ids[to] > self.ids[x]]
+        a, b = np.minimum(self.sizes[to], self.sizes[x]), np.maximum(self.sizes[to], self.sizes[x])
+        to = to[100 * a >= self.rule.percent * b]
+        if not len(to):
+            return to
+        d = self.sig[to] ^ self.sig[x]
+        e = estimate(np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(MASK)).sum(axis=1), self.rule.perms)
+        near = e >= self.rule.least_estimate
+        to, e = to[near], e[near]
+        first = self.bands[x][(self.bands[to] == self.bands[x]).argmax(axis=1)] == self.here
+        return to[first][np.argsort(-e[first], kind="stable")]
+
+    def active(self) -> np.ndarray:
+        """Members with a candidate."""
+        out = np.zeros(len(self.ids), bool)
+        for x in self.left:
+            to = self.candidates(x, self.roots)
+            if len(to):
+                out[x] = out[to] = True
+        return np.flatnonzero(out)
+
+    def links(self, sets: list[bytes]) -> list[tuple[int, int]]:
+        """Confirmed links that join two groups; ``sets``: the members' sorted hashes."""
+        full = [np.frombuffer(s, np.uint64) for s in sets]
+        sizes = np.array([len(s) for s in full])
+        _, dense = np.unique(np.concatenate(full), return_inverse=True)
+        places = np.split(dense, np.cumsum(sizes)[:-1])
+        marked, groups, out = np.zeros(int(dense.max()) + 1, np.int32), self.roots.copy(), []
+        for x in self.left:
+            to = self.candidates(x, groups)
+            if not len(to):
+                continue
+            marked[places[x]] = 1
+            for at in range(0, len(to), 256):
+                part = to[at:at + 256]
+                part = part[groups[part] != groups[x]]
+                if not len(part):
+                    continue
+                shared = np.add.reduceat(marked[np.concatenate([places[t] for t in part])], np.cumsum([0, *sizes[part[:-1]]]))
+                for t in part[100 * shared >= self.rule.percent * (sizes[part] + sizes[x] - shared)]:
+                    if groups[t] != groups[x]:
+                        out.append((int(self.ids[x]), int(self.ids[t])))
+                        groups[groups == groups[t]] = groups[x]
+            marked[places[x]] = 0
+        return out
+
+
+def _residual(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame | None:
+    """Confirmed links (a, b) between components that share a bucket; enough to join all that are linked."""
+    placed = staged(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), F.sum("n_shingles").alias("m")).filter("x != y")
+    chunks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("m") / BLOCK_SHINGLES), F.col("n")))
+    open_ = staged(open_.select("bucket", chunks.cast("int").alias("k")), "open")
     if open_.isEmpty():
         return None
     inside = placed.join(open_, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     # each member goes to the blocks (own chunk, any chunk) of its bucket
     inside = (inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
               .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")))
-    inside = inside.join(nodes.select("node", "n_shingles", "bands", "sig"), "node").select("bucket", "i", "j", "mine", "node", "root", "n_shingles", "bands", "sig")
-    perms, least, percent = rule.perms, rule.least_estimate, rule.percent
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, roots_, chunk, sizes = (group[c].to_numpy() for c in ("node", "root", "mine", "n_shingles"))
-        i, j, here = (int(group[c].iloc[0]) for c in ("i", "j", "bucket"))
-        sig, bands = np.stack(group["sig"].to_list()).view(np.uint64), np.stack(group["bands"].to_list())
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        a, b = [], []
-        for x in left:
-            to = right[(roots_[right] != roots_[x]) & (100 * np.minimum(sizes[right], sizes[x]) >= percent * np.maximum(sizes[right], sizes[x]))]
-            if i == j:
-                to = to[ids[to] > ids[x]]
-            d = sig[to] ^ sig[x]
-            differ = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(MASK)).sum(axis=1)
-            e = estimate(differ, perms)
-            to, e = to[e >= least], e[e >= least]
-            same = bands[to] == bands[x]
-            first = bands[x][same.argmax(axis=1)] == here  # the first bucket they share
-            to, e = to[first], e[first]
-            if top is not None and len(to) > top:
-                to = to[np.argsort(-e, kind="stable")[:top]]
-            a += [min(ids[x], ids[t]) for t in to]
-            b += [max(ids[x], ids[t]) for t in to]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    pairs = staged(inside.groupBy("bucket", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct(), "residual")
-    return None if pairs.isEmpty() else pairs
+    inside = inside.join(nodes.select("node", "bands", "sig"), "node").select("bucket", "i", "j", "mine", "node", "root", "n_shingles", "bands", "sig")
+    block = ["bucket", "i", "j"]
+
+    def with_candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_block(batches):
+            some = Block(table, rule).active()
+            if len(some):
+                yield from table.take(some).combine_chunks().to_batches()
+
+    active = inside.repartition(*block).sortWithinPartitions(*block).mapInArrow(with_candidates, inside.schema)
+    active = staged(active, "active")
+    if active.isEmpty():
+        return None
+
+    def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_block(batches):
+            out = Block(table, rule).links(table.column("shingles").to_pylist())
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    full = active.join(staged(_sets(active, nodes, docs, rule), "sets"), "node").select(*active.columns, "shingles")
+    links = staged(full.repartition(*block).sortWithinPartitions(*block).mapInArrow(linked, "a bigint, b bigint").distinct(), "residual")
+    return None if links.isEmpty() else links
 
 
 @dataclass
 class Groups:
     """signed: rows of ``signatures``; nodes: one row per distinct set, with its root node;
-    links: confirmed pairs of nodes."""
+    links: confirmed pairs of nodes, enough to join all that belong together."""
 
     signed: DataFrame
     nodes: DataFrame
@@ -271,10 +362,10 @@ def group(docs: DataFrame, rule: Rule) -> Groups:
         if nodes.filter("x != y").isEmpty():
             break
         rule = Rule(rule.shingle, rule.percent, rule.rows, rule.bands, rule.seed + 1)  # two sets with one 64-bit id: hash anew
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre != last")
     shared = staged(shared.select("bucket", "centre"), "buckets")
-    members = staged(banded.join(shared, "bucket").select("bucket", "node", "centre"), "members")
+    members = staged(banded.join(shared, "bucket").select("bucket", "node", "n_shingles", "centre"), "members")
     sig = nodes.select("node", "sig")
     near = (members.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
             .join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
@@ -289,15 +380,10 @@ def group(docs: DataFrame, rule: Rule) -> Groups:
     if not best.isEmpty():
         links = _confirm(best, nodes, docs, rule)
         roots = connected(links)
-    # members' most similar partners first: they join most of what belongs
-    # together, so that few pairs are left when all of them are looked at
-    for top in (FIRST, FIRST, None):
-        more = None if members.isEmpty() else _residual(members, nodes, roots, rule, top)
-        if more is None:
-            break
-        new = _confirm(more, nodes, docs, rule)
-        if not new.isEmpty():
-            links = new if links is None else staged(links.unionByName(new).distinct(), "links")
+    if not members.isEmpty():
+        more = _residual(members, nodes, roots, docs, rule)
+        if more is not None:
+            links = more if links is None else staged(links.unionByName(more).distinct(), "links")
             roots = connected(links)
     plain = nodes.select("node", "label", "text_key")
     if links is None:
@@ -324,9 +410,11 @@ def deduplicate(docs: DataFrame, rule: Rule) -> DataFrame:
     member = g.signed.filter("node is not null").select("doc_id", "text_key", "node").join(nodes.select("node", "root"), "node")
     first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")).alias("f"))
     keep = staged(first.select(F.col("f.doc_id").alias("_keep_id"), F.col("f.text_key").alias("_keep_key")), "keep")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string"))).withColumn("_doc_id", F.col("doc_id").cast("bigint"))
+    key, number = unused(docs, "text_key"), unused(docs, "id_number")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string"))).withColumn(number, F.col("doc_id").cast("bigint"))
+    keep = keep.toDF(keep_id := unused(keyed, "keep_id"), keep_key := unused(keyed, "keep_key"))
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = keyed.filter(has_words).join(keep, F.col("_doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text_key") == F.col("_keep_key")), "left_semi")
+    kept = keyed.filter(has_words).join(keep, F.col(number).eqNullSafe(F.col(keep_id)) & (F.col(key) == F.col(keep_key)), "left_semi")
     if not member.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():  # rows repeated as they are
-        kept = kept.dropDuplicates(["_doc_id", "_text_key"])
+        kept = kept.dropDuplicates([number, key])
     return kept.select(*docs.columns).unionByName(keyed.filter(~has_words).select(*docs.columns))

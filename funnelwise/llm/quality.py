@@ -16,12 +16,15 @@ model is the constant 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from funnelwise.llm.common import crc_mod, ids_and_texts, map_batches, texts_of
+from funnelwise.llm.common import Shipped, crc_mod, ids_and_texts, map_batches, texts_of, unused
 from funnelwise.llm.labelled import labelled_sample
 
 MAX_ROWS = 20_000
@@ -102,7 +105,7 @@ class FactorisationMachine:
     def score(self, index: np.ndarray, value: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.raw(index, value), -30, 30))))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 6, rate: float = 0.1, decay: float = 1e-5,
+    def fit(self, rows: Sequence[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 6, rate: float = 0.1, decay: float = 1e-5,
             batch: int = 64, seed: int = 2) -> None:
         rng = np.random.default_rng(seed)
         mean = np.clip(target.mean(), 0.02, 0.98)
@@ -110,8 +113,9 @@ class FactorisationMachine:
         g0, gw, gv = 1.0, np.full(len(self.w), 0.1), np.full(self.v.shape, 0.1)
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
-                sizes = [len(rows[r][0]) for r in part]
-                index, value = (np.concatenate([rows[r][k] for r in part]) for k in (0, 1))
+                chosen = [rows[r] for r in part]
+                sizes = [len(i) for i, _ in chosen]
+                index, value = (np.concatenate([c[k] for c in chosen]) for k in (0, 1))
                 start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
                 vx = self.v[index] * value[:, None]
                 sums = np.add.reduceat(vx, start, axis=0)
@@ -145,19 +149,39 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, colum
     learn = F.lit(True) if learn is None else learn
     # about max_rows rows at most; sorted, so that the fit doesn't depend on the order of tasks
     table = features(labelled_sample(docs, labels, column, learn, max_rows)).toArrow()
-    got = sorted(zip(*(table.column(c).to_pylist() for c in ("words", "weights", "stats", "target"))))
-    stats = np.array([s for _, _, s, _ in got]).reshape(-1, len(STATS))
-    if not got:
+    if not len(table):
         return FactorisationMachine(np.zeros((len(STATS), BINS - 1)))
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("words", "weights", "target")]).to_numpy()
+    stats = table.column("stats").combine_chunks().flatten().to_numpy().reshape(-1, len(STATS))[order]
+    target = table.column("target").to_numpy()[order]
+    words, weights = (table.column(c).combine_chunks() for c in ("words", "weights"))
+    del table
     machine = FactorisationMachine(np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T)
-    rows = [machine.inputs(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), s) for (i, v, _, _), s in zip(got, stats)]
-    machine.fit(rows, np.array([t for *_, t in got]))
+    machine.fit(Inputs(machine, words, weights, order, stats), target)
     return machine
 
 
+class Inputs(Sequence):
+    """Inputs of the sample's rows, cut from flat arrays when they are asked for."""
+
+    def __init__(self, machine: FactorisationMachine, words: pa.BinaryArray, weights: pa.BinaryArray, order: np.ndarray, stats: np.ndarray):
+        self.machine, self.order, self.stats = machine, order, stats
+        # the sample's values lie one after another in the two columns' buffers
+        self.at = [np.frombuffer(a.buffers()[1], np.int32)[a.offset:a.offset + len(a) + 1] // 4 for a in (words, weights)]
+        self.index, self.value = np.frombuffer(words.buffers()[2], np.int32), np.frombuffer(weights.buffers()[2], np.float32)
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        r = self.order[k]
+        (a, b), (c, d) = ((at[r], at[r + 1]) for at in self.at)
+        return self.machine.inputs(self.index[a:b].astype(np.int64), self.value[c:d].astype(float), self.stats[k])
+
+
 def scores(docs: DataFrame, machine: FactorisationMachine, keep: list[str] | None = None) -> DataFrame:
-    """doc_id and score of every row; with ``keep``, those columns and ``_fm_score``."""
-    held = docs.sparkSession.sparkContext.broadcast(machine)  # fixed size
+    """doc_id and score of every row; with ``keep``, those columns and a last one with the score."""
+    held = Shipped(docs.sparkSession, machine)  # fixed size
 
     def score(texts: list[bytes | None]) -> list[float]:
         fm, buckets = held.value, Buckets()
@@ -169,8 +193,9 @@ def scores(docs: DataFrame, machine: FactorisationMachine, keep: list[str] | Non
 
     if keep is None:
         return map_batches(ids_and_texts(docs), lambda b: {"doc_id": b.column(0), "score": score(texts_of(b))}, "doc_id bigint, score double")
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["_fm_score double"])
-    return map_batches(docs, lambda b: {**{c: b.column(b.schema.get_field_index(c)) for c in keep}, "_fm_score": score(texts_of(b))}, ddl)
+    name = unused(docs, "score")
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{name}` double"])
+    return map_batches(docs, lambda b: {**{c: b.column(b.schema.get_field_index(c)) for c in keep}, name: score(texts_of(b))}, ddl)
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int = 4) -> DataFrame:
@@ -183,4 +208,5 @@ def classify(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows scored below ``threshold``; fitted on all labelled rows' sample."""
     machine = train(docs, labels)
-    return scores(docs, machine, docs.columns).filter(F.col("_fm_score") >= threshold).select(*docs.columns)
+    scored = scores(docs, machine, docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)

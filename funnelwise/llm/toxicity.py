@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from funnelwise.llm.common import alnum_words, crc_mod, ids_and_texts, map_batches, texts_of
+from funnelwise.llm.common import alnum_words, crc_mod, ids_and_texts, map_batches, texts_of, unused
 from funnelwise.llm.labelled import labelled_sample
 
 MAX_ROWS = 40_000
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, colum
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id and score of every row; with ``keep``, those columns and ``_tox_score``."""
+    """doc_id and score of every row; with ``keep``, those columns and a last one with the score."""
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.coefficients))  # at most MAX_TERMS terms
 
     def score(texts: list[bytes | None]) -> list[float]:
@@ -240,8 +240,9 @@ def scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 
     if keep is None:
         return map_batches(ids_and_texts(docs), lambda b: {"doc_id": b.column(0), "score": score(texts_of(b))}, "doc_id bigint, score double")
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["_tox_score double"])
-    return map_batches(docs, lambda b: {**{c: b.column(b.schema.get_field_index(c)) for c in keep}, "_tox_score": score(texts_of(b))}, ddl)
+    name = unused(docs, "score")
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{name}` double"])
+    return map_batches(docs, lambda b: {**{c: b.column(b.schema.get_field_index(c)) for c in keep}, name: score(texts_of(b))}, ddl)
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int = 3) -> DataFrame:
@@ -254,4 +255,5 @@ def classify(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds:
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows scored ``threshold`` or more; fitted on all labelled rows' sample."""
     model = train(docs, labels)
-    return scores(docs, model, docs.columns).filter(F.col("_tox_score") < threshold).select(*docs.columns)
+    scored = scores(docs, model, docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) < threshold).select(*docs.columns)

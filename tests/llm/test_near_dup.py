@@ -115,3 +115,34 @@ def test_connected(spark):
                     todo.append(x)
         assert root == min(seen)
     assert set(got) == {x for x in near if near[x] != {x}}
+
+
+def test_helper_columns_keep_the_tables_own(spark):
+    rows = near_rows(3)[:30]
+    docs = docs_frame(spark, rows).selectExpr("*", "99 as _doc_id", "'k' as text_key", "7 as id_number", "5 as keep_id", "6L as KEEP_KEY")
+    kept = N.deduplicate(docs, N.Rule())
+    assert kept.columns == docs.columns
+    assert {tuple(r)[5:] for r in kept.collect()} == {(99, "k", 7, 5, 6)}
+
+
+def test_blocks_cut_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 300)
+    rows = near_rows(11)
+    rule = N.Rule(3, 85, 1, 64)
+    assert sorted([tuple(r) for r in N.components(docs_frame(spark, rows), rule).collect()], key=repr) == brute(rows, rule)
+
+
+def test_a_large_group_gives_few_links(spark):
+    # near copies of one text, most of them not linked with each other: rows stay below members x blocks
+    rng = random.Random(6)
+    base = prose(rng, 120, 5_000).split()
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(len(words))] = f"e{rng.random()}"
+        rows.append((i, " ".join(words)))
+    docs = docs_frame(spark, rows)
+    g = N.group(docs, RULE)
+    assert sorted([tuple(r) for r in N.components(docs, RULE).collect()], key=repr) == brute(rows, RULE)
+    assert g.links is None or g.links.count() < 250 * (N.FIRST + RULE.bands)
