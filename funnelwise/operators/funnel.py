@@ -67,6 +67,46 @@ def funnel(entries: DataFrame, pageviews: DataFrame, steps: Mapping[str, str], b
         SESSION_ID, *by, *[flag(F.coalesce(c, F.lit(False))).alias(f"{n}_made_it") for n, c in reached.items()])
 
 
+#: Pageview ids of a chunk: at most that many pages of a session are walked in one row.
+WALK = 4_096
+
+
+def ordered_funnel(entries: DataFrame, pageviews: DataFrame, steps: Mapping[str, str], by: Sequence[str] = (),
+                   after: str | None = None, chunk: int = WALK) -> DataFrame:
+    """One row per entry (session, ``by``): ``<step>_made_it`` = the steps up to this one were
+    seen one after another, in order of pageview ids (other pages may lie between).
+
+    Walking a session's pages moves it from "so many steps reached" to a larger number.
+    What a chunk of pages does to every such number is a small array, and arrays of
+    consecutive chunks compose, so a session is walked chunk by chunk in any task, and
+    its arrays (one per ``chunk`` ids) are put together at the end.  No window or list
+    holds more than a chunk of a session's pages.  ``after``: see ``funnel``.
+    """
+    urls = list(dict.fromkeys(steps.values()))
+    wanted = F.array(*[F.lit(urls.index(u) + 1) for u in steps.values()])  # the page that takes a session on from each number
+    page = F.array_position(F.array(*map(F.lit, urls)), F.col("pageview_url")).cast("int").alias("_page")
+    views = pageviews.filter(F.col("pageview_url").isin(*urls)).select(SESSION_ID, PAGEVIEW_ID, page)
+    if by or after:
+        keep = [SESSION_ID, *by] + ([after] if after else [])
+        views = join_keyed(views, entries.select(*keep), SESSION_ID)
+        views = rekeyed(views if after is None else views.filter(F.col(PAGEVIEW_ID) > F.col(after)), SESSION_ID)
+    else:
+        views = key_range(views, entries, SESSION_ID)
+    in_order = F.sort_array(F.collect_list(F.struct(PAGEVIEW_ID, "_page")))
+    chunks = with_chunk(views, PAGEVIEW_ID, chunk).groupBy(SESSION_ID, *by, CHUNK).agg(in_order.alias("_pages"))
+    start = F.array(*[F.lit(i) for i in range(len(steps) + 1)])
+    moved = F.aggregate("_pages", start, lambda f, p: F.transform(f, lambda n: F.when(F.get(wanted, n) == p["_page"], n + 1).otherwise(n)))
+    arrays = F.sort_array(F.collect_list(F.struct(CHUNK, "_moved")))
+    walked = chunks.select(SESSION_ID, *by, CHUNK, moved.alias("_moved")).groupBy(SESSION_ID, *by).agg(arrays.alias("_arrays"))
+    reached = F.aggregate("_arrays", F.lit(0), lambda n, a: F.get(a["_moved"], n))
+    walked = walked.select(F.col(SESSION_ID).alias("_session"), *[F.col(b).alias(f"_by_{b}") for b in by], reached.alias("_reached"))
+    same = F.col(SESSION_ID) == F.col("_session")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return entries.join(walked, same, "left").select(
+        SESSION_ID, *by, *[flag(F.coalesce(F.col("_reached"), F.lit(0)) > i).alias(f"{n}_made_it") for i, n in enumerate(steps)])
+
+
 def session_flags(sessions: DataFrame, pageviews: DataFrame, window: TimeRange, where: Column,
                   steps: Mapping[str, str]) -> DataFrame:
     """One row per session of the segment: ``<step>_made_it`` = any pageview of the step."""
@@ -106,14 +146,12 @@ def urls_after(pageviews: DataFrame, window: TimeRange, urls: Sequence[str]) ->
     per_url = per_key(pageviews, pageviews.filter(viewed).select(SESSION_ID), SESSION_ID,
                       F.max(PAGEVIEW_ID).alias("_last"), F.min(F.when(viewed, F.col(PAGEVIEW_ID))).alias("_first_view"),
                       F.max(F.when(viewed, F.col(PAGEVIEW_ID))).alias("_last_view"), by=["pageview_url"])
-    # one entry per url of a session: as many as the site has pages
     per_session = per_url.groupBy(SESSION_ID).agg(
-        F.min("_first_view").alias("_anchor"), F.max("_last").alias("_end"), F.max("_last_view").alias("_last_view"),
-        F.collect_list(F.struct("pageview_url", "_last")).alias("_urls")).filter(F.col("_anchor").isNotNull())
-    later = F.filter("_urls", lambda u: u["_last"] > F.col("_anchor"))
-    found = F.transform(later, lambda u: u["pageview_url"])
-    nothing = F.when(F.col("_last_view") >= F.col("_end"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
-    return per_session.select(F.explode(F.concat(found, nothing)).alias("pageview_url")).distinct()
+        F.min("_first_view").alias("_anchor"), F.max("_last").alias("_end"), F.max("_last_view").alias("_last_view")).filter(F.col("_anchor").isNotNull())
+    later = (per_url.select(SESSION_ID, "pageview_url", "_last").join(rekeyed(per_session.select(SESSION_ID, "_anchor"), SESSION_ID), SESSION_ID)
+             .filter(F.col("_last") > F.col("_anchor")).select("pageview_url"))
+    unmatched = per_session.filter(F.col("_last_view") >= F.col("_end")).select(F.lit(None).cast("string").alias("pageview_url"))
+    return later.unionByName(unmatched).distinct()
 
 
 def product_session_flags(pageviews: DataFrame, views: DataFrame, labels: Mapping[str, str],
@@ -123,10 +161,14 @@ def product_session_flags(pageviews: DataFrame, views: DataFrame, labels: Mappin
     ``labels`` maps product url to label (CASE with ``guard`` as ELSE); the
     entry of a product is its earliest view in the session.
     """
+    return funnel(product_entries(views, labels, guard), pageviews, steps, by=["product_seen"], after="entry_pageview_id")
+
+
+def product_entries(views: DataFrame, labels: Mapping[str, str], guard: str) -> DataFrame:
+    """website_session_id, product_seen, entry_pageview_id: a session's earliest view of each product."""
     label = first_match([(F.col("product_page_seen") == url, name) for url, name in labels.items()])
-    entries = (views.withColumn("product_seen", F.coalesce(label, F.lit(guard)))
-               .groupBy(SESSION_ID, "product_seen").agg(F.min(PAGEVIEW_ID).alias("_entry")))
-    return funnel(entries, pageviews, steps, by=["product_seen"], after="_entry")
+    return (views.withColumn("product_seen", F.coalesce(label, F.lit(guard)))
+            .groupBy(SESSION_ID, "product_seen").agg(F.min(PAGEVIEW_ID).alias("entry_pageview_id")))
 
 
 def product_page_flag_counts(pageviews: DataFrame, window: TimeRange, products: list[str],

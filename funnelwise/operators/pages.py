@@ -34,26 +34,33 @@ def first_pageview(pageviews: DataFrame, window: TimeRange, out_col: str) -> Dat
 
 
 def landing_page(pageviews: DataFrame, window: TimeRange = everything(), urls: Sequence[str] | None = None,
-                 min_id: Column | None = None, sessions: DataFrame | None = None) -> DataFrame:
+                 min_id: Column | None = None, sessions: DataFrame | None = None, count_pages: bool = True) -> DataFrame:
     """Per session: website_session_id, landing_page, first_pageview_id, first_at, n_pages.
 
     The landing page is the one of the lowest pageview id inside ``window`` (and
     above ``min_id``); ``n_pages`` counts all pageviews of the session, inside the
-    window or not.  ``sessions`` keeps only those sessions; ``urls`` only
+    window or not, and isn't there without ``count_pages``, when only the window is read.  ``sessions`` keeps only those sessions; ``urls`` only
     sessions that landed on one of them.  One scan and one aggregate,
     bounded by the ids of the sessions in question.
     """
     counts = window.on("created_at")
     if min_id is not None:
         counts = counts & (F.col(PAGEVIEW_ID) > min_id)
-    keys = pageviews.filter(window.on("created_at")).select(SESSION_ID) if sessions is None else sessions
-    bounded = pageviews if sessions is None and window.unbounded else key_range(pageviews, keys, SESSION_ID)
+    if not count_pages:
+        pageviews = pageviews.filter(counts)
+    if sessions is not None:
+        bounded = key_range(pageviews, sessions, SESSION_ID)
+    elif count_pages and not window.unbounded:
+        bounded = key_range(pageviews, pageviews.filter(window.on("created_at")).select(SESSION_ID), SESSION_ID)
+    else:
+        bounded = pageviews
     first = F.min(F.when(counts, F.struct(F.col(PAGEVIEW_ID), F.col("pageview_url"), F.col("created_at"))))
-    out = (bounded.groupBy(SESSION_ID).agg(first.alias("_f"), F.count(PAGEVIEW_ID).alias("n_pages"))
+    n_pages = [F.count(PAGEVIEW_ID).alias("n_pages")] if count_pages else []
+    out = (bounded.groupBy(SESSION_ID).agg(first.alias("_f"), *n_pages)
            .filter(F.col("_f").isNotNull())
            .select(SESSION_ID, F.col("_f.pageview_url").alias("landing_page"),
                    F.col("_f.website_pageview_id").alias("first_pageview_id"),
-                   F.col("_f.created_at").alias("first_at"), "n_pages"))
+                   F.col("_f.created_at").alias("first_at"), *(["n_pages"] if count_pages else [])))
     if sessions is not None:
         out = out.join(sessions.select(SESSION_ID), SESSION_ID, "left_semi")
     return out if urls is None else out.filter(F.col("landing_page").isin(*urls))

@@ -153,7 +153,8 @@ def conditional_counts(conditions: Mapping[str, Column], key: str = SESSION_ID,
     """Pivot by conditional aggregation: ``COUNT(DISTINCT CASE WHEN c THEN key END)`` per condition.
 
     With ``unique=True`` the caller guarantees that rows hold each key once (as
-    checked session tables do), and each becomes a plain conditional count.
+    checked session tables do), and each becomes a plain conditional count.  Where keys
+    repeat, ``operators.distinct`` counts them without Spark's copy of every row per count.
     """
     return {name: count_distinct_if(cond, key, unique) for name, cond in conditions.items()}
 

@@ -396,6 +396,47 @@ STATEMENTS: dict[str, str] = {
 }
 
 
+def walk(codes: str) -> str:
+    """Steps reached by looking at pages in order: each page may only add the next step."""
+    return f"list_reduce(list_prepend(0, coalesce({codes}, [])), lambda n, c: CASE WHEN c = n + 1 THEN c ELSE n END)"
+
+
+def step_code(steps: Mapping[str, str]) -> str:
+    return "CASE pageview_url " + " ".join(f"WHEN '{u}' THEN {i + 1}" for i, u in enumerate(steps.values())) + " END"
+
+
+def reached_in_order(steps: Mapping[str, str]) -> dict[str, str]:
+    return {"sessions": "count(*)"} | {f"to_{n}": f"count(*) FILTER (WHERE n >= {i + 1})" for i, n in enumerate(steps)}
+
+
+_PAGE_ORDER = "list(code ORDER BY website_pageview_id) FILTER (WHERE code IS NOT NULL)"
+_VISITS = {"sessions": distinct(SESSION), "product_sessions": distinct(SESSION, one_of("pageview_url", (MRFUZZY, LOVEBEAR))),
+           "cart_sessions": distinct(SESSION, f"pageview_url = '{CART}'"), "thankyou_sessions": distinct(SESSION, f"pageview_url = '{THANKYOU}'")}
+_USERS = {"users": distinct("user_id"), "desktop_users": distinct("user_id", "device_type = 'desktop'"), "mobile_users": distinct("user_id", "device_type = 'mobile'"),
+          "nonbrand_users": distinct("user_id", NONBRAND)}
+
+STATEMENTS |= {
+    "weekly_unique_visits": report("website_pageviews", {"week_start_date": sunday()} | _VISITS, ["1"]),
+    "monthly_unique_visits": report("website_pageviews", {"yr": part("year"), "mo": part("month")} | _VISITS, ["1", "2"]),
+    "quarterly_unique_users": report("website_sessions", {"yr": part("year"), "qtr": part("quarter")} | _USERS, ["1", "2"]),
+    "unique_users_by_device_source": report("website_sessions", {
+        "device_type": "device_type", "utm_source": "utm_source", "users": distinct("user_id"), "repeat_users": distinct("user_id", "is_repeat_session = 1")}, ["1", "2"]),
+    "ordered_funnel_counts": report(
+        f"(SELECT {walk(_PAGE_ORDER)} AS n FROM (SELECT s.website_session_id, website_pageview_id, {step_code(SITE_STEPS)} AS code "
+        f"FROM {_FUNNEL} AS s LEFT JOIN website_pageviews AS p USING (website_session_id)) GROUP BY website_session_id)", reached_in_order(SITE_STEPS)),
+    "ordered_product_funnel_counts": report(
+        f"(SELECT product_seen, {walk(_PAGE_ORDER)} AS n FROM (SELECT e.*, website_pageview_id, {step_code(PRODUCT_STEPS)} AS code FROM "
+        f"(SELECT website_session_id, {choose({n: f"product_page_seen = '{u}'" for u, n in PRODUCT_NAMES.items()}, GUARD)} AS product_seen, min(website_pageview_id) AS entry "
+        "FROM product_views GROUP BY ALL) AS e LEFT JOIN website_pageviews AS p ON p.website_session_id = e.website_session_id AND p.website_pageview_id > e.entry) "
+        "GROUP BY website_session_id, product_seen)", {"product_seen": "product_seen"} | reached_in_order(PRODUCT_STEPS), ["product_seen"]),
+    "weekly_sessions_checked_feed": report("website_sessions", {"week_start_date": "min(created_at::DATE)", "sessions": N,
+                                                                "broken_lines": "(SELECT count(*) FROM website_pageviews)"}, [sunday()]),
+    "conversion_by_source_any_case": conversion(f"{before('2012-09-01')} AND {one_of('utm_source', ('gsearch', 'bsearch'))}", ["utm_source"]),
+    "monthly_sales_by_period": STATEMENTS["monthly_sales"],
+    "bounce_rate_from_snapshot": STATEMENTS["bounce_rate"],
+}
+
+
 def assemble(body: str, prelude: bool = True) -> str:
     """A statement with the relations it needs as CTEs, after the prelude or alone."""
     needed: list[str] = []

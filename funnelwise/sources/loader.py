@@ -13,8 +13,11 @@ from __future__ import annotations
 import os
 import threading
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from funnelwise.session import checkpoint_dir, remove, remove_at_exit
 from funnelwise.sources.events_fixture import derive_shop_tables
@@ -62,15 +65,60 @@ def jdbc_options(name: str, location: str, options: dict[str, str]) -> dict[str,
     return out
 
 
-def read_shop_tables(spark: SparkSession, location: str, fmt: str = "parquet",
-                     options: dict[str, str] | None = None, keys: str = "trust", source_zone: str = "UTC") -> ShopTables:
+MALFORMED = ("error", "quarantine", "trust")
+BROKEN = "_broken_record"
+
+
+def malformed_rows(parsed: DataFrame, schema: StructType) -> DataFrame:
+    """file, record: rows of a text table that don't fit its schema, or lack a required value.
+
+    ``parsed`` has the schema's columns, ``_broken_record`` and ``_file``.
+    """
+    missing = reduce(lambda a, b: a | b, [F.col(f.name).isNull() for f in schema.fields if not f.nullable], F.lit(False))
+    whole = F.coalesce(F.col(BROKEN), F.to_json(F.struct(*schema.fieldNames())))
+    return parsed.filter(F.col(BROKEN).isNotNull() | missing).select(F.col("_file").alias("file"), whole.alias("record"))
+
+
+def read_text_table(spark: SparkSession, path: str, fmt: str, schema: StructType, options: dict[str, str], malformed: str,
+                    quarantine: str | None) -> DataFrame:
+    """A CSV or JSON table in its schema, with a check of every row.
+
+    ``error``: broken rows are an error that names files and their counts; ``quarantine``: they
+    are written to ``quarantine`` (file, record) and left out; ``trust``: Spark's own
+    reading, where a bad value becomes NULL.
+    """
+    if malformed not in MALFORMED:
+        raise ValueError(f"malformed must be one of {MALFORMED}")
+    if malformed == "trust":
+        return spark.read.format(fmt).options(**options).schema(schema).load(path)
+    if malformed == "quarantine" and not quarantine:
+        raise ValueError("name a folder for the broken rows")
+    # all columns are parsed in every pass, so that a row is judged alike whatever a statement reads of it
+    checked = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "columnPruning": "false"}
+    loose = StructType([StructField(f.name, f.dataType, True) for f in schema.fields] + [StructField(BROKEN, StringType(), True)])
+    parsed = spark.read.format(fmt).options(**(options | checked)).schema(loose).load(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    broken = malformed_rows(parsed, schema)
+    if malformed == "error":
+        counts = broken.groupBy("file").agg(F.count("record").alias("n")).orderBy(F.desc("n"), "file").limit(20).collect()
+        if counts:
+            raise ValueError("broken rows: " + ", ".join(f"{r['file']} ({r['n']})" for r in counts))
+    else:
+        broken.write.mode("append").parquet(quarantine)
+    required = [f.name for f in schema.fields if not f.nullable]
+    return parsed.filter(F.col(BROKEN).isNull()).dropna(subset=required).select(*schema.fieldNames())
+
+
+def read_shop_tables(spark: SparkSession, location: str, fmt: str = "parquet", options: dict[str, str] | None = None, keys: str = "trust",
+                     source_zone: str = "UTC", malformed: str = "trust", quarantine: str | None = None, collation: str | None = None) -> ShopTables:
     """Read the five tables from ``location/<table name>`` in ``fmt``.
 
     ``fmt="table"`` reads catalog tables named ``<location>.<table name>``
     (``location`` is the database), ``fmt="jdbc"`` database tables (see
     ``jdbc_options``).  File formats get the fixed schema, so nothing is inferred
     by scanning.  ``keys``: see ``with_unique_keys``.  ``source_zone``: the zone
-    whose wall-clock times stored instants stand for.
+    whose wall-clock times stored instants stand for.  ``malformed`` (CSV and JSON): see
+    ``read_text_table``; broken rows of a table go to ``<quarantine>/<table name>``.
+    ``collation``: see ``conform``.
     """
     frames = {}
     for name, schema in SCHEMAS.items():
@@ -78,12 +126,12 @@ def read_shop_tables(spark: SparkSession, location: str, fmt: str = "parquet",
             df = spark.table(f"{location}.{name}")
         elif fmt == "jdbc":
             df = spark.read.format("jdbc").options(**jdbc_options(name, location, options or {})).load()
+        elif fmt in ("parquet", "orc"):
+            df = spark.read.format(fmt).options(**(options or {})).load(f"{location.rstrip('/')}/{name}")
         else:
-            reader = spark.read.format(fmt).options(**(options or {}))
-            if fmt != "parquet" and fmt != "orc":
-                reader = reader.schema(schema)
-            df = reader.load(f"{location.rstrip('/')}/{name}")
-        frames[name] = conform(df, schema, source_zone)
+            aside = f"{quarantine.rstrip('/')}/{name}" if quarantine else None
+            df = read_text_table(spark, f"{location.rstrip('/')}/{name}", fmt, schema, options or {}, malformed, aside)
+        frames[name] = conform(df, schema, source_zone, collation)
     return with_unique_keys(ShopTables(
         sessions=frames["website_sessions"],
         pageviews=frames["website_pageviews"],
@@ -116,6 +164,19 @@ def write_shop_tables(tables: ShopTables, location: str, mode: str = "errorifexi
          .parquet(f"{location.rstrip('/')}/{name}"))
 
 
+def write_periods(results: DataFrame, location: str, periods: Sequence[str], max_records_per_file: int = 20_000_000) -> None:
+    """Write a report's rows as Parquet below ``location``, one folder per period (``periods``: its columns).
+
+    Only the folders of the periods in ``results`` are replaced (dynamic partition overwrite), so a
+    rerun of one month leaves the files of all others untouched.  Each period's rows are dealt to
+    the tasks by period and a hash of the row, so a long period is several files.
+    """
+    rows = [c for c in results.columns if c not in periods]
+    spread = F.pmod(F.xxhash64(*rows) if rows else F.lit(0), F.lit(8))
+    (results.repartition(*periods, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", max_records_per_file).partitionBy(*periods).parquet(location))
+
+
 def tables_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> ShopTables:
     """The shop tables derived from ``<sf_dir>/events.parquet``.
 

@@ -7,10 +7,14 @@ to replace distinct counts with plain sums (see ``operators.traffic``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from funnelwise.sources.snapshots import fingerprint, snapshot
+
 TS = T.TimestampNTZType()
 MONEY = T.DecimalType(8, 2)
 
@@ -73,9 +77,9 @@ class ShopTables:
     """The five tables every analysis reads.
 
     ``scratch``: a folder (inside the shared checkpoint folder) where shared
-    intermediate results, the analysis' temporary tables, are written once
-    and read back by every statement that uses them; ``None`` builds them
-    inside each statement's own plan.
+    intermediate results, the analysis' temporary tables, are kept as snapshots
+    (see ``sources.snapshots``) and read by every statement that uses them;
+    ``None`` builds them inside each statement's own plan.
     """
 
     sessions: DataFrame
@@ -84,6 +88,18 @@ class ShopTables:
     order_items: DataFrame
     refunds: DataFrame
     scratch: str | None = None
+    _copies: dict[str, DataFrame] = field(default_factory=dict, init=False, repr=False, compare=False)
+    _inputs: list[str] = field(default_factory=list, init=False, repr=False, compare=False)
+
+    def temporary_table(self, name: str, parameters: Sequence[object], build: Callable[[], DataFrame]) -> DataFrame:
+        """``build()``, as a snapshot in ``scratch`` if there is one; looked up once per tables object."""
+        if self.scratch is None:
+            return build()
+        if name not in self._copies:
+            if not self._inputs:
+                self._inputs.append(fingerprint(self.as_dict()) or uuid.uuid4().hex)
+            self._copies[name] = snapshot(self.sessions.sparkSession, self.scratch, name, parameters, self._inputs[0], build)
+        return self._copies[name]
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {
@@ -106,15 +122,28 @@ def wall_clock(c: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
-def conform(df: DataFrame, schema: T.StructType, source_zone: str = "UTC") -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType, source_zone: str = "UTC", collation: str | None = None) -> DataFrame:
     """Select and cast the schema's columns in order (extra columns dropped).
 
-    Instants (TIMESTAMP columns) become wall-clock times in ``source_zone``.
+    Instants (TIMESTAMP columns) become wall-clock times in ``source_zone``.  With a
+    ``collation`` (``UTF8_LCASE`` is what a case-insensitive MySQL column does) text columns compare, group,
+    join and match IN lists under it; by default they compare byte by byte.
     """
     kinds = dict(df.dtypes)
-    return df.select([
-        (wall_clock(F.col(f.name), source_zone) if f.dataType == T.TimestampNTZType() and kinds.get(f.name) == "timestamp"
-         else F.col(f.name).cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+    def one(f: T.StructField) -> Column:
+        if f.dataType == T.TimestampNTZType() and kinds.get(f.name) == "timestamp":
+            return wall_clock(F.col(f.name), source_zone)
+        out = F.col(f.name).cast(f.dataType)
+        return F.collate(out, collation) if collation and f.dataType == T.StringType() else out
+
+    return df.select([one(f).alias(f.name) for f in schema.fields])
+
+
+def collated(tables: ShopTables, collation: str) -> ShopTables:
+    """The tables with text columns under ``collation``."""
+    frames = [conform(df, SCHEMAS[name], collation=collation) for name, df in tables.as_dict().items()]
+    return ShopTables(*frames, scratch=None)
 
 
 def check_keys(tables: ShopTables) -> dict[str, int]:

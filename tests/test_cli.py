@@ -4,11 +4,12 @@ import os
 import tempfile
 
 from funnelwise.__main__ import main
+from funnelwise.plans.queries import STATEMENTS
 
 
 def test_list(capsys):
     assert main(["--list"]) == 0
-    assert len(capsys.readouterr().out.split()) == 66
+    assert len(capsys.readouterr().out.split()) == len(STATEMENTS)
 
 
 def test_run_two_statements(spark):
@@ -25,7 +26,6 @@ def test_shared_intermediates_give_the_same_results(spark):
     import duckdb
 
     import __spark_entry__ as E
-    from funnelwise.plans.queries import STATEMENTS
     from funnelwise.sources.loader import tables_for
     from tests.shopgen import multiset
     sf = "/root/testdata/sf0.01"
