@@ -1,10 +1,13 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 The documents are cut into shards of a bounded number of words.  Each shard
-gets a word-level suffix array (prefix doubling); every suffix of every test
-item is looked up in it by binary search, which yields the run of training
-suffixes that begin with the item's window, and with it all locations; each
-match is then extended to its longest verbatim length.
+gets a word-level suffix array (prefix doubling).  The suffixes of all test items are
+sorted, too, so that those with equal windows stand together; each distinct window
+is looked up once by binary search, which yields the run of training
+suffixes that begin with it, and with it all locations.  A location is then looked up
+among the sorted item suffixes of its window: the longest verbatim match is with a
+neighbour of its place there.  So a prompt that many items share and many
+documents hold costs locations plus items, not their product.
 
 Words that no test item uses can't be part of a match: they act as
 separators, and stretches between them that are shorter than the shortest
@@ -28,14 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from funnelwise.llm.common import alnum_words, ids_and_texts, schema_of, staged, texts_of
+from funnelwise.llm.common import alnum_words, ids_and_texts, schema_of, staged, texts_of, unused
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
 BLOCK_BYTES = 8_000_000
 
-_STATE = "_sa_n_words bigint, _sa_n_hit bigint, _sa_bits binary, _sa_items array<string>, _sa_longest int, _sa_item string, _sa_at int"
-_COLUMNS = [f.split()[0] for f in _STATE.split(", ")]
+_STATE = [("n_words", "bigint"), ("n_hit", "bigint"), ("hit_bits", "binary"), ("item_ids", "array<string>"), ("longest_words", "int"),
+          ("longest_item", "string"), ("longest_at", "int")]
 
 
 class Items:
@@ -58,9 +61,27 @@ class Items:
                 owner.append(k)
                 windows.append(size)
             at += len(codes) + 1  # a zero ends each item
-        self.starts, self.owner, self.windows = (np.array(x, np.int64) for x in (starts, owner, windows))
-        self.shortest = int(self.windows.min()) if starts else 0
-        self.widest = int(self.windows.max()) if starts else 0
+        starts, owner, windows = (np.array(x, np.int64) for x in (starts, owner, windows))
+        self.shortest = int(windows.min()) if len(windows) else 0
+        self.widest = int(windows.max()) if len(windows) else 0
+        # suffixes by window size, then in order of their words: equal windows are neighbours
+        rank = np.empty(len(self.words), np.int64)
+        rank[suffix_array(self.words, self.depth)] = np.arange(len(self.words))
+        order = np.lexsort((rank[starts], windows))
+        self.starts, self.owner, sizes = starts[order], owner[order], windows[order]
+        new = np.ones(len(order), bool)
+        new[1:] = sizes[1:] != sizes[:-1]
+        for j in range(self.widest):
+            new[1:] |= (sizes[1:] > j) & (self.words[self.starts[1:] + j] != self.words[self.starts[:-1] + j])
+        #: Of each distinct window: its suffixes (a run of ``starts``), its size, and the items that hold it.
+        self.begin = np.flatnonzero(new)
+        self.end = np.append(self.begin[1:], len(order))
+        self.windows = sizes[self.begin]
+        names = sorted({i for i in self.ids if i is not None})
+        place = {n: k for k, n in enumerate(names)}
+        named = np.array([place.get(i, -1) for i in self.ids], np.int64)[self.owner] if len(order) else np.empty(0, np.int64)
+        self.names = np.array(names, object)  # item ids in order; ``holders`` are places in it
+        self.holders = [np.unique(named[x:y][named[x:y] >= 0]) for x, y in zip(self.begin, self.end)]
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -80,17 +101,18 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
 
 
 def search(words: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """For each item suffix the range of training suffixes that begin with its window
+    """For each distinct window the range of training suffixes that begin with it
     (``words`` must be followed by ``items.widest`` zeros)."""
     bounds = []
     for upper in (False, True):
-        lo, hi = np.zeros(len(items.starts), np.int64), np.full(len(items.starts), len(order), np.int64)
+        first = items.starts[items.begin]
+        lo, hi = np.zeros(len(first), np.int64), np.full(len(first), len(order), np.int64)
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
                 break
             mid = (lo[open_] + hi[open_]) // 2
-            at, q, size = order[mid], items.starts[open_], items.windows[open_]
+            at, q, size = order[mid], first[open_], items.windows[open_]
             sign = np.zeros(len(open_), np.int8)  # of training suffix - item suffix
             left = np.arange(len(open_))
             for j in range(items.widest):
@@ -107,8 +129,34 @@ def search(words: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarr
     return bounds[0], bounds[1]
 
 
-def match_shard(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All matches in a shard's words (zeros separate): position, item suffix, longest length."""
+def _common(words: np.ndarray, at: np.ndarray, items: Items, suffix: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """How many words training positions and item suffixes share, of which ``least`` are known."""
+    length = least.copy()
+    grow = np.arange(len(at))
+    while len(grow):
+        w = words[at[grow] + length[grow]]
+        grow = grow[(w != 0) & (w == items.words[items.starts[suffix[grow]] + length[grow]])]
+        length[grow] += 1
+    return length
+
+
+def _longest(words: np.ndarray, at: np.ndarray, window: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Of each location of a window: the longest verbatim match and an item suffix that has it."""
+    least = items.windows[window]
+    lo, hi = items.begin[window].copy(), items.end[window].copy()
+    while len(open_ := np.flatnonzero(lo < hi)):
+        mid = (lo[open_] + hi[open_]) // 2
+        shared = _common(words, at[open_], items, mid, least[open_])
+        below = items.words[items.starts[mid] + shared] < words[at[open_] + shared]
+        lo[open_[below]] = mid[below] + 1
+        hi[open_[~below]] = mid[~below]
+    before, after = np.maximum(lo - 1, items.begin[window]), np.minimum(lo, items.end[window] - 1)
+    x, y = _common(words, at, items, before, least), _common(words, at, items, after, least)
+    return np.maximum(x, y), np.where(x >= y, before, after)
+
+
+def match_shard(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All locations of windows in a shard's words (zeros separate): position, window, longest match, its item suffix."""
     none = np.empty(0, np.int64)
     known = np.concatenate([[0], (codes != 0).astype(np.int8), [0]])
     edge = np.flatnonzero(np.diff(known))
@@ -116,7 +164,7 @@ def match_shard(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray
     long = end - begin >= items.shortest
     begin, end = begin[long], end[long]
     if not len(begin) or not len(items.starts):
-        return none, none, none
+        return none, none, none, none
     size = end - begin
     out = np.cumsum(size + 1) - (size + 1)  # a zero after each run
     place = np.full(int((size + 1).sum()), -1, np.int64)
@@ -127,15 +175,10 @@ def match_shard(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray
     words = np.concatenate([words, np.zeros(items.depth + 1, np.int32)])
     lo, hi = search(words, order, items)
     many = hi - lo
-    suffix = np.repeat(np.arange(len(lo)), many)
+    window = np.repeat(np.arange(len(lo)), many)
     at = order[np.repeat(lo, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
-    length = items.windows[suffix].copy()
-    grow = np.arange(len(at))
-    while len(grow):  # extend to the longest verbatim match
-        w = words[at[grow] + length[grow]]
-        grow = grow[(w != 0) & (w == items.words[items.starts[suffix[grow]] + length[grow]])]
-        length[grow] += 1
-    return place[at], suffix, length
+    length, suffix = _longest(words, at, window, items)
+    return place[at], window, length, suffix
 
 
 def _judge(shard: list[list[int]], items: Items, before: list[tuple | None]) -> list[tuple]:
@@ -145,16 +188,16 @@ def _judge(shard: list[list[int]], items: Items, before: list[tuple | None]) ->
     codes = np.zeros(int((sizes + 1).sum()), np.int32)
     for d, f in zip(shard, first):
         codes[f:f + len(d)] = d
-    at, suffix, length = match_shard(codes, items)
+    at, window, length, suffix = match_shard(codes, items)
     cover = np.zeros(len(codes) + 1, np.int64)
     if len(at):
         np.add.at(cover, at, 1)
-        np.add.at(cover, at + items.windows[suffix], -1)
+        np.add.at(cover, at + items.windows[window], -1)
     hit = np.cumsum(cover[:-1]) > 0
     doc = np.searchsorted(first, at, "right") - 1
     by_doc = np.argsort(doc, kind="stable")
     cut = np.searchsorted(doc[by_doc], np.arange(len(shard) + 1))
-    out = []
+    out, listed = [], {}  # item ids of a set of windows, which many documents may hold
     for k, size in enumerate(sizes):
         old = before[k]
         mine = by_doc[cut[k]:cut[k + 1]]
@@ -162,14 +205,17 @@ def _judge(shard: list[list[int]], items: Items, before: list[tuple | None]) ->
             out.append(old or (int(size), 0, None, [], 0, None, None))
             continue
         bits = hit[first[k]:first[k] + size]
-        found = {items.ids[i] for i in np.unique(items.owner[suffix[mine]])} - {None}
+        held = np.unique(window[mine])
+        if (key := held.tobytes()) not in listed:
+            listed[key] = items.names[np.unique(np.concatenate([items.holders[w] for w in held]))].tolist()
+        found = listed[key]
         best = mine[np.lexsort((at[mine], -length[mine]))[0]]
         longest = (int(length[best]), items.ids[items.owner[suffix[best]]], int(at[best] - first[k]))
         if old and old[2] is not None:
             bits = bits | np.unpackbits(np.frombuffer(old[2], np.uint8), count=int(size)).astype(bool)
-            found |= set(old[3])
+            found = sorted(set(found).union(old[3]))
             longest = max(longest, old[4:], key=lambda x: x[0])
-        out.append((int(size), int(bits.sum()), np.packbits(bits).tobytes(), sorted(found), *longest))
+        out.append((int(size), int(bits.sum()), np.packbits(bits).tobytes(), found, *longest))
     return out
 
 
@@ -188,30 +234,31 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | Non
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS,
          block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with the match state of each row in ``_sa_*`` columns: words, words hit,
+    """``docs`` and seven last columns with the match state of each row: words, words hit,
     bit set of hit words, matched item ids, and the longest verbatim match (length, item, word)."""
     spark = docs.sparkSession
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [_STATE])
+    state = [(unused(docs, n), k) for n, k in _STATE]
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{n}` {k}" for n, k in state])
     arrow = schema_of(spark, ddl)
     blocks = _blocks(benchmark, block_bytes)
     df, rows, again = docs, next(blocks, []), False
     while True:
         held = spark.sparkContext.broadcast(rows)  # at most block_bytes of text, or one item
-        df = df.mapInArrow(_pass(held, window, shard_words, docs.columns, arrow, again), ddl)
+        df = df.mapInArrow(_pass(held, window, shard_words, docs.columns, [n for n, _ in state], arrow, again), ddl)
         rows, again = next(blocks, None), True
         if rows is None:
             return df
         df = staged(df, "decontaminate")
 
 
-def _pass(held, window: int, shard_words: int, names: list[str], arrow: pa.Schema, again: bool):
+def _pass(held, window: int, shard_words: int, names: list[str], added: list[str], arrow: pa.Schema, again: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(held.value, window)
         number = items.vocabulary.get
         for batch in batches:
             shard, before, start, size = [], [], 0, 0
             texts = texts_of(batch)
-            old = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _COLUMNS))) if again else [None] * len(texts)
+            old = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in added))) if again else [None] * len(texts)
             for k, text in enumerate(texts):
                 shard.append([number(w, 0) for w in alnum_words(text)])
                 before.append(old[k])
@@ -220,7 +267,7 @@ def _pass(held, window: int, shard_words: int, names: list[str], arrow: pa.Schem
                     state = list(zip(*_judge(shard, items, before)))
                     part = batch.slice(start, k + 1 - start)
                     columns = [part.column(part.schema.get_field_index(c)) for c in names]
-                    columns += [pa.array(s, type=arrow.field(c).type) for c, s in zip(_COLUMNS, state)]
+                    columns += [pa.array(s, type=arrow.field(c).type) for c, s in zip(added, state)]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow)], schema=arrow)
                     shard, before, start, size = [], [], k + 1, 0
 
@@ -230,14 +277,12 @@ def _pass(held, window: int, shard_words: int, names: list[str], arrow: pa.Schem
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, item_ids, and the longest verbatim
     match (longest_words, longest_item, longest_at: first word, from 0)."""
-    found = scan(ids_and_texts(docs), benchmark, window, **sizes)
-    return found.select("doc_id", F.col("_sa_n_words").alias("n_words"), F.col("_sa_n_hit").alias("n_hit"), F.col("_sa_items").alias("item_ids"),
-                        F.col("_sa_longest").alias("longest_words"), F.col("_sa_item").alias("longest_item"), F.col("_sa_at").alias("longest_at"))
+    return scan(ids_and_texts(docs), benchmark, window, **sizes).drop("text", "hit_bits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
     """``docs`` without the rows that hold a window of a test item; all columns kept."""
-    return scan(docs, benchmark, window, **sizes).filter("_sa_n_hit = 0").select(*docs.columns)
+    return scan(docs, benchmark, window, **sizes).filter(F.col(unused(docs, "n_hit")) == 0).select(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -77,3 +77,49 @@ def test_suffix_array_is_sorted():
     assert sorted(order) == list(range(300))
     suffixes = [words[i:].tolist() for i in order]
     assert suffixes == sorted(suffixes)
+
+
+def test_a_prompt_of_all_items_in_many_documents():
+    # one shared 10-word prompt: the work is locations plus items, not their product
+    import time
+    import tracemalloc
+    prompt = [f"p{i}".encode() for i in range(10)]
+    rows = [(str(i), prompt + [f"q{i}".encode(), f"r{i % 7}".encode()]) for i in range(3_000)]
+    items = D.Items(rows, 10)
+    texts = [prompt + [f"q{i}".encode(), b"zz"] for i in range(3_000)]
+    shard = [[items.vocabulary.get(w, 0) for w in t] for t in texts]
+    tracemalloc.start()
+    began = time.process_time()
+    out = D._judge(shard, items, [None] * len(shard))
+    took, most = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 5 and most < 200e6
+    assert all(o[0] == 12 and o[1] == 11 and len(o[3]) == 3_000 and o[4] == 11 and o[5] == str(i) and o[6] == 0 for i, o in enumerate(out))
+
+
+def test_longest_match_against_all_suffixes():
+    rng = random.Random(12)
+    items = D.Items([(str(k), [rng.choice("abc").encode() for _ in range(rng.randint(2, 30))]) for k in range(25)], 4)
+    text = [rng.choice("abc").encode() for _ in range(300)]
+    codes = np.array([items.vocabulary[w] for w in text] + [0], np.int32)
+    best = {}
+    for s, size in zip(items.starts, np.repeat(items.windows, items.end - items.begin)):
+        for i in range(len(text)):
+            n = 0
+            while codes[i + n] and codes[i + n] == items.words[s + n]:
+                n += 1
+            if n >= size:
+                best[i, int(size)] = max(best.get((i, int(size)), 0), n)
+    at, window, length, suffix = D.match_shard(codes, items)
+    assert {(int(a), int(items.windows[w])): int(n) for a, w, n in zip(at, window, length)} == best
+    for a, n, s in zip(at, length, suffix):
+        assert codes[a:a + n].tolist() == items.words[items.starts[s]:items.starts[s] + n].tolist()
+
+
+def test_state_columns_keep_clear_of_the_tables_own(spark, case):
+    rows, items = case
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = docs_frame(spark, rows).selectExpr("*", "7 as n_hit", "'x' as item_ids", "3 as HIT_BITS")
+    kept = D.decontaminate(docs, bench, block_bytes=60)
+    assert kept.columns == docs.columns and {r.n_hit for r in kept.collect()} == {7}
+    assert kept.count() == sum(not w[-1] for w in brute(rows, items))
