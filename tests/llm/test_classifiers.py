@@ -132,3 +132,69 @@ def test_misspelled_terms_of_four_letters_in_the_given_alphabet():
         near = [w for t, w in terms.items() if len(t) >= 4 and distance(t, word) <= 1]
         hit = lexicon.look_up(word.encode())
         assert hit == ((0, terms[word]) if word in terms else hit and (hit[0], max(near))) and (hit is not None) == (word in terms or bool(near))
+
+
+def swap_distance(a, b):
+    """Edit distance in which two swapped neighbours are one edit."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a):
+        row = [i + 1]
+        for j, y in enumerate(b):
+            step = min(row[j] + 1, rows[i][j + 1] + 1, rows[i][j] + (x != y))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                step = min(step, rows[i - 1][j - 1] + 1)
+            row.append(step)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def test_swapped_neighbours_and_digits():
+    rng = random.Random(21)
+    terms = {"".join(rng.choice("abcé") for _ in range(rng.randint(4, 8))): rng.random() + 2 for _ in range(40)}
+    lexicon = T.Lexicon({t.encode(): w for t, w in terms.items()}, frozenset([b"abcab"]), loose=True)
+    for _ in range(3000):
+        word = "".join(rng.choice("abcé") for _ in range(rng.randint(3, 9)))
+        near = [w for t, w in terms.items() if swap_distance(t, word) <= 1]
+        hit = lexicon.look_up(word.encode())
+        if word in terms:
+            assert hit == (0, terms[word])
+        elif word == "abcab":
+            assert hit is None
+        else:
+            assert (hit and hit[1]) == (max(near) if near else None), word
+    insults = T.Lexicon({b"idiot": 5.0, b"loser": 4.0}, loose=True)
+    assert [insults.look_up(w) for w in (b"idoit", b"1d10t", b"l0s3r", b"1053r")] == [(2, 5.0), (2, 5.0), (2, 4.0), (2, 4.0)]
+    assert insults.look_up(b"10") is None and insults.look_up(b"") is None
+
+
+def test_bounded_logistic():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.ones((400, 1)), rng.normal(size=(400, 3))], axis=1)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [0.3, 2, -1.5, 0])))).astype(float)
+    free = T.logistic(x, y)
+    p = 1 / (1 + np.exp(-x @ free))
+    assert np.allclose(x.T @ (p - y) + np.array([1e-6, 1, 1, 1]) * free, 0, atol=1e-4)
+    held = T.logistic(x, y, low=np.array([-np.inf, 0, 0, 0]))
+    assert held[2] == 0 and held[1] > 0
+    grad = x.T @ (1 / (1 + np.exp(-x @ held)) - y) + np.array([1e-6, 1, 1, 1]) * held
+    assert grad[2] > 0 and abs(grad[[0, 1]]).max() < 1e-3
+    assert np.allclose(T.logistic(x, y, np.full(400, 2.0), ridge=2.0), free, atol=1e-3)
+
+
+def test_misspelled_insults_raise_a_score_and_quoted_ones_lower_it(spark):
+    spark_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = T.train(spark_docs, labels)
+    lexicon = T.Lexicon(model.weights, model.ordinary, loose=True)
+
+    def score(text):
+        return 1 / (1 + np.exp(-np.dot(T.inputs(text.encode(), lexicon), model.coefficients)))
+
+    prose = "the weather was fine and they went out to see the old town with friends "
+    for around in ("", prose):
+        clean = score(around + "you are a friend and a helper " + around)
+        exact = score(around + "you are an idiot and a moron " + around)
+        for text in ("you are an id1ot and a mor0n ", "you are an idoit and a morno ", "you are an ídiot and a moroon "):
+            assert clean < score(around + text + around) <= exact, text
+        quoted = score(around + 'they "you are an idiot and a moron" ' + around)
+        assert quoted < score(around + "you are an id1ot and a mor0n " + around) and quoted < exact
