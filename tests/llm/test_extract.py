@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from funnelwise.llm import extract as X
 
@@ -44,9 +45,56 @@ def test_names_of_boilerplate():
     assert X.main_text(f"<table><tr><td class=menu>{long}</td><td><p>{long}</p><p>end.</p></td></tr></table>") == f"{long} end."
 
 
-def test_core_between_surge_and_dive():
-    assert X.core([5, 0, 0, 0, 100, 3, 80, 0, 0, 0, 70, 0]) == (4, 6)
-    assert X.core([1, 2, 9]) == (2, 2)
+LONG = "This paragraph is long enough to be a surge of text in the middle of the page, whatever else stands around it."
+
+
+def test_stretches_between_surge_and_dive():
+    open_ = [False] * 12
+    assert X.stretches([5, 0, 0, 0, 100, 3, 80, 0, 0, 0, 70, 0], open_) == [(4, 6), (10, 10)]
+    assert X.stretches([1, 2, 9], open_[:3]) == []
+    assert X.stretches([100, 90, 100], [False, True, False]) == [(0, 0), (2, 2)]
+    assert X.stretches([40, 90, 40], [False, True, False]) == [] == X.stretches([], [])
+
+
+def test_stretches_decide_without_article_elements(spark):
+    """The same pages with plain div elements: the lengths alone find every article, and other lines than theirs don't."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    plain = [re.sub(r"<(/?)article>", r"<\1div>", p) for p in pages]
+    assert pages != plain and [X.main_text(p) for p in plain] == [X.main_text(p) for p in pages]
+    lines = [X.parse(p) for p in plain]
+    everything = [" ".join(l.texts) for l in lines]
+    assert all(X.main_text(p) != t for p, t in zip(plain, everything))
+
+
+def test_no_text_of_the_article_is_lost():
+    two = f"<body><div class=ad>{LONG}</div><article><p>{LONG} one</p></article><article><p>{LONG} two</p></article><footer>{LONG}</footer></body>"
+    assert X.main_text(two) == f"{LONG} one {LONG} two"
+    assert X.main_text(f"<main>{two}</main>") == f"{LONG} one {LONG} two"
+    links = "<p><a href=x>a link</a></p>" * 4
+    for gap, text in (("", ""), (links, " a link a link a link a link")):
+        content = f"<div class=content><div class=text><p>{LONG}</p><p>{LONG} more</p></div>{gap}<div class=text><p>{LONG} end</p></div></div>"
+        assert X.main_text(f"<nav>x</nav>{content}<footer>y</footer>") == f"{LONG} {LONG} more{text} {LONG} end"
+        body = f"<body><nav>x</nav><h1>Title</h1><p>{LONG}</p>{gap}<p>{LONG} end</p><footer>{LONG}</footer></body>"
+        assert X.main_text(body) == f"Title {LONG}{text} {LONG} end"
+    for name in ("social-history", "alert-systems", "related-work", "search-engines-compared", "has-sidebar"):
+        assert X.main_text(f"<article><p>{LONG}</p><section id={name}><p>{LONG} more</p></section></article>") == f"{LONG} {LONG} more"
+    for name in ("social-share", "related-posts", "cookie-notice", "comments", "newsletter_signup-box", "reader-comments"):
+        assert X.main_text(f"<article><p>{LONG}</p><section id={name}><p>{LONG} more</p></section><p>end</p></article>") == f"{LONG} end"
+
+
+def test_articles_in_barriers():
+    teaser = f"<aside><article>{LONG} teaser</article></aside>"
+    assert X.main_text(f"<article>{LONG}</article>{teaser}") == LONG
+    assert X.main_text(f"<div class='modal'><article>{LONG}</article></div><div>other {LONG}</div>") == LONG
+    assert X.main_text(f"<div class=ad>x<article>{LONG}</article><footer>y</footer>") == LONG
+    assert X.main_text(f"<article>{LONG}<article class=comment>{LONG} I think</article></article>") == LONG
+
+
+def test_deep_markup_takes_linear_time():
+    for page in ("<div>x" * 20_000, "<b>y " * 20_000, "<article><p>a" * 10_000, "<div class=ad>x" * 10_000, "<a href=x>z" * 10_000, "<div class=ad><article>x" * 5_000):
+        start = time.process_time()
+        X.main_text(page)
+        assert time.process_time() - start < 3
 
 
 def test_edge_pages(spark):
