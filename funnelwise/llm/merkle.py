@@ -10,13 +10,16 @@ mean equal texts; where roots differ, descending into differing branches
 likeness of two texts.
 
 The string holds the whole tree: ``root/section:paragraph=segments;...``, with
-8 hex digits per section and paragraph and 6 per segment.
+8 hex digits per section, paragraph and segment (of two texts with 100,000
+segments each, two or three agree by chance).
 
-Next documents: rows are cut into ranges of doc_id at quantiles; the first row
-of each range is also sent to the range before it (the very first to the last),
-so every range knows its rows' next documents, in one shuffle and without a
-global window.  Rows with one id follow each other by the hash of their text;
-null ids come last.
+Next documents: rows are cut into ranges of (doc_id, hash of the text) at
+quantiles of doc_id, an id that holds several quantiles (null too) also by hash;
+the first row of each range is also sent to the range before it (the very first
+to the last), so every range knows its rows' next documents, in one shuffle and
+without a global window.  Rows with one id follow each other by the hash of
+their text; null ids come last.  A range is sorted by Spark and streamed, so
+memory doesn't grow with it; rows equal in id and text stay in one range.
 
 Defined results: null texts count as empty; the empty text has the fingerprint
 of a tree without sections; a single row is its own next document; repeated
@@ -40,7 +43,7 @@ from funnelwise.llm.common import ids_and_texts, mix64, schema_of
 SEGMENT_WORDS = 4
 #: Bytes at the beginning of a text that are cut twice as finely.
 FINE = 256
-DIGITS = 5
+DIGITS = 8
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 13, 32]] = True
 
@@ -73,7 +76,7 @@ def fingerprint(text: str) -> str:
             before += len(paragraph) + 1
             digest = xxhash.xxh3_128_digest(b"p" + b"".join(hashes))
             below.append(digest)
-            paragraphs.append(digest[:4].hex() + "=" + "".join([h[:3].hex()[:DIGITS] for h in hashes]))
+            paragraphs.append(digest[:4].hex() + "=" + "".join([h[:DIGITS // 2].hex() for h in hashes]))
         digest = xxhash.xxh3_128_digest(b"s" + b"".join(below))
         digests.append(digest)
         sections.append(digest[:4].hex() + ":" + ";".join(paragraphs))
@@ -114,29 +117,45 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - third] + following[:third]
 
 
+def _even_cuts(parts: int) -> np.ndarray:
+    """Upper bounds of ``parts`` equal parts of the 64-bit integers."""
+    return np.array([(i << 64) // parts - (1 << 63) - 1 for i in range(1, parts + 1)], np.int64)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(range_no, extra, doc_id, text), partitioned by range and sorted so that each row is
     followed by its next document; ``extra`` rows only end a range."""
     spark = docs.sparkSession
     rows = ids_and_texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
     ranges = max(1, min(10_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
-        F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
+    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
+        F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges), F.count("doc_id"), F.count(F.lit(1))).first()
+    unnamed = whole[2] - whole[1]
+    cuts = np.array(whole[0] or [], np.int64)
+    ids, copies = np.unique(cuts, return_counts=True)
+    cut_ids = np.repeat(ids, copies)  # an id with several quantiles is cut by hash as often
+    cut_keys = np.concatenate([_even_cuts(n) for n in copies.tolist()] or [cuts])
+    null_keys = _even_cuts(max(1, round(ranges * unnamed / max(whole[1], 1)) if unnamed < whole[1] else ranges))[:-1]
 
     @F.pandas_udf("int")
-    def range_no(ids: pd.Series) -> pd.Series:
-        filled = ids.fillna(0).astype("int64") if ids.dtype != "int64" else ids
-        down = len(cuts) - np.searchsorted(cuts, filled.to_numpy(), "left")
-        return pd.Series(np.where(ids.isna(), len(cuts) + 1, down).astype("int32"))
-
-    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("range_no", range_no("doc_id"))
+    def range_no(ids: pd.Series, keys: pd.Series) -> pd.Series:
+        unnamed, keys = ids.isna().to_numpy(), keys.to_numpy(np.int64)
+        known = (ids.fillna(0).astype("int64") if ids.dtype != "int64" else ids).to_numpy()
+        at, end = np.searchsorted(cut_ids, known, "left"), np.searchsorted(cut_ids, known, "right")
+        for i in np.unique(at[end - at > 1]).tolist():  # ids with cuts of their own
+            rows = np.flatnonzero((at == i) & (end - at > 1))
+            at[rows] += np.searchsorted(cut_keys[i:end[rows[0]]], keys[rows], "left")
+        at = len(cut_ids) - at
+        at[unnamed] = len(cut_ids) + 1 + len(null_keys) - np.searchsorted(null_keys, keys[unnamed], "left")
+        return pd.Series(at.astype("int32"))
+
+    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("range_no", range_no("doc_id", "text_key"))
     order = F.struct(F.col("doc_id"), F.col("text_key"))
     heads = sorted((r[0], r[1]["doc_id"], r[1]["text_key"]) for r in rows.groupBy("range_no").agg(F.max(order)).collect())  # one small row a range
     if not heads:
         return rows.select("range_no", F.lit(False).alias("extra"), "doc_id", "text")
     ends = spark.createDataFrame([(heads[i - 1][0], *heads[i]) for i in range(len(heads))], "to_range int, range_no int, head_id bigint, head_key bigint")
-    rows = rows.join(F.broadcast(ends), "range_no", "left")  # at most 10,001 rows
+    rows = rows.join(F.broadcast(ends), "range_no", "left")  # at most 20,001 rows
     own = F.struct("range_no", F.lit(False).alias("extra"))
     is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_key") == F.col("head_key"))
     rows = rows.withColumn("place", F.explode(F.when(is_head, F.array(own, F.struct(F.col("to_range").alias("range_no"), F.lit(True).alias("extra")))).otherwise(F.array(own))))

@@ -1,5 +1,8 @@
 import hashlib
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from funnelwise.llm import merkle as M
 from tests.llm.helpers import docs_frame, edge_rows
@@ -32,6 +35,29 @@ def test_repeated_ids_null_ids_one_row_and_none(spark):
     assert len(same) == 2 and same[0] == same[1]
 
 
+def test_ranges_of_null_and_repeated_ids(spark):
+    """Half of all rows have a null id, a quarter one id: they are spread over ranges, in order."""
+    rows = [(None, f"null {i}") for i in range(2000)] + [(7, f"seven {i}") for i in range(1000)] + [(i, f"text {i}") for i in range(1000)]
+    docs = docs_frame(spark, rows)
+    placed = [r for r in M.with_next(docs).collect() if not r.extra]
+    assert len(placed) == len(rows)
+    sizes = Counter(r.range_no for r in placed)
+    assert max(sizes.values()) < 400
+    first, last = {}, {}
+    for r in placed:
+        first[r.range_no] = min(first.get(r.range_no, (2, 0)), (r.doc_id is None, -(r.doc_id or 0)))
+        last[r.range_no] = max(last.get(r.range_no, (-1, 0)), (r.doc_id is None, -(r.doc_id or 0)))
+    order = sorted(sizes)
+    assert all(last[a] <= first[b] for a, b in zip(order, order[1:]))
+    keys = {r.text: r.k for r in docs.select("text", F.xxhash64("text").alias("k")).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -keys[r[1]]))
+    texts = [t for _, t in want]
+    following = dict(zip(texts, texts[1:] + texts[:1]))
+    got = M.fingerprints(docs).collect()
+    hashes = Counter(hashlib.sha256(M.edited(t, following[t]).encode()).hexdigest() for t in texts)
+    assert Counter(r.edited_sha256 for r in got) == hashes
+
+
 def test_equality_likeness_and_location():
     rng = random.Random(1)
     words = lambda n: " ".join(f"u{rng.randrange(10_000)}" for _ in range(n))
@@ -47,6 +73,7 @@ def test_equality_likeness_and_location():
     assert len(places) == 1
     section, paragraph = places[0]
     assert "edited" in new.split("\n\n")[section].split("\n")[paragraph]
+    assert M.likeness(M.fingerprint(words(20_000)), M.fingerprint(text.join("ab"))) < 0.0005
     for x, y in (("", " "), ("a", "a\n"), ("a\n\nb", "a\n\n\nb"), ("a b", "a  b"), ("\n", "\n\n")):
         assert M.fingerprint(x)[:32] != M.fingerprint(y)[:32]
     assert M.likeness(M.fingerprint(""), M.fingerprint("")) == 1.0 and M.likeness(M.fingerprint(""), a) == 0.0
