@@ -3,7 +3,8 @@
 A document's length is its number of words and one end mark.  Documents longer
 than the largest capacity are cut into pieces of that capacity and a rest.
 Pieces are taken from the longest to the shortest; each goes to the open bin
-with the least room that still holds it (best fit).  If none does, a bin is
+with the least room that still holds it, of several to the one filled last (best
+fit).  If none does, a bin is
 opened in the capacity that the mix names for pieces of that class (class: the
 smallest capacity that holds the piece).  At the end each bin is downsized to
 the smallest permitted capacity that holds its contents.

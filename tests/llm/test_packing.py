@@ -42,12 +42,15 @@ def test_every_word_is_packed_once(spark):
 
 
 def plain(lengths, capacities, mix):
-    """Each piece goes to the fullest open bin that holds it; [capacity opened, content] of the bins."""
+    """Each piece goes to the open bin with the least room that holds it, of several to the one filled
+    last; [capacity opened, content] of the bins."""
     bins = []
     for n in sorted(lengths, reverse=True):
         fits = [b for b in bins if b[0] - b[1] >= n]
         if fits:
-            min(fits, key=lambda b: b[0] - b[1])[1] += n
+            best = min(reversed(fits), key=lambda b: b[0] - b[1])
+            bins = [b for b in bins if b is not best] + [best]
+            best[1] += n
         else:
             bins.append([mix[next(k for k, c in enumerate(capacities) if c >= n)], n])
     return bins
