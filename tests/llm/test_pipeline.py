@@ -12,14 +12,14 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     names = set(E.queries())
     assert {"pipeline", *QUERIES} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in P.STAGES] == ["quality_classifier", "toxicity", "minhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     cur = con.execute(ORACLE[name])
     columns = [d[0] for d in cur.description]
