@@ -23,14 +23,15 @@ How it runs (the tables are partitioned by key; nothing grows on the driver):
    a table; the commonest tokens and the counts of counts are read from it.
 2. Pairs of the ``DENSE`` commonest tokens (and contexts), which may hold large
    shares of all pairs, are counted in each task and summed.
-3. Each task numbers the documents of a batch and sends its remaining pairs to
-   key buckets: rare second tokens by token, common ones by pair, so that a bucket
-   holds every occurrence of its keys and no key holds many.  Common tokens after a
-   rare history go to the history's bucket.  A bucket counts the
-   pairs (and rare tokens) of training texts and answers each batch with the
-   counts of its pairs; it also adds up what the contexts' seen pairs hold, and sends
+3. Each task numbers the documents of a batch, adds up what their common pairs give, and
+   sends its remaining distinct pairs, counted, to key buckets: rare second tokens by
+   token, common ones by pair, common tokens after a rare history by history.  A pair
+   that a third of all documents repeat is one row a batch, not one an occurrence.
+   A bucket sums the counts of its pairs (and rare tokens) in training texts and
+   answers each batch once per pair; which documents hold a pair
+   stays with the batch.  The bucket also adds up what the contexts' seen pairs hold, and sends
    the seen pairs of rare histories that held-out texts hold to the history's bucket.
-4. Batches add up the answers per document; with the common contexts' weights,
+4. Batches add up the answers per document, and Spark the contexts' sums per context; with the common contexts' weights,
    a table of fixed size, each document's score follows but for unseen pairs
    of rare histories: their weights are asked for by history and added last.
    As every rare token of a document is followed by one token there, c(h) + 1 of all
@@ -51,7 +52,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from funnelwise.llm.common import Shipped, crc_mod, ids_and_texts, space_words, staged, texts_of
+from funnelwise.llm.common import Shipped, crc_mod, ids_and_texts, mix64, space_words, staged, texts_of
 
 CUT = 5
 CONTEXTS = 65_534
@@ -60,7 +61,7 @@ BATCH_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
 FLUSH_TOKENS = 2_000_000
 MASK = (1 << 62) - 1
-HISTORIES = -1_000  # targets from here down are buckets of rare histories
+HISTORIES = -1 << 40  # targets from here down are buckets of rare histories
 END = -1  # the end mark's code before codes are ranks; no word hash is negative
 
 
@@ -209,6 +210,11 @@ class Batcher:
         return [r[1] for r in rows], sum(not r[0] for r in rows), np.repeat(np.arange(len(rows)), sizes), context, token, np.roll(token, 1)
 
 
+def parts_of(buckets: int) -> int:
+    """In how many groups the buckets' sums of contexts are added up (64 tables of fixed size each, or fewer)."""
+    return max(64, buckets // 64)
+
+
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
@@ -271,6 +277,16 @@ class Tally:
         asked = ~seen & ~c.rare(context)
         self.unseen.append((doc[asked], context[asked]))
 
+    def state(self) -> list[bytes]:
+        doc, context = (np.concatenate([u[k] for u in self.unseen]) if self.unseen else np.empty(0, np.int64) for k in (0, 1))
+        order = np.argsort(doc, kind="stable")
+        return [self.sums.tobytes(), steps(doc[order]), pack_ints(context[order])]
+
+    def restore(self, state: list[bytes]) -> None:
+        """Takes over what another tally of the same documents holds."""
+        self.sums += np.frombuffer(state[0]).reshape(self.sums.shape)
+        self.unseen.append((unsteps(state[1]), unpack_ints(state[2])))
+
     def rows(self) -> tuple[np.ndarray, list[bytes]]:
         doc, context = (np.concatenate([u[k] for u in self.unseen]) if self.unseen else np.empty(0, np.int64) for k in (0, 1))
         order = np.argsort(doc, kind="stable")
@@ -289,8 +305,22 @@ def context_sums(context: np.ndarray, pair: np.ndarray, single: np.ndarray, comm
     return used, out
 
 
+def key_runs(bucket: np.ndarray, rare: np.ndarray, token: np.ndarray, context: np.ndarray, history: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of a batch's tokens by bucket in which equal pairs stand together, common second
+    tokens first, and a mark where the next pair begins (a pair may begin twice if hashes collide)."""
+    bits = 62 - (2 * buckets).bit_length()
+    mixed = mix64((token * np.int64(0x1F123BB5) ^ history * np.int64(0x2545F491) ^ context).view(np.uint64))
+    order = np.argsort((bucket * 2 + rare) << bits | (mixed >> np.uint64(64 - bits)).astype(np.int64), kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for x in (token[order], context[order], history[order]):
+        new[1:] |= x[1:] != x[:-1]
+    return order, new
+
+
 def _send(held, dense_held, buckets: int):
-    """Batches -> requests to buckets, and one row of local sums per batch that passes through."""
+    """Batches -> requests to buckets, one row per distinct pair, and one row per batch that passes
+    through: sums of its common pairs, tokens of each document, and the documents of each pair."""
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -300,23 +330,29 @@ def _send(held, dense_held, buckets: int):
             batch_id, number = task << 32 | number, number + 1
             h = common.dense_context(context)
             inside = (h >= 0) & (token < common.dense)
-            out = [(batch_id % buckets, batch_id, len(ids), train, None, ids,
-                    _dense_block(doc[inside], context[inside], token[inside], h[inside], dense, common))]
+            own = Tally(len(ids), common)
+            t, h = token[inside], h[inside]
+            own.add(doc[inside], context[inside], dense[h * common.dense + t], common.counts[t])
+            sizes = np.bincount(doc, minlength=len(ids))
             doc, context, token, before = doc[~inside], context[~inside], token[~inside], before[~inside]
-            rare = common.rare(context)
+            history = np.where(common.rare(context), before, -1)
             mixed = (token * np.int64(0x1F123BB5) + context * np.int64(0x2545F491)) * np.int64(0x27D4EB2F165667C5 >> 1)
-            bucket = bucket_of(np.where(token < len(common.tokens), np.where(rare, before, mixed), token), buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rare = token >= len(common.tokens)
+            bucket = bucket_of(np.where(rare, token, np.where(history >= 0, history, mixed)), buckets)
+            order, new = key_runs(bucket, rare, token, context, history, buckets)
+            local = [*own.state(), pack_ints(sizes), pack_ints(doc[order]), np.packbits(new).tobytes()]
+            out = [(batch_id % buckets, batch_id, len(ids), train, None, ids, local)]
+            first = np.flatnonzero(new)
+            key = order[first]
+            learned = np.add.reduceat(doc[order] < train, first, dtype=np.int64) if len(first) else first
+            asked = np.diff(np.append(first, len(order))) > learned
+            bucket, token, context, history, rare = bucket[key], token[key], context[key], history[key], rare[key]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
-                pick = order[cut[b]:cut[b + 1]]
-                t = token[pick]
-                common_ = t < len(common.tokens)
-                pick = np.concatenate([pick[common_], pick[~common_]])
-                split = int(common_.sum())
-                t = token[pick]
-                blob = [steps(doc[pick[:split]]), pack_ints(t[:split]), steps(doc[pick[split:]]), pack_ints(t[split:] & MASK), pack_ints(context[pick]),
-                        pack_ints(before[pick][rare[pick]] & MASK)]
+                span = slice(cut[b], cut[b + 1])
+                t, r, h = token[span], rare[span], history[span]
+                blob = [pack_ints(t[~r]), pack_ints(t[r] & MASK), pack_ints(context[span]), pack_ints(h[h >= 0] & MASK), pack_ints(learned[span]),
+                        np.packbits(asked[span]).tobytes()]
                 out.append((int(b), batch_id, len(ids), train, blob, None, None))
             for i in range(0, len(out), 512):
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out[i:i + 512]), _SENT_TYPES)], names=_SENT)
@@ -327,17 +363,8 @@ def _send(held, dense_held, buckets: int):
 _SENT = ["bucket", "batch", "docs", "train", "request", "ids", "local"]
 _SENT_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary())]
 _SENT_DDL = "bucket int, batch bigint, docs int, train int, request array<binary>, ids array<bigint>, local array<binary>"
-_ANSWER_DDL = "target bigint, docs int, train int, answer array<binary>, ids array<bigint>, contexts binary, figures binary, of_counts array<bigint>"
-
-
-def _block(doc: np.ndarray, context: np.ndarray, pair: np.ndarray, single: np.ndarray, history: np.ndarray | None = None) -> list[bytes]:
-    """Answers in the order of documents; ``history``: codes of rare histories, -1 elsewhere."""
-    order = np.argsort(doc, kind="stable")
-    out = [steps(doc[order]), pack_ints(context[order]), pack_ints(pair[order]), pack_ints(single[order])]
-    if history is not None:
-        history = history[order]
-        out.append(pack_ints(history[(history >= 0) & (pair[order] == 0)]))
-    return out
+_ANSWER_DDL = "target bigint, bucket int, train int, answer array<binary>, ids array<bigint>, contexts binary, figures binary, of_counts array<bigint>"
+_ANSWER_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 
 
 def _history_rows(code: np.ndarray, pair: np.ndarray, single: np.ndarray, needed: np.ndarray, own: int, buckets: int) -> list[tuple[int, list[bytes]]]:
@@ -357,30 +384,26 @@ def _history_rows(code: np.ndarray, pair: np.ndarray, single: np.ndarray, needed
     return out
 
 
-def _dense_block(doc, context, token, h, dense, common) -> list[bytes]:
-    return _block(doc, context, dense[h * common.dense + token], common.counts[token])
-
-
 def _answer(held, buckets: int):
     """One bucket: counts its pairs and rare tokens, answers every batch."""
     def run(table: pa.Table) -> pa.Table:
         common = held.value
         rows = table.to_pylist()
-        out = [(r["batch"], r["docs"], r["train"], r["local"], r["ids"], None, None, None) for r in rows if r["ids"] is not None]
-        asked = [r for r in rows if r["request"] is not None]
+        bucket = int(rows[0]["bucket"])
+        out = [(r["batch"], bucket, r["train"], r["local"], r["ids"], None, None, None) for r in rows if r["ids"] is not None]
+        requests = [r for r in rows if r["request"] is not None]
         parts = []
-        for r in asked:
-            d1, t1, d2, t2, h, before = r["request"]
-            doc = np.concatenate([unsteps(d1), unsteps(d2)])
-            token = np.concatenate([unpack_ints(t1), unpack_ints(t2) | 1 << 62])
+        for r in requests:
+            known, rare, h, before, learned, asked = r["request"]
+            token = np.concatenate([unpack_ints(known), unpack_ints(rare) | 1 << 62])
             h = unpack_ints(h)
             history = np.full(len(h), -1, np.int64)
             history[common.rare(h)] = unpack_ints(before)
-            parts.append((doc, token, h, doc < r["train"], history))
+            parts.append((token, h, unpack_ints(learned), history, np.unpackbits(np.frombuffer(asked, np.uint8), count=len(h)).astype(bool)))
         if parts:
-            token, context, train, history = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
+            token, context, learned, history, asked = (np.concatenate(p) for p in zip(*parts))
             tokens, t = np.unique(token, return_inverse=True)
-            single = np.bincount(t, train, len(tokens)).astype(np.int64)
+            single = np.bincount(t, learned, len(tokens)).astype(np.int64)
             known = tokens < len(common.tokens)
             single[known] = common.counts[tokens[known]]
             hot = len(common.context)
@@ -389,25 +412,26 @@ def _answer(held, buckets: int):
             context[rare] = hot + place
             wide = hot + len(histories)
             pairs, p = np.unique(t * np.int64(wide) + context, return_inverse=True)
-            pair = np.bincount(p, train, len(pairs)).astype(np.int64)
+            pair = np.bincount(p, learned, len(pairs)).astype(np.int64)
             seen = pair > 0
             seen_context, seen_pair, seen_single = pairs[seen] % wide, pair[seen], single[pairs[seen] // wide]
             few = seen_context >= hot
             used, figures = context_sums(seen_context[~few], seen_pair[~few], seen_single[~few], common)
             of = np.bincount(np.minimum(pair[seen], CUT + 2), minlength=CUT + 3)[:CUT + 2]
-            out.append((-1 - int(rows[0]["bucket"]) % 64, 0, 0, None, None, pack_ints(used), figures.tobytes(), of.tolist()))
+            out.append((-1 - bucket % parts_of(buckets), bucket, 0, None, None, pack_ints(used), figures.tobytes(), of.tolist()))
             if not common.lumped:
-                needed = np.unique(token[(token >= len(common.tokens)) & ~train]) & MASK
-                for b, blob in _history_rows(histories[seen_context[few] - hot], seen_pair[few], seen_single[few], needed, int(rows[0]["bucket"]), buckets):
-                    out.append((HISTORIES - b, 0, 0, blob, None, None, None, None))
+                needed = np.unique(token[(token >= len(common.tokens)) & asked]) & MASK
+                for b, blob in _history_rows(histories[seen_context[few] - hot], seen_pair[few], seen_single[few], needed, bucket, buckets):
+                    out.append((HISTORIES - b, bucket, 0, blob, None, None, None, None))
             at = 0
-            for r, (doc, _, h, _, before) in zip(asked, parts):
-                span = slice(at, at + len(doc))
-                out.append((r["batch"], r["docs"], r["train"], _block(doc, h, pair[p[span]], single[t[span]], before), None, None, None, None))
-                at += len(doc)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            for r, (_, h, _, before, _) in zip(requests, parts):
+                span = slice(at, at + len(h))
+                n = pair[p[span]]
+                answer = [pack_ints(h), pack_ints(n), pack_ints(single[t[span]]), pack_ints(before[(before >= 0) & (n == 0)])]
+                out.append((r["batch"], bucket, r["train"], answer, None, None, None, None))
+                at += len(h)
         names = [f.split()[0] for f in _ANSWER_DDL.split(", ")]
-        return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), kinds)], names=names)
+        return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), _ANSWER_KINDS)], names=names)
 
     return run
 
@@ -452,18 +476,22 @@ def _gather(held, buckets: int):
             head = next(r for r in rows if r["ids"] is not None)
             ids = head["ids"]
             tally = Tally(len(ids), common)
-            tokens = np.zeros(len(ids), np.int64)
-            asked = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-            for r in rows:
-                doc, context, pair, single, *histories = unsteps(r["answer"][0]), *map(unpack_ints, r["answer"][1:])
-                tally.add(doc, context, pair, single)
-                for h in histories:
-                    asked.append((doc[common.rare(context) & (pair == 0)], h))
-                tokens += np.bincount(doc, minlength=len(ids))
+            *state, sizes, doc, new = head["answer"]
+            tally.restore(state)
+            tokens, doc = unpack_ints(sizes), unpack_ints(doc)
+            answers = [r["answer"] for r in sorted(rows, key=lambda r: r["bucket"]) if r["ids"] is None]  # in the order of the pairs
+            history = np.empty(0, np.int64)
+            if answers:
+                context, pair, single, before = (np.concatenate([unpack_ints(a[k]) for a in answers]) for k in range(4))
+                key = np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(doc)), dtype=np.int64) - 1
+                tally.add(doc, context[key], pair[key], single[key])
+                asked = np.full(len(context), -1, np.int64)
+                asked[common.rare(context) & (pair == 0)] = before
+                history = asked[key]
+                doc, history = doc[history >= 0], history[history >= 0]
             sums, unseen = tally.rows()
             batch = rows[0]["target"]
             out = [(batch, k, None, None, i, k >= head["train"], int(tokens[k]), sums[:, k], unseen[k], None, None, None) for k, i in enumerate(ids)]
-            doc, history = (np.concatenate([a[k] for a in asked]) for k in (0, 1))
             to = bucket_of(history | 1 << 62, buckets)
             order = np.lexsort((doc, to))
             cut = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -476,22 +504,26 @@ def _gather(held, buckets: int):
 
 
 def _add_up(contexts: int):
-    """The tables of the contexts' sums in one task as one."""
+    """The tables of the contexts' sums in one task as one row per context, and the counts of
+    counts as rows -1, -2, ..."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, of, some = np.zeros((CUT + 1, contexts)), np.zeros(CUT + 2, np.int64), False
+        total, of = np.zeros((CUT + 1, contexts)), np.zeros(CUT + 2, np.int64)
         for batch in batches:
             for used, figures, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 total[:, unpack_ints(used)] += np.frombuffer(figures).reshape(CUT + 1, -1)
                 of += counts
-                some = True
-        if some:
-            used = np.flatnonzero(total.any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array([pack_ints(used)], pa.binary()), pa.array([total[:, used].tobytes()], pa.binary()),
-                                              pa.array([of.tolist()], pa.list_(pa.int64()))], names=["contexts", "figures", "of_counts"])
+        used = np.flatnonzero(total.any(axis=0))
+        rows = np.zeros((CUT + 1, len(of)))
+        rows[0] = of
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([-1 - np.arange(len(of)), used]), pa.int32()),
+                                          *(pa.array(np.concatenate([r, t])) for r, t in zip(rows, total[:, used]))], names=["context", *_FIGURES])
 
     return run
 
 
+_FIGURES = [f"figure_{r}" for r in range(CUT + 1)]
+
+
 def _histories(model_held):
     """One bucket of rare histories: what the unseen pairs of each document add."""
     def run(table: pa.Table) -> pa.Table:
@@ -576,10 +608,12 @@ def score_texts(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, context
 
     held_figures, of_pairs = np.zeros((CUT + 1, len(common.context))), np.zeros(CUT + 2, np.int64)
     own_figures = gathered.filter("contexts is not null").select("contexts", "figures", "of_counts").mapInArrow(
-        _add_up(len(common.context)), "contexts binary, figures binary, of_counts array<bigint>")
-    for r in own_figures.toLocalIterator():  # at most 64 tables of fixed size, one a task
-        held_figures[:, unpack_ints(r["contexts"])] += np.frombuffer(r["figures"]).reshape(CUT + 1, -1)
-        of_pairs += r["of_counts"]
+        _add_up(len(common.context)), "context int, " + ", ".join(f"{f} double" for f in _FIGURES))
+    added = own_figures.groupBy("context").agg(*(F.sum(f).alias(f) for f in _FIGURES)).toArrow()  # a row per common context
+    at = added.column("context").to_numpy()
+    for r, f in enumerate(_FIGURES):
+        held_figures[r, at[at >= 0]] = added.column(f).to_numpy()[at >= 0]
+    of_pairs[-1 - at[at < 0]] += added.column(_FIGURES[0]).to_numpy()[at < 0].astype(np.int64)
     pairs = np.flatnonzero(dense)
     if len(pairs):
         h, w = pairs // common.dense, pairs % common.dense

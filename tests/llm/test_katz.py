@@ -111,6 +111,41 @@ def test_rare_histories_are_no_class(spark, monkeypatch, hot, dense, batch):
     same(got, [model.row(i, t) for i, t in rows])
 
 
+def test_pairs_go_out_once_a_batch():
+    """Equal pairs stand together in the order that is sent; a hot one is one key."""
+    rng = np.random.default_rng(5)
+    token = np.where(rng.random(5_000) < 0.4, 17 | 1 << 62, rng.integers(0, 60, 5_000))
+    history = np.where(token >= 1 << 62, 99 | 1 << 62, np.where(rng.random(5_000) < 0.2, rng.integers(0, 4, 5_000) | 1 << 62, -1))
+    context = np.where(history >= 0, 61, rng.integers(0, 20, 5_000))
+    rare = token >= 1 << 62
+    bucket = K.bucket_of(token, 16)
+    order, new = K.key_runs(bucket, rare, token, context, history, 16)
+    assert sorted(order.tolist()) == list(range(5_000))
+    assert new.sum() == len(set(zip(token.tolist(), context.tolist(), history.tolist())))
+    assert (np.diff(bucket[order] * 2 + rare[order]) >= 0).all()
+    same_key = ~new[1:]
+    assert (np.diff(order)[same_key] > 0).all()  # documents stay in order inside a key
+    none = np.empty(0, np.int64)
+    assert [len(x) for x in K.key_runs(none, none.astype(bool), none, none, none, 16)] == [0, 0]
+
+
+def test_passage_in_most_documents(spark, monkeypatch):
+    """A long passage of rare words that two thirds of the documents repeat."""
+    monkeypatch.setattr(K, "DENSE", 5)
+    monkeypatch.setattr(K, "BATCH_TOKENS", 4_000)
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(150))
+    rows = [(i, f"{prose(rng, 12)} {passage if i % 3 else ''} {prose(rng, 12)}") for i in range(120)]
+    model = Brute(rows, 1 << 60)
+    same(K.score_texts(docs_frame(spark, rows), hot=20).collect(), [model.row(i, t) for i, t in rows])
+
+
+def test_groups_of_context_sums_stay_small():
+    assert K.parts_of(16) == 64
+    assert all(-(-n // K.parts_of(n)) <= 65 for n in (100, 4_096, 10 ** 7))
+    assert -1 - K.parts_of(10 ** 9) > K.HISTORIES  # the targets don't overlap
+
+
 def test_contexts_add_up_to_one():
     rng = random.Random(1)
     rows = [(i, prose(rng, 30, 60)) for i in range(60)]
