@@ -308,9 +308,11 @@ def context_sums(context: np.ndarray, pair: np.ndarray, single: np.ndarray, comm
 def key_runs(bucket: np.ndarray, rare: np.ndarray, token: np.ndarray, context: np.ndarray, history: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of a batch's tokens by bucket in which equal pairs stand together, common second
     tokens first, and a mark where the next pair begins (a pair may begin twice if hashes collide)."""
-    bits = 62 - (2 * buckets).bit_length()
-    mixed = mix64((token * np.int64(0x1F123BB5) ^ history * np.int64(0x2545F491) ^ context).view(np.uint64))
-    order = np.argsort((bucket * 2 + rare) << bits | (mixed >> np.uint64(64 - bits)).astype(np.int64), kind="stable")
+    half = (62 - (2 * buckets).bit_length()) // 2
+    lead = np.where(~rare & (history >= 0), history, token)  # repeated codes of 8 bytes side by side, which compresses them
+    rest = token * np.int64(0x1F123BB5) ^ history * np.int64(0x2545F491) ^ context
+    lead, rest = ((mix64(x.view(np.uint64)) >> np.uint64(64 - half)).astype(np.int64) for x in (lead, rest))
+    order = np.argsort(((bucket * 2 + rare) << half | lead) << half | rest, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = False
     for x in (token[order], context[order], history[order]):
